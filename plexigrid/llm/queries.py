@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from plexigrid.functions.jsontext import finite_number, strict_object
 from plexigrid.llm.components import linked_groups
+from plexigrid.llm.leaks import find_leaks
+from plexigrid.llm.mixing import Mix, mix_sources
 from plexigrid.llm.splitting import split_boxes
 from plexigrid.llm.topn import top_n
+from plexigrid.llm.truncated import find_truncated, truncation_rates
 from plexigrid.operators.skew import skew_join
 from plexigrid.session import cut, table
 
@@ -77,7 +80,38 @@ def p4_best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir).where("place = 1").groupBy("threshold").agg(F.count("*").alias("wins"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return find_leaks(docs, items, window=13, radius=1, min_similarity=1.0).select("doc_id", "item_id")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> Mix:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).shares.where("not reached").select("source")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).shares
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir).chosen
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_truncated(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return truncation_rates(docs, find_truncated(docs))
+
+
 QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p3_found": p3_found, "p4_found": p4_found, "p4_best_thresholds": p4_best_thresholds}
+QUERIES |= {"p6_found": p6_found, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix, "p8_found": p8_found, "p8_rates": p8_rates}
 
 _GROUPS = f"""
 WITH RECURSIVE e AS (
