@@ -32,38 +32,49 @@ def _signs(word: str) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
-class Signs:
-    """Sign vectors of words, remembered up to a bound."""
+class Signs(dict):
+    """Sign vectors of words by row number, remembered up to a bound."""
 
     def __init__(self, most: int = 200_000):
-        self.at: dict[str, int] = {}
+        super().__init__()
         self.rows = np.zeros((1024, BITS), np.int8)
         self.most = most
 
+    def __missing__(self, word: str) -> int:
+        k = self[word] = len(self)
+        if k >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[k] = _signs(word)
+        return k
+
     def index(self, ws: list[str]) -> np.ndarray:
-        if len(self.at) + len(ws) > self.most + BLOCK_WORDS * 2:
-            self.at.clear()
-        at = self.at
-        out = np.empty(len(ws), np.int64)
-        for i, w in enumerate(ws):
-            k = at.get(w)
-            if k is None:
-                k = at[w] = len(at)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = _signs(w)
-            out[i] = k
-        return out
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, ws), np.int64, len(ws))
+
+
+def _window_sums(rows: np.ndarray, window: int) -> np.ndarray:
+    """Sums of every window of consecutive rows, from sums over powers of two of rows."""
+    n, total, at, size = len(rows) - window + 1, None, 0, 1
+    while True:
+        if window & size:
+            part = rows[at : at + n]
+            total = part if total is None else total + part
+            at += size
+        if size * 2 > window:
+            return total
+        rows = rows[:-size] + rows[size:]
+        size *= 2
 
 
 def fingerprints(signs: Signs, ws: list[str], window: int) -> np.ndarray:
-    """SimHash of every window of consecutive words, by running sums of the words' sign vectors."""
+    """SimHash of every window of consecutive words; a bit is set if most of its words set it."""
     if len(ws) < window:
         return np.empty(0, np.uint64)
     at = signs.index(ws)  # may lengthen signs.rows
-    run = np.zeros((len(ws) + 1, BITS), np.int32)
-    np.cumsum(signs.rows[at], axis=0, out=run[1:], dtype=np.int32)
-    return np.packbits(run[window:] > run[:-window], axis=1).view(np.uint64).ravel()
+    rows = signs.rows[at]
+    sums = _window_sums(rows if window < 128 else rows.astype(np.int32), window)
+    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
 
 
 class Items:

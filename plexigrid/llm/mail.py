@@ -59,7 +59,13 @@ def leaves(text: str, depth: int = 0) -> list[Leaf]:
     encoding = head.get("content-transfer-encoding", "").strip().lower()
     if depth < 16 and kind.startswith("multipart/") and p.get("boundary"):
         mark = "--" + p["boundary"]
-        pieces = re.split(r"(?:^|\n)" + re.escape(mark) + r"(?=(?:--)?[ \t]*(?:\n|$))", body)
+        first, *rest = ("\n" + body).split("\n" + mark)
+        pieces = [first]
+        for x in rest:
+            if x.partition("\n")[0].strip() in ("", "--"):
+                pieces.append(x)
+            else:  # a longer boundary that begins like this one
+                pieces[-1] += "\n" + mark + x
         closed = any(x.startswith("--") for x in pieces[1:])
         out = []
         for x in pieces[1:]:

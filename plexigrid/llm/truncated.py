@@ -58,7 +58,13 @@ def _prose(s: str, sender: str, marked: bool) -> tuple[str | None, str | None]:
     s = s.rstrip()
     if not s:
         return None, None
-    split = [_QUOTED.match(x).groups() for x in s.split("\n")[-40:]]
+    lines = s.split("\n")
+    split = []
+    for line in reversed(lines):  # back to the start of the last paragraph, and far enough to see a signature
+        split.append(_QUOTED.match(line).groups())
+        if len(split) >= 9 and not split[-1][1].strip():
+            break
+    split.reverse()
     depth, x = split[-1][0].count(">") + split[-1][0].count("|"), split[-1][1].strip()
     if not x or _ENDED.search(x):
         return None, None
@@ -98,7 +104,7 @@ def ending(text: str) -> tuple[str | None, str | None]:
     base = t.rstrip(" \t\n�")
     if "�" in t[len(base) :]:
         return "character", None
-    marked = _MARK.search(base)
+    marked = _MARK.search(base, max(0, len(base) - 8))
     if marked:
         base = base[: marked.start()].rstrip()
     if not base:
@@ -110,7 +116,8 @@ def ending(text: str) -> tuple[str | None, str | None]:
         return None, None  # an empty body
     kind = head.get("content-type", "").lower()
     if kind.startswith("multipart/") and (m := re.search(r'boundary="?([^"\s;]+)', head["content-type"], re.I)):
-        return (None, None) if re.search(r"^--" + re.escape(m[1]) + r"--[ \t]*$", base, re.M) else ("part", None)
+        end = f"\n--{m[1]}--"
+        return (None, None) if f"{end}\n" in base or base.endswith(end) else ("part", None)
     leaf = leaves(base)[-1]
     if leaf.encoding == "base64":
         n = len(re.sub(r"[\s=]", "", leaf.raw))
@@ -129,7 +136,9 @@ def ending(text: str) -> tuple[str | None, str | None]:
         for tag in ("html", "body"):
             if f"<{tag}" in low and f"</{tag}>" not in low:
                 return "markup", None
-        if re.search(r"<[a-zA-Z/!][^<>]*$|&#?\w{1,8}$", s.rstrip()):
+        s = s.rstrip()
+        tag = s.rfind("<")
+        if (tag > s.rfind(">") and re.match(r"[a-zA-Z/!]", s[tag + 1 :])) or re.search(r"&#?\w{1,8}$", s[-10:]):
             return "markup", None
         if "</html>" in low or "</body>" in low:
             return None, None
