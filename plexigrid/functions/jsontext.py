@@ -18,7 +18,8 @@ def strict_object(text: Column, fields: str) -> Column:
     """
     t = F.trim(F.regexp_replace(text, r"^[\s﻿]+|\s+$", ""))
     rows = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"array<struct<{fields}>>", {"allowSingleQuotes": "false"})
-    return F.when(t.startswith("{") & t.endswith("}") & (F.size(rows) == 1), rows[0])
+    # the lambda binds the parsed rows, so that they are made once
+    return F.transform(F.array(F.when(t.startswith("{") & t.endswith("}"), rows)), lambda r: F.when(F.size(r) == 1, r[0]))[0]
 
 
 def finite_number(text: Column) -> Column:

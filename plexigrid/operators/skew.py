@@ -8,17 +8,21 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than one PARTS-th of all rows. By counting, fewer than PARTS keys can be hot.
 PARTS = 64
 
+#: A table of fewer rows has no hot keys: one task would do all of it.
+SMALL = 1_000_000
 
-def hot_keys(df: DataFrame, key: str, parts: int = PARTS) -> list:
+
+def hot_keys(df: DataFrame, key: str, parts: int = PARTS, small: int = SMALL) -> list:
     """The keys that hold more than a parts-th of df's rows: fewer than parts values, whatever the data.
 
-    Counts are combined before the shuffle. Null is never hot here (inner joins drop it).
+    Counts are combined before the shuffle. Null is never hot here (inner joins drop it). A table of
+    fewer than small rows is not searched.
     """
+    total = df.count()
+    if total < small:
+        return []
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
     top = counts.orderBy(F.desc("_n")).limit(parts).collect()
-    if not top:
-        return []
-    total = df.count()
     return [r[0] for r in top if r["_n"] * parts > total]
 
 
