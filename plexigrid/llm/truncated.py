@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -170,6 +170,13 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(before[0], False, before[1])], columns=["_k", "_cut", "_body"])
 
 
+def _body(text: str) -> Column:
+    """What follows the first blank line, without what a cutting system may have added at the end."""
+    t = F.regexp_replace(F.col(text), "\r\n?", "\n")
+    at = F.locate("\n\n", t)
+    return F.regexp_replace(F.when(at > 0, F.substr(t, at + 2)).otherwise(t), r"[\s�]*(?:\.\.\.|…)?[\s�]*\z", "")
+
+
 def cut_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """ident of every text whose body is a strict prefix of the body of another text.
 
@@ -177,10 +184,8 @@ def cut_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     without white space, replacement characters and one ellipsis at its end. Bodies shorter than the
     shortest hashed prefix are left out: so short a text says nothing by being a prefix.
     """
-    t = F.regexp_replace(F.col(text), "\r\n?", "\n")
-    at = F.locate("\n\n", t)
-    body = F.regexp_replace(F.when(at > 0, F.substr(t, at + 2)).otherwise(t), r"[\s�]*(?:\.\.\.|…)?[\s�]*\z", "")
-    bodies = docs.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("_id"), body.alias("_body")).withColumn("_n", F.length("_body")).where(F.col("_n") >= LADDER[0])
+    rows = docs.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("_id"), F.col(text).alias("_text"))
+    bodies = rows.select("_id", _body("_text").alias("_body")).withColumn("_n", F.length("_body")).where(F.col("_n") >= LADDER[0])
     hashes = F.array(*[F.when(F.col("_n") >= k, F.struct(F.lit(k).alias("k"), F.xxhash64(F.substring("_body", 1, k)).alias("h"))) for k in LADDER])
     keyed = cut(bodies.select("_id", "_n", F.xxhash64("_body").alias("_k"), F.filter(hashes, lambda x: x.isNotNull()).alias("_keys")), "bodies")
     # a body asks with its longest hashed prefix and answers with all; groups of one body fall away
@@ -191,7 +196,7 @@ def cut_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
     wanted = skew_join(flat, shared.select(F.col("_p.h").alias("_h")).distinct(), "_h", "left_semi").select("_id", "_k").distinct()
     wanted = cut(wanted, "copies")
     one = wanted.groupBy("_k").agg(F.min("_id").alias("_id"))
-    chosen = bodies.join(one, "_id").select("_k", "_body").repartitionByRange("_body").sortWithinPartitions("_body")
+    chosen = rows.join(one, "_id").select("_k", _body("_text").alias("_body")).distinct().repartitionByRange("_body").sortWithinPartitions("_body")
     seen = cut(chosen.mapInPandas(_neighbours, "_k bigint, _cut boolean, _body string"), "neighbours")
     # the seams: two rows of each partition, so few that one window takes them
     seam = seen.where("not _cut").select("_k", "_body").distinct().withColumn("_next", F.lead("_body").over(Window.partitionBy(F.lit(0)).orderBy("_body")))
