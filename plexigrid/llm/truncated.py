@@ -25,8 +25,8 @@ from plexigrid.session import cut
 
 #: Prefix lengths that are hashed; a body needs the shortest to be compared with copies.
 LADDER = (64, 128, 256, 512, 1024)
-#: Share of all texts that end with a short line of its own from which the line counts as a usual ending.
-USUAL = 5e-5
+#: Share of all texts (and number at least) that end with the same short line, from which it is a usual ending.
+USUAL, USUAL_LEAST = 1e-4, 3
 #: Ends of complete host names (fixed values: common and reserved top-level domains).
 TOP_LEVEL = frozenset("com org net edu gov mil int info biz io eu de fr es it uk us nl be at ch pl se no fi dk pt ie ca au jp cn br mx example test invalid localhost".split())
 
@@ -76,7 +76,9 @@ def _prose(s: str, sender: str, marked: bool) -> tuple[str | None, str | None]:
     plain = [t.strip() for _, t in split]
     names = {sender, *sender.split()} - {""}
     before = plain[-2] if len(plain) > 1 else ""
-    signed = next((i for i in range(2, min(9, len(plain) + 1)) if plain[-i] == "--"), 0)
+    signed = next((i for i in range(2, min(7, len(plain) + 1)) if plain[-i] == "--"), 0)
+    if signed and not all(plain[1 - signed :]):
+        signed = 0  # a blank line ends a signature
     if x in names:
         return None, None
     if any(n.startswith(x) for n in names) and (signed == 2 or 0 < len(before) <= 30):
@@ -95,7 +97,7 @@ def _prose(s: str, sender: str, marked: bool) -> tuple[str | None, str | None]:
     joined = " ".join(paragraph)
     if _OPTION.search(joined):
         return None, None
-    return None, "tail " + " ".join(joined.lower().split()[-5:])
+    return None, "tail " + " ".join(joined.lower().split()[-9:])
 
 
 def ending(text: str) -> tuple[str | None, str | None]:
@@ -209,7 +211,7 @@ def find_truncated(docs: DataFrame, ident: str = "doc_id", text: str = "text", s
 
     reason: copy (a longer copy exists), part, markup, encoding, character, word, sentence or ellipsis.
     An ellipsis counts only where the text has a length at which its source's texts pile up. A short
-    last line of its own is no cut if the share USUAL of all texts (two at least) ends with it, an
+    last line of its own is no cut if the share USUAL of all texts (three at least) ends with it, an
     unfinished sentence none if another text ends with the same words. White space, replacement characters and ellipses that a cutting
     system adds are no ending. Null and empty texts are not truncated; a null source is a source of
     its own; repeated rows count once; an empty table gives no rows.
@@ -219,7 +221,7 @@ def find_truncated(docs: DataFrame, ident: str = "doc_id", text: str = "text", s
     seen = cut(rows.mapInPandas(_endings, schema), "endings")
     said = seen.where("reason is not null").select("_id", "_s", "reason")
     lines = seen.where(F.col("_ask").startswith("line ") | F.col("_ask").startswith("tail ")).select("_id", "_s", "_ask")
-    usual = F.greatest(F.lit(2.0), F.when(F.col("_ask").startswith("line "), seen.count() * USUAL).otherwise(0.0))
+    usual = F.when(F.col("_ask").startswith("line "), max(USUAL_LEAST, seen.count() * USUAL)).otherwise(2)
     rare = lines.groupBy("_ask").agg(F.countDistinct("_id").alias("n")).where(F.col("n") < usual).select("_ask")
     short = lines.join(rare, "_ask", "left_semi").select("_id", "_s", F.lit("sentence").alias("reason"))
     doubtful = seen.where(F.col("_ask") == "ellipsis")
