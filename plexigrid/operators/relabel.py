@@ -24,7 +24,7 @@ def remap(df: DataFrame, lut: DataFrame, column: str, hot: list | None = None) -
 
 
 def compose(first: DataFrame, second: DataFrame) -> DataFrame:
-    """The table that does first, then second; keys of second that first does not yield stay keys of their own."""
+    """The table that does first, then second; labels that first leaves alone go through second."""
     moved = remap(first.select("key", "value"), second, "value")
     rest = second.join(first.select("key"), "key", "left_anti").select("key", "value")
     return moved.unionByName(rest)
