@@ -28,7 +28,7 @@ def accepted_pairs(edges: DataFrame, nodes: DataFrame, threshold: float = ACCEPT
     ids = nodes.select("id").where(F.col("id").isNotNull()).distinct()
     for end in ("u", "v"):
         pairs = skew_join(pairs, ids.withColumnRenamed("id", end), end, "left_semi")
-    return pairs
+    return pairs.select("u", "v")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
