@@ -16,13 +16,18 @@ def strict_object(text: Column, fields: str) -> Column:
     missing end an error, which from_json on the bare text would let pass. Bare NaN and Infinity
     are allowed, single quotes are not. Null and empty text give null.
     """
-    t = F.trim(F.regexp_replace(text, r"^[\s﻿]+|\s+$", ""))
-    rows = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"array<struct<{fields}>>", {"allowSingleQuotes": "false"})
-    # the lambda binds the parsed rows, so that they are made once
-    return F.transform(F.array(F.when(t.startswith("{") & t.endswith("}"), rows)), lambda r: F.when(F.size(r) == 1, r[0]))[0]
+    def parse(t: Column) -> Column:
+        rows = F.from_json(F.concat(F.lit("["), t, F.lit("]")), f"array<struct<{fields}>>", {"allowSingleQuotes": "false"})
+        return F.when(t.startswith("{") & t.endswith("}"), rows)
+
+    # lambdas bind their argument, so that the text is trimmed and parsed once
+    trimmed = F.array(F.trim(text, F.lit(" \t\r\n")))
+    return F.transform(F.transform(trimmed, parse), lambda r: F.when(F.size(r) == 1, r[0]))[0]
 
 
 def finite_number(text: Column) -> Column:
     """text as a finite double, null where it is none (null, NaN, infinite, other words)."""
-    x = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when((x > float("-inf")) & (x < float("inf")), x)
+    # lambdas bind their argument, so that what text is made of runs once
+    read = lambda t: F.when(t.rlike(NUMBER), t.try_cast("double"))
+    finite = lambda x: F.when(F.abs(x) < float("inf"), x)
+    return F.transform(F.transform(F.array(text), read), finite)[0]
