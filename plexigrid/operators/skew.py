@@ -12,12 +12,14 @@ PARTS = 64
 SMALL = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, parts: int = PARTS, small: int = SMALL) -> list:
+def hot_keys(df: DataFrame, key: str, parts: int = PARTS, small: int = SMALL, most: int | None = None) -> list:
     """The keys that hold more than a parts-th of df's rows: fewer than parts values, whatever the data.
 
     Counts are combined before the shuffle. Null is never hot here (inner joins drop it). A table of
-    fewer than small rows is not searched.
+    fewer than small rows is not searched; most is an upper bound of its rows, if one is known.
     """
+    if most is not None and most < small:
+        return []
     total = df.count()
     if total < small:
         return []
