@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from plexigrid.session import cut
+
 PARTS = "struct<rand_split:double,rand_merge:double,nvi_split:double,nvi_merge:double>"
 #: The columns of a score row: what an evaluation appends.
 SCHEMA = T.StructType([T.StructField("network", T.StringType()), T.StructField("checkpoint", T.IntegerType()), T.StructField("threshold", T.DoubleType()), T.StructField("scores", T.StringType())])
@@ -39,24 +41,32 @@ def select_scores(scores: DataFrame, networks=None, checkpoints=None, thresholds
     return scores.where(_wanted("network", networks) & _wanted("checkpoint", checkpoints) & _wanted("threshold", thresholds))
 
 
+def _best(rated: DataFrame, metrics: list[str], ident: str) -> DataFrame:
+    """Of each (network, checkpoint) the best row by each of the metrics: one grouped minimum for all, combined before the shuffle."""
+    order = lambda m: F.when(F.col(m).isNotNull(), F.struct((-F.col(m)).alias("m"), F.col(ident).alias("i"), F.col("threshold").alias("t")))
+    return rated.groupBy("network", "checkpoint").agg(*[F.min(order(m)).alias(f"b_{m}") for m in metrics])
+
+
+def _top(best: DataFrame, metric: str, n: int) -> DataFrame:
+    b = f"b_{metric}"
+    top = best.where(F.col(b).isNotNull()).orderBy(f"{b}.m", f"{b}.i").limit(n)
+    return top.select("network", "checkpoint", F.col(f"{b}.t").alias("threshold"))
+
+
 def top_entries(rated: DataFrame, metric: str, n: int, ident: str) -> DataFrame:
     """network, checkpoint, threshold of the n best (network, checkpoint) by their best row; ties go to the smaller ident.
 
-    Of each (network, checkpoint) the best row is a grouped minimum, combined before the shuffle;
-    the n best are a distributed top-n.
+    Rows without the metric do not count; an empty table gives no rows.
     """
-    order = F.struct((-F.col(metric)).alias("m"), F.col(ident).alias("i"), F.col("threshold").alias("t"))
-    best = rated.where(F.col(metric).isNotNull()).groupBy("network", "checkpoint").agg(F.min(order).alias("b"))
-    best = best.orderBy("b.m", "b.i").limit(n)
-    return best.select("network", "checkpoint", F.col("b.t").alias("threshold"))
+    return _top(_best(rated, [metric], ident), metric, n)
 
 
 def union_of_tops(rated: DataFrame, metrics: list[str], n: int, ident: str) -> DataFrame:
-    """The entries that are among the n best by any of the metrics, each once."""
+    """The entries that are among the n best by any of the metrics, each once; the table is read once."""
+    best = cut(_best(rated, metrics, ident), "best")
     out = None
     for m in metrics:
-        top = top_entries(rated, m, n, ident)
-        out = top if out is None else out.unionByName(top)
+        out = _top(best, m, n) if out is None else out.unionByName(_top(best, m, n))
     return out.distinct()
 
 

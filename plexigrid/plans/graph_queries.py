@@ -209,7 +209,16 @@ def eval_report(s, d):
     return M.as_report(one.select(*[F.round(c, 6).alias(c) for c in one.columns]))
 
 
-_NAMES = """edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
+def error_listing(s, d):
+    """Every split with the voxel of its first end (33 nm) and the number of splits of its skeleton."""
+    n = skeletons(s, d)
+    at = n.select(F.col("node").alias("u"), *[voxel_of(F.col(c), 33).alias(c) for c in "zyx"])
+    listed = M.split_edges(M.path_edges(n)).join(at, "u").select("skeleton_id", "u", "v", "z", "y", "x")
+    worst = listed.groupBy("skeleton_id").agg(F.count("*").alias("splits"))
+    return listed.join(worst, "skeleton_id")
+
+
+_NAMES = """error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
 cc_two_phase lut_self_ref_filter lut_remap lut_chain edge_endpoint_remap face_neighbour_blocks face_neighbour_remap halo_join
 axis_swap world_to_voxel_floor point_label_lookup skeleton_components skeleton_lengths erl split_edges split_histogram merge_counts
 merge_sites fresh_labels rasterise rand_voi_skeletons rand_voi_lang_source rand_voi_flag_status eval_report"""
@@ -291,6 +300,7 @@ SELECT * FROM c""",
     "skeleton_lengths": _S + "SELECT skeleton_id, round(l, 4) AS length FROM len",
     "erl": _S + "SELECT round(erl, 6) AS erl, round(avg_length, 6) AS avg_length, round(erl / avg_length, 6) AS erl_norm FROM er",
     "split_edges": _S + "SELECT skeleton_id, u, v FROM sp",
+    "error_listing": _S + "SELECT skeleton_id, u, v, CAST(floor(z / 33) AS BIGINT) AS z, CAST(floor(y / 33) AS BIGINT) AS y, CAST(floor(x / 33) AS BIGINT) AS x, count(*) OVER (PARTITION BY skeleton_id) AS splits FROM q WHERE v IS NOT NULL AND (gu <> gv OR (gu = 0 AND gv = 0))",
     "split_histogram": _S + "SELECT coalesce(k, 0) AS splits, count(*) AS skeletons FROM (SELECT DISTINCT skeleton_id FROM n WHERE skeleton_id IS NOT NULL) LEFT JOIN (SELECT skeleton_id, count(*) AS k FROM sp GROUP BY skeleton_id) USING (skeleton_id) GROUP BY 1",
     "merge_counts": _S + "SELECT seg_label, skeletons, skeletons * (skeletons - 1) // 2 AS sites FROM mg",
     "merge_sites": _S + """, pr AS (SELECT a.seg_label, a.skeleton_id AS s1, b.skeleton_id AS s2, a.node AS u, b.node AS v, sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d

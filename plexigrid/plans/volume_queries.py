@@ -187,7 +187,29 @@ def weak_fragments(s, d):
     return G.drop_weak_fragments(f, F.col("value"), 0.1).select(*KEY, "label")
 
 
-_NAMES = """voxel_explode voxel_pack voxel_slice voxel_project voxel_downsample2 voxel_downsample3 voxel_transpose voxel_meanpool
+def scale_pyramid(s, d):
+    """The volume at strides 1, 2 and 4 (scale 0 to 2), as a partition column of one table."""
+    v = voxels(s, d).select(*KEY, r6("value"))
+    out = None
+    for scale in range(3):
+        one = V.downsample(v, 2**scale).withColumn("scale", F.lit(scale))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sample_point_check(s, d):
+    """Whether a block seems written: the sum of its values at a quarter, half and three quarters of each side is not 0."""
+    at = voxels(s, d).where("z = y and y = x and z > 0")
+    return at.groupBy("block").agg((F.round(F.sum("value"), 5) != 0).alias("written"))
+
+
+def intensity_noise(s, d):
+    """Values with a reproducible jitter of up to 0.05 by voxel, clipped to [-1, 1]."""
+    chance = F.pmod(F.xxhash64(*KEY), F.lit(1_000_000)) / 1_000_000
+    return voxels(s, d).select(*KEY, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(F.col("value") + (chance - 0.5) * 0.1, 6))).alias("value"))
+
+
+_NAMES = """scale_pyramid sample_point_check intensity_noise voxel_explode voxel_pack voxel_slice voxel_project voxel_downsample2 voxel_downsample3 voxel_transpose voxel_meanpool
 intensity_scale normalize_uint8 section_delete section_replace pad_grid constant_mask unlabelled_mask keep_labels distinct_labels
 affinity_offsets grow_boundary dilate_sections label_balance block_sums skip_empty_blocks rag_contacts rag_mean_score
 rag_hist_quantiles rag_hist_initmax fragment_centers cc_voxels agglomerate_single_linkage watershed_fragments
@@ -205,6 +227,8 @@ _R = "block, z, y, x, round(value, 6) AS value"
 _H = ", h AS (SELECT u, v, CAST(floor(affinity * 255) AS INT) AS bin, count(*) AS n FROM con GROUP BY ALL)"
 
 SQL = {
+    "scale_pyramid": _V + "SELECT k AS scale, block, z // (1 << k) AS z, y // (1 << k) AS y, x // (1 << k) AS x, round(value, 6) AS value FROM vox, (VALUES (0), (1), (2)) AS t(k) WHERE z % (1 << k) = 0 AND y % (1 << k) = 0 AND x % (1 << k) = 0",
+    "sample_point_check": _V + "SELECT block, round(sum(value), 5) <> 0 AS written FROM vox WHERE z = y AND y = x AND z > 0 GROUP BY block",
     "voxel_explode": _V + f"SELECT {_R} FROM vox",
     "voxel_pack": _V + "SELECT block, count(*) AS n, round(arg_min(value, z * 16 + y * 4 + x), 6) AS first, round(arg_max(value, z * 16 + y * 4 + x), 6) AS last FROM vox WHERE value > 0 GROUP BY block",
     "voxel_slice": _V + f"SELECT {_R} FROM vox WHERE z BETWEEN 1 AND 2 AND y BETWEEN 0 AND 2 AND x BETWEEN 2 AND 3",
