@@ -37,12 +37,12 @@ def linked_groups(pairs: DataFrame, u: str = "u", v: str = "v", max_rounds: int
     id_type = edges.schema["u"].dataType
     levels: list[DataFrame] = []  # of each round: the vertices that dropped out, with their parents
     for _ in range(max_rounds):
-        if edges.isEmpty():
+        n = edges.count()
+        if n == 0:
             break
         links = _both_ways(edges)
-        hot = hot_keys(links, "u")
+        hot = hot_keys(links, "u", most=2 * n)
         lowest = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        lowest = cut(lowest, "cc-lowest")
         # the minimum of u's closed neighbourhood is proposed to u and to every neighbour of u
         to_others = skew_join(links, lowest, "u", hot=hot).select(F.col("v").alias("x"), "m")
         proposals = cut(to_others.unionByName(lowest.select(F.col("u").alias("x"), "m")).distinct(), "cc-proposals")
@@ -50,11 +50,11 @@ def linked_groups(pairs: DataFrame, u: str = "u", v: str = "v", max_rounds: int
         minima = proposals.select("m").distinct()
         got = cut(got.join(minima.select(F.col("m").alias("x"), F.lit(True).alias("_stays")), "x", "left"), "cc-got")
         levels.append(got.where(F.col("_stays").isNull()).select(F.col("x").alias("id"), F.col("p").alias("parent")))
-        nxt = skew_join(proposals, got.select("x", "p"), "x").where(F.col("m") != F.col("p"))
+        # a vertex proposes once to each neighbour and to itself: at most 4 n proposals
+        nxt = skew_join(proposals, got.select("x", "p"), "x", hot=hot_keys(proposals, "x", most=4 * n)).where(F.col("m") != F.col("p"))
         smaller = cut(nxt.select(F.least("m", "p").alias("u"), F.greatest("m", "p").alias("v")).distinct(), "cc-edges")
         discard(edges)
         discard(proposals)
-        discard(lowest)
         edges = smaller
     else:
         raise RuntimeError(f"pairs still linked after {max_rounds} rounds")
