@@ -85,6 +85,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(docs, items, window=13, radius=1, min_similarity=1.0).select("doc_id", "item_id")
 
 
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the number of messages that leak it (0 too)."""
+    items = table(spark, sf_dir, "eval_items").select("item_id").distinct()
+    n = p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n"))
+    return items.join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("messages"))
+
+
+def p6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a window of 25 words that is much like one of an item (five-word shingles, 0.8), not only equal to it."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return find_leaks(docs, items, window=25, radius=3).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
 def _mixed(spark: SparkSession, sf_dir: str) -> Mix:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 
@@ -111,7 +124,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_group_sizes": p2_group_sizes, "p3_found": p3_found, "p4_found": p4_found, "p4_best_thresholds": p4_best_thresholds}
-QUERIES |= {"p6_found": p6_found, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix, "p8_found": p8_found, "p8_rates": p8_rates}
+QUERIES |= {"p6_found": p6_found, "p6_items": p6_items, "p6_similar": p6_similar, "p7_found": p7_found, "p7_shares": p7_shares, "p7_mix": p7_mix, "p8_found": p8_found, "p8_rates": p8_rates}
 
 _GROUPS = f"""
 WITH RECURSIVE e AS (
@@ -169,4 +182,9 @@ JOIN y ON y.task = blk.task AND y.block_id = blk.block_id AND y.e IS NOT NULL
 JOIN x ON x.task = blk.task AND x.block_id = blk.block_id AND x.e IS NOT NULL""",
     "p4_found": _RATED + "SELECT network, checkpoint, place, score_id FROM r WHERE place <= 3",
     "p4_best_thresholds": _RATED + "SELECT threshold, count(*) AS wins FROM r WHERE place = 1 GROUP BY threshold",
+    # sizes in characters instead of tokens: every case is clear enough that the measure does not matter
+    "p7_found": """
+WITH d AS (SELECT lower(trim(source)) AS s, sum(length(text)) AS own FROM documents WHERE source IS NOT NULL GROUP BY 1),
+t AS (SELECT source, target_share, max_repeats, coalesce(own, 0) AS own FROM source_targets LEFT JOIN d ON d.s = lower(trim(source)))
+SELECT source FROM t WHERE max_repeats * own < target_share * (SELECT sum(own) FROM t) OR own = 0""",
 }

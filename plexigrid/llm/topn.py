@@ -18,7 +18,8 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], ident: str, n: i
     Rows equal in everything are one. Stage one hashes ident into subgroups and keeps n of each;
     stage two ranks what is left, at most n * salts rows a group. The order is total because ident
     ends it, so that any run returns the same rows. A null in a group column is a group of its own,
-    a null ident comes last; an empty table gives no rows. Other columns are kept. n below 1: none.
+    a null ident comes last; an empty table gives no rows. Other columns are kept (one
+    named place or _salt is replaced). n below 1: none.
     """
     by = [*order, F.col(ident).asc_nulls_last()]
     rows = df.distinct().withColumn("_salt", F.coalesce(salt_of(F.col(ident), salts), F.lit(0)))

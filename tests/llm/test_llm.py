@@ -153,6 +153,19 @@ def test_leaks_in_every_shape_of_mail(spark):
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    from plexigrid.llm.leaks import BLOCK_WORDS
+
+    filler = [f"w{i % 977}" for i in range(BLOCK_WORDS * 2 + 100)]
+    for at in (BLOCK_WORDS - 6, BLOCK_WORDS, 2 * BLOCK_WORDS + 50):  # across and beside the seams of blocks
+        text = " ".join([*filler[:at], *words(PASSAGE)[:13], *filler[at:]])
+        docs = spark.createDataFrame([(1, mail(text))], "doc_id bigint, text string")
+        items = spark.createDataFrame([(5, PASSAGE)], "item_id bigint, text string")
+        assert rows(find_leaks(docs, items, min_similarity=1.0).select("doc_id", "item_id")) == [(1, 5)]
+    long = mail("word " * 400_000 + "and then")
+    assert ending(long)[1].startswith("tail ") and ending(long + ".") == (None, None)
+
+
 def test_similar_passages_by_radius(spark):
     changed = PASSAGE.replace("glass", "brass")
     docs = spark.createDataFrame([(1, f"{FILL} {changed}. {FILL}")], "doc_id bigint, text string")
