@@ -85,7 +85,8 @@ def select_mode(df: DataFrame, key: str, value: str, unit: str) -> DataFrame:
             break
         open_bins = cut(open_bins.select("_k", "_b", "_r"), "mode-open")
         found = cut(found, "mode-found")
-        alive = cut(_only(alive, open_bins, low, shift), "mode-rows")
+        old, alive = alive, cut(_only(alive, open_bins, low, shift), "mode-rows")
+        discard(old)
         shift = max(0, shift - BITS)
     winner = found.groupBy("_k").agg(F.max(F.struct(F.col("_n").alias("n"), (-F.col("_v")).alias("v"))).alias("w"))
     return winner.select(F.col("_k").alias(key), (-F.col("w.v")).cast(value_type).alias(value), F.col("w.n").alias("n_units"))

@@ -6,6 +6,8 @@ formulas, as the reference computes them in a package whose code is not at hand.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,12 @@ from pyspark.sql.window import Window
 from plexigrid.operators.skew import skew_join
 
 
+def beside(*ones: DataFrame) -> DataFrame:
+    """One-row tables of numbers with different columns as one row."""
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ones)
+    return out.agg(*[F.max(c).alias(c) for c in out.columns])
+
+
 def contingency(df: DataFrame, truth: str, test: str) -> DataFrame:
     """t, g, n: how often each pair of labels occurs; rows with a null label or truth 0 do not count."""
     ok = F.col(truth).isNotNull() & F.col(test).isNotNull()
@@ -30,7 +38,7 @@ def rand_voi(pairs: DataFrame) -> DataFrame:
     both = pairs.agg(*sums)
     by_t = pairs.groupBy("t").agg(F.sum("n").alias("n")).agg(*sums[:2]).toDF("sq_t", "nl_t")
     by_g = pairs.groupBy("g").agg(F.sum("n").alias("n")).agg(*sums[:2]).toDF("sq_g", "nl_g")
-    one = both.crossJoin(by_t).crossJoin(by_g)  # one row each
+    one = beside(both, by_t, by_g)
     joint = F.log("all") - F.col("nl") / F.col("all")
     h_t, h_g = F.log("all") - F.col("nl_t") / F.col("all"), F.log("all") - F.col("nl_g") / F.col("all")
     part = lambda h: F.when(joint > 1e-12, (joint - h) / joint).otherwise(F.when(F.col("all").isNotNull(), 0.0))
@@ -82,7 +90,7 @@ def expected_run_length(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     total = skeleton_lengths(edges).where("length > 0").agg(F.sum("length").alias("all"), F.avg("length").alias("avg_length"))
     right = edges.where((F.col("gu") == F.col("gv")) & (F.col("gu") != 0)).groupBy("skeleton_id", F.col("gu").alias("seg_label")).agg(F.sum("length").alias("l"))
     right = right.join(merging_segments(nodes).select("seg_label"), "seg_label", "left_anti")
-    one = right.agg(F.coalesce(F.sum(F.col("l") * F.col("l")), F.lit(0.0)).alias("sq")).crossJoin(total)
+    one = beside(right.agg(F.coalesce(F.sum(F.col("l") * F.col("l")), F.lit(0.0)).alias("sq")), total)
     return one.select((F.col("sq") / F.col("all")).alias("erl"), "avg_length", (F.col("sq") / F.col("all") / F.col("avg_length")).alias("erl_norm"))
 
 
@@ -139,8 +147,8 @@ def fresh_labels(nodes: DataFrame, voxel: float) -> DataFrame:
     offsets = ranked.groupBy("_span").agg(F.count("*").alias("_n"))
     # one row per 65,536 node ids
     offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    top = nodes.agg(F.coalesce(F.max("seg_label"), F.lit(0)).alias("_top"))
-    new = ranked.join(offsets, "_span").crossJoin(top).select("_vox", (F.col("_top") + F.col("_before") + F.col("_in")).alias("_new"))
+    top = nodes.agg(F.max("seg_label")).first()[0] or 0
+    new = ranked.join(offsets, "_span").select("_vox", (F.lit(top) + F.col("_before") + F.col("_in")).alias("_new"))
     out = at.join(new, "_vox", "left")
     return out.select("node", F.when(F.col("seg_label") == 0, F.col("_new")).otherwise(F.col("seg_label")).alias("seg_label"))
 

@@ -203,7 +203,7 @@ def eval_report(s, d):
     splits = M.split_edges(e).agg(F.count("*").cast("double").alias("splits"))
     merges = M.merge_counts(n).agg(F.coalesce(F.sum("sites"), F.lit(0)).cast("double").alias("merges"))
     neurons = n.where("skeleton_id is not null").agg(F.countDistinct("skeleton_id").cast("double").alias("n_neurons"))
-    one = rv.crossJoin(M.expected_run_length(e, n)).crossJoin(splits).crossJoin(merges).crossJoin(neurons)  # one row each
+    one = M.beside(rv, M.expected_run_length(e, n), splits, merges, neurons)
     one = one.withColumns(M.blend(F.col("nvi_split"), F.col("nvi_merge"), F.col("rand_split"), F.col("rand_merge"), F.col("erl_norm")))
     one = one.withColumns({"splits_per_neuron": F.col("splits") / F.col("n_neurons"), "merges_per_neuron": F.col("merges") / F.col("n_neurons")})
     return M.as_report(one.select(*[F.round(c, 6).alias(c) for c in one.columns]))

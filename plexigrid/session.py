@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,16 +48,25 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by cut(); only once nothing reads it any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if folder.startswith(root) or folder.startswith("file:" + root.removeprefix("file://")) or folder.startswith("file://" + root.removeprefix("file:")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+    made = {p.rpartition("/")[2]: p for p in _MADE}
+    for folder in {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}:
+        if folder in made:
+            _delete(df.sparkSession, made[folder])
+            _MADE.remove(made[folder])
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete all tables that cut() has made in this process; only once all results have been used or written."""
+    while _MADE:
+        _delete(spark, _MADE.pop())

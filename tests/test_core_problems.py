@@ -128,3 +128,17 @@ def test_skew_join_with_hot_keys(spark):
         assert sorted(map(str, skew_join(big, small, "k", how, hot).collect())) == sorted(map(str, big.join(small, "k", how).collect()))
 
 
+
+
+def test_tables_that_cut_lineage(spark):
+    import os
+
+    from plexigrid.session import cut, discard, discard_all, shared_dir
+
+    a, b = cut(spark.range(3).toDF("x"), "t"), cut(spark.range(0).toDF("x"), "t")
+    assert a.count() == 3 and b.count() == 0 and b.columns == ["x"]
+    folder = a.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert folder.startswith(shared_dir(spark).removeprefix("file:"))
+    discard(a)
+    assert not os.path.exists(folder)
+    discard_all(spark)
