@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,10 +103,8 @@ def threshold_sweep(edges: DataFrame, thresholds: list[float], score: str = "mer
     return out
 
 
-def _local(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Union-find over the edges of one block (blocks are of bounded size)."""
-    ids = np.unique(pdf[["u", "v"]].to_numpy())
-    u, v = np.searchsorted(ids, pdf["u"].to_numpy()), np.searchsorted(ids, pdf["v"].to_numpy())
+def _forest(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest member of each id's component; u and v are positions in the sorted ids."""
     root = np.arange(len(ids))
     while True:
         low = np.minimum(root[u], root[v])
@@ -115,23 +113,29 @@ def _local(pdf: pd.DataFrame) -> pd.DataFrame:
         np.minimum.at(new, root[v], low)
         new = new[new]
         if np.array_equal(new, root):
-            break
+            return ids[root]
         root = new
-    return pd.DataFrame({"key": ids, "value": ids[root]})
+
+
+def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ids, at = np.unique(batch[["u", "v"]].to_numpy(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        yield pd.DataFrame({"key": ids, "value": _forest(ids, at[:, 0], at[:, 1])})
 
 
 def two_phase_components(edges: DataFrame) -> DataFrame:
-    """key, value as by components(), from edges with bz, by, bx: first within blocks, then across.
+    """key, value as by components(): first inside what a task reads, then across.
 
-    Local components shrink the graph before the first shuffle by vertex; it pays where blocks are
-    large and most edges inside. Equal to the one-phase result.
+    Each Arrow batch of edges is contracted on its own by a map task, before the first shuffle; as
+    the edges of a block lie together in the files, that is where most of them meet. However many
+    edges a block holds, no task takes more than a batch at a time. Every contracted batch links the
+    same ids as its edges, so that the result equals the one-phase one. Self pairs and null ends add
+    nothing.
     """
-    block = ["bz", "by", "bx"]
-    good = edges.where(F.col("u") != F.col("v"))
-    local = cut(good.select(*block, "u", "v").groupBy(*block).applyInPandas(_local, "key bigint, value bigint"), "local")
-    # an id may stand in several blocks: its local labels are linked to each other by the id
-    links = components(local.select(F.col("key").alias("u"), F.col("value").alias("v")))
-    return links
+    good = edges.where(F.col("u") != F.col("v")).select(F.col("u").cast("bigint"), F.col("v").cast("bigint"))
+    local = good.mapInPandas(_local, "key bigint, value bigint").where("key <> value")
+    return components(local.select(F.col("key").alias("u"), F.col("value").alias("v")))
 
 
 def boundary_scores(affinity: DataFrame) -> DataFrame:
@@ -139,20 +143,34 @@ def boundary_scores(affinity: DataFrame) -> DataFrame:
     return affinity.groupBy("u", "v").agg((1 - F.avg("affinity")).alias("merge_score"), F.count("*").alias("contacts"))
 
 
+def _histogram(affinity: DataFrame, bins: int) -> DataFrame:
+    bin_of = F.least(F.greatest(F.floor(F.col("affinity") * (bins - 1)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    return affinity.where(F.col("affinity").isNotNull() & ~F.isnan("affinity")).groupBy("u", "v", bin_of.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def all_quantile_scores(affinity: DataFrame, quantiles: Iterable[int], bins: int = 256) -> DataFrame:
+    """q, u, v, merge_score: 1 - each quantile of the affinities of every contact, from one histogram over [0, 1].
+
+    The first bin at which the cumulated count reaches q percent; its value is bin / (bins - 1).
+    Null and NaN affinities do not count; an empty table or no quantiles give no rows.
+    """
+    pair = Window.partitionBy("u", "v")  # at most bins rows
+    upto = F.sum("n").over(pair.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    h = _histogram(affinity, bins).withColumn("upto", upto).withColumn("all", F.sum("n").over(pair))
+    before = F.col("upto") - F.col("n")
+    reached = [F.when((F.col("upto") * 100 >= F.col("all") * q) & ((before * 100 < F.col("all") * q) | (before == 0)), F.lit(q)) for q in quantiles]
+    at = h.withColumn("q", F.explode(F.array_compact(F.array(*reached))) if reached else F.lit(0)).where(F.lit(bool(reached)))
+    return at.select("q", "u", "v", (1 - F.col("bin") / (bins - 1)).alias("merge_score"))
+
+
 def quantile_scores(affinity: DataFrame, quantile: int, bins: int = 256, init_max: bool = False) -> DataFrame:
-    """1 - the quantile of the affinities of every contact by a histogram of bins over [0, 1].
+    """u, v, merge_score for one quantile, as by all_quantile_scores().
 
-    The first bin at which the cumulated count reaches quantile percent; its value is bin / (bins - 1).
     init_max takes the greatest bin instead, as scores are when no later merge has changed them.
     """
-    bin_of = F.least(F.greatest(F.floor(F.col("affinity") * (bins - 1)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    h = affinity.where(F.col("affinity").isNotNull() & ~F.isnan("affinity")).groupBy("u", "v", bin_of.alias("bin")).agg(F.count("*").alias("n"))
     if init_max:
-        return h.groupBy("u", "v").agg((1 - F.max("bin") / (bins - 1)).alias("merge_score"))
-    pair = Window.partitionBy("u", "v")  # at most bins rows
-    upto = F.sum("n").over(pair.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    at = h.withColumn("upto", upto).withColumn("all", F.sum("n").over(pair)).where(F.col("upto") * 100 >= F.col("all") * quantile)
-    return at.groupBy("u", "v").agg((1 - F.min("bin") / (bins - 1)).alias("merge_score"))
+        return _histogram(affinity, bins).groupBy("u", "v").agg((1 - F.max("bin") / (bins - 1)).alias("merge_score"))
+    return all_quantile_scores(affinity, [quantile], bins).drop("q")
 
 
 #: Merge functions by name: how the affinities of a contact give its score.

@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 
 from plexigrid.operators.skew import skew_join
 
+#: Node ids that one window takes.
+RANGE = 65536
+
 
 def beside(*ones: DataFrame) -> DataFrame:
     """One-row tables of numbers with different columns as one row."""
@@ -56,10 +59,11 @@ def path_edges(nodes: DataFrame) -> DataFrame:
 
     nodes: node, skeleton_id, seg_label, z, y, x, each node once; nodes without position or skeleton
     are left out. A hot skeleton is cut into ranges of node ids: within a range a window finds the
-    next node, across ranges the last and first nodes are linked.
+    next node, across ranges the last and first nodes are linked (one row a range, so that even a
+    skeleton of 10^11 nodes leaves under two million rows to that window).
     """
     ok = nodes.where("skeleton_id is not null and z is not null and y is not null and x is not null")
-    part = F.floor(F.col("node") / 4096).alias("_part")
+    part = F.floor(F.col("node") / RANGE).alias("_part")
     rows = ok.select("skeleton_id", part, F.struct("node", "seg_label", "z", "y", "x").alias("a"))
     within = rows.withColumn("b", F.lead("a").over(Window.partitionBy("skeleton_id", "_part").orderBy("a.node"))).where("b is not null").select("skeleton_id", "a", "b")
     seams = rows.groupBy("skeleton_id", "_part").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
@@ -142,7 +146,7 @@ def fresh_labels(nodes: DataFrame, voxel: float) -> DataFrame:
     """
     at = nodes.withColumn("_vox", F.struct(*[F.floor(F.col(c) / voxel).alias(c) for c in "zyx"]))
     zero = at.where("seg_label = 0").groupBy("_vox").agg(F.min("node").alias("_first"))
-    span = F.floor(F.col("_first") / 65536)
+    span = F.floor(F.col("_first") / RANGE)
     ranked = zero.withColumn("_span", span).withColumn("_in", F.row_number().over(Window.partitionBy("_span").orderBy("_first")))
     offsets = ranked.groupBy("_span").agg(F.count("*").alias("_n"))
     # one row per 65,536 node ids

@@ -11,7 +11,8 @@ from plexigrid.operators import graph as G
 from plexigrid.operators import metrics as M
 from plexigrid.operators import relabel as L
 from plexigrid.operators.geometry import Roi, face_neighbours, halo_blocks, voxel_of
-from plexigrid.session import cut, table
+from plexigrid.session import cut, fresh_path, table
+from plexigrid.sources.volumes import read_lut, write_lut
 
 T = 0.2
 BLOCK = ["bz", "by", "bx"]
@@ -94,6 +95,14 @@ def lut_chain(s, d):
     return L.compose(first, second)
 
 
+def lut_store(s, d):
+    """The tables of a sweep stored by stage and threshold, and the one of 0.1 read back from its partition alone."""
+    path = fresh_path(s, "luts")
+    swept = G.threshold_sweep(clean_edges(s, d), [0.05, 0.1])
+    write_lut(swept.withColumn("stage", F.lit("local_to_global")), path)
+    return read_lut(s, path, "local_to_global", 0.1).select("key", "value")
+
+
 def edge_endpoint_remap(s, d):
     return G.canonical(L.remap_ends(clean_edges(s, d).select("u", "v"), _lut(s, d)))
 
@@ -219,7 +228,7 @@ def error_listing(s, d):
 
 
 _NAMES = """error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
-cc_two_phase lut_self_ref_filter lut_remap lut_chain edge_endpoint_remap face_neighbour_blocks face_neighbour_remap halo_join
+cc_two_phase lut_self_ref_filter lut_remap lut_chain lut_store edge_endpoint_remap face_neighbour_blocks face_neighbour_remap halo_join
 axis_swap world_to_voxel_floor point_label_lookup skeleton_components skeleton_lengths erl split_edges split_histogram merge_counts
 merge_sites fresh_labels rasterise rand_voi_skeletons rand_voi_lang_source rand_voi_flag_status eval_report"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -279,6 +288,7 @@ SQL = {
     "lut_self_ref_filter": _E + _cc("c", 0.1) + "SELECT * FROM c WHERE key <> value",
     "lut_remap": _E + _cc("c", 0.1) + "SELECT DISTINCT coalesce(value, id) AS id, bz, by, bx FROM rag_nodes LEFT JOIN c ON c.key = id WHERE id IS NOT NULL",
     "lut_chain": _E + _cc("c", 0.1) + _cc("k", T) + ", r AS (SELECT k.key, k.value FROM k) SELECT key, value FROM r WHERE key IN (SELECT key FROM c) OR key IN (SELECT coalesce(c.value, w) FROM (SELECT u AS w FROM ce WHERE s > 0.1 AND s <= 0.2 UNION SELECT v FROM ce WHERE s > 0.1 AND s <= 0.2) LEFT JOIN c ON c.key = w)",
+    "lut_store": _E + _cc("c", 0.1) + "SELECT * FROM c",
     "edge_endpoint_remap": _E + _cc("c", 0.1) + "SELECT DISTINCT least(coalesce(a.value, u), coalesce(b.value, v)) AS u, greatest(coalesce(a.value, u), coalesce(b.value, v)) AS v FROM ce LEFT JOIN c a ON a.key = u LEFT JOIN c b ON b.key = v WHERE coalesce(a.value, u) <> coalesce(b.value, v)",
     "face_neighbour_blocks": _E + "SELECT a.bz, a.by, a.bx, b.bz AS nbz, b.by AS nby, b.bx AS nbx FROM blk a JOIN blk b ON abs(a.bz - b.bz) + abs(a.by - b.by) + abs(a.bx - b.bx) = 1",
     "face_neighbour_remap": _E + """, ids AS (SELECT id, min({'z': bz, 'y': by, 'x': bx}) AS b FROM rag_nodes WHERE id IS NOT NULL GROUP BY id),

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plexigrid.functions.jsontext import finite_number, strict_object
 from plexigrid.operators import geometry as geo
@@ -14,6 +15,7 @@ from plexigrid.operators import scores as S
 from plexigrid.operators.graph import seed_distance
 from plexigrid.operators.training import reject
 from plexigrid.session import fresh_path, table
+from plexigrid.streaming.compact import lines_of
 from plexigrid.streaming.resume import completed_blocks, remaining
 
 METRICS = ["erl_norm", "voi", "rand", "erl_voi", "erl_rand"]
@@ -206,6 +208,35 @@ def submission_check(s, d):
     return b.select("task", "block_id", ok.alias("full"))
 
 
+def overwrite_sections(s, d):
+    """Blocks to be done again as sections of 40 nm (numbers 300 to 303 and 500) are overwritten, with those they meet."""
+    sections = F.array(*[F.lit(n) for n in (300, 301, 302, 303, 500)])
+    met = F.filter(sections, lambda n: (n * 40 < F.col("wz1")) & ((n + 1) * 40 > F.col("wz0")))
+    b = blocks(s, d).withColumn("met", met).where(F.size("met") > 0)
+    return b.select("task", "block_id", "wz0", F.array_min("met").alias("first"), F.array_max("met").alias("last"))
+
+
+def section_context(s, d):
+    """Read region of a block whose fragments are made section by section: the context along z is 0."""
+    b = blocks(s, d)
+    return b.select("task", "block_id", F.col("wz0").alias("z0"), F.col("wz1").alias("z1"), *[F.col(f"r{a}{e}").alias(f"{a}{e}") for a in "yx" for e in "01"])
+
+
+def chunk_offsets(s, d):
+    """Where the lines of each file start in the list of all lines of its task, in order of file_id, and how many there are.
+
+    Lines are counted per file; the running sum goes over ranges of 4096 file ids first, so that no
+    window holds a task's files at once.
+    """
+    f = table(s, d, "block_files").select("task", "file_id", F.coalesce(F.size(lines_of(F.col("body"))), F.lit(0)).cast("bigint").alias("lines"))
+    f = f.withColumn("lines", F.greatest("lines", F.lit(0))).withColumn("_part", F.floor(F.col("file_id") / 4096))
+    within = Window.partitionBy("task", "_part").orderBy("file_id").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy("task").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = f.groupBy("task", "_part").agg(F.sum("lines").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(across), F.lit(0)))
+    placed = f.withColumn("_in", F.coalesce(F.sum("lines").over(within), F.lit(0))).join(parts.drop("n"), ["task", "_part"])
+    return placed.select("task", "file_id", "lines", (F.col("_before") + F.col("_in")).alias("begin"))
+
+
 def completion_stats(s, d):
     t = table(s, d, "completion_db_col").select("task", "block_id", "start", "duration").distinct()
     return t.groupBy("task").agg(F.countDistinct("block_id").alias("blocks"), F.round(F.avg("duration"), 4).alias("mean_s"), F.max("duration").alias("longest_s"))
@@ -225,7 +256,7 @@ def reject_batches(s, d):
 _NAMES = """score_filter_in topn_best_threshold union_top_metrics score_csv best_per_checkpoint json_scores blend_check score_to_json
 sweep_grid threshold_names score_text_hash roi_containment roi_intersection block_context block_tiling_shrink block_tiling_overhang
 block_tiling_valid chunk_blocks_in_roi grid_offset compatible_roi divisible seed_distances anti_completed block_precheck
-submission_check completion_stats stream_resume reject_batches"""
+submission_check overwrite_sections section_context chunk_offsets completion_stats stream_resume reject_batches"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _T = r"""WITH t AS (SELECT *, regexp_replace(scores, '([:,\[]\s*)-?(NaN|Infinity)', '\1null', 'g') AS s FROM scores),
@@ -292,6 +323,10 @@ WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.network = r.network AND t.checkpoint =
     "anti_completed": "WITH n AS (SELECT concat_ws('_', bz, by, bx) AS block_id, count(DISTINCT id) AS nodes FROM rag_nodes GROUP BY 1) SELECT '03_agglomerate' AS task, block_id, nodes FROM n WHERE block_id NOT IN (SELECT block_id FROM completion_db_col WHERE task = '03_agglomerate' AND block_id IS NOT NULL)",
     "block_precheck": _B + ", n AS (SELECT concat_ws('_', bz, by, bx) AS block_id, count(DISTINCT id) AS nodes FROM rag_nodes GROUP BY 1) SELECT DISTINCT block_id, wz0, CASE WHEN wz1 <= 8316 OR wz0 >= 31383 THEN 'outside' WHEN wz0 <= 20000 AND wz1 > 20000 THEN 'redo' WHEN nodes >= 1 THEN 'done' ELSE 'open' END AS state FROM b LEFT JOIN n USING (block_id) WHERE task = '03_agglomerate'",
     "submission_check": _B + "SELECT task, block_id, " + " AND ".join(f"w{a}1 - w{a}0 = max_edge_nm AND w{a}0 % voxel_nm = 0" for a in "zyx") + ' AS "full" FROM g',
+    "overwrite_sections": _B + ", n AS (SELECT unnest([300, 301, 302, 303, 500]) AS k) SELECT task, block_id, wz0, min(k) AS first, max(k) AS last FROM b JOIN n ON k * 40 < wz1 AND (k + 1) * 40 > wz0 GROUP BY ALL",
+    "section_context": _B + "SELECT task, block_id, wz0 AS z0, wz1 AS z1, ry0 AS y0, ry1 AS y1, rx0 AS x0, rx1 AS x1 FROM b",
+    "chunk_offsets": """WITH f AS (SELECT task, file_id, len(list_filter(string_split(replace(coalesce(body, ''), chr(13), chr(10)), chr(10)), lambda x: trim(x) <> '')) AS lines FROM block_files)
+SELECT task, file_id, lines, coalesce(sum(lines) OVER (PARTITION BY task ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin FROM f""",
     "completion_stats": "SELECT task, count(DISTINCT block_id) AS blocks, round(avg(duration), 4) AS mean_s, max(duration) AS longest_s FROM (SELECT DISTINCT task, block_id, start, duration FROM completion_db_col) GROUP BY task",
     "stream_resume": "SELECT DISTINCT task, block_id FROM completion_db_col",
     "reject_batches": "SELECT user_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, round(avg(CASE WHEN event_type IN ('click', 'view') THEN 1.0::DOUBLE ELSE 0 END), 6) AS ratio FROM events GROUP BY 1, 2 HAVING avg(CASE WHEN event_type IN ('click', 'view') THEN 1.0::DOUBLE ELSE 0 END) > 0.5 AND max(CAST(event_type = 'purchase' AS INT)) = 1",

@@ -129,6 +129,13 @@ def skip_empty_blocks(s, d):
     return skip_empty(blocks, "vec_id", "v", F.round(F.array_max("v") * 255, 3))
 
 
+def stack_channels(s, d):
+    """The volume and its mask as two channels of one table (c), as networks take them."""
+    v = voxels(s, d)
+    channels = F.array(F.struct(F.lit(0).alias("c"), F.round("value", 6).alias("value")), F.struct(F.lit(1).alias("c"), F.when(F.col("value") > 0, 1.0).otherwise(0.0).alias("value")))
+    return v.select(*KEY, F.explode(channels).alias("s")).select("s.c", *KEY, "s.value")
+
+
 def rag_contacts(s, d):
     return G.contacts(labels(s, d)).groupBy("block", "u", "v").agg(F.count("*").alias("contacts"))
 
@@ -143,12 +150,7 @@ def rag_mean_score(s, d):
 
 
 def rag_hist_quantiles(s, d):
-    a = _contact_affinities(s, d)
-    out = None
-    for q in G.QUANTILES:
-        one = G.quantile_scores(a, q).select(F.lit(q).alias("q"), "u", "v", F.round("merge_score", 6).alias("merge_score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return G.all_quantile_scores(_contact_affinities(s, d), G.QUANTILES).select("q", "u", "v", F.round("merge_score", 6).alias("merge_score"))
 
 
 def rag_hist_initmax(s, d):
@@ -211,7 +213,7 @@ def intensity_noise(s, d):
 
 _NAMES = """scale_pyramid sample_point_check intensity_noise voxel_explode voxel_pack voxel_slice voxel_project voxel_downsample2 voxel_downsample3 voxel_transpose voxel_meanpool
 intensity_scale normalize_uint8 section_delete section_replace pad_grid constant_mask unlabelled_mask keep_labels distinct_labels
-affinity_offsets grow_boundary dilate_sections label_balance block_sums skip_empty_blocks rag_contacts rag_mean_score
+affinity_offsets grow_boundary dilate_sections label_balance stack_channels block_sums skip_empty_blocks rag_contacts rag_mean_score
 rag_hist_quantiles rag_hist_initmax fragment_centers cc_voxels agglomerate_single_linkage watershed_fragments
 agglomerate_hierarchical weak_fragments"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -252,6 +254,7 @@ WHERE b.block = a.block AND b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox
     "grow_boundary": _V + "SELECT block, z, y, x, CASE WHEN EXISTS (SELECT 1 FROM lab b WHERE b.block = a.block AND abs(b.z - a.z) + abs(b.y - a.y) + abs(b.x - a.x) = 1 AND b.label <> a.label) THEN 0 ELSE label END AS label FROM lab a",
     "dilate_sections": _V + "SELECT a.block, a.z, a.y, a.x, CASE WHEN a.label = 0 THEN max(b.label) ELSE a.label END AS label FROM lab a JOIN lab b ON b.block = a.block AND b.z = a.z AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY a.block, a.z, a.y, a.x, a.label",
     "label_balance": _V + "SELECT label, count(*) AS n, round((SELECT count(*) FROM lab) / ((SELECT count(DISTINCT label) FROM lab) * count(*))::DOUBLE, 6) AS weight FROM lab GROUP BY label",
+    "stack_channels": _V + "SELECT 0 AS c, block, z, y, x, round(value, 6) AS value FROM vox UNION ALL SELECT 1, block, z, y, x, CASE WHEN value > 0 THEN 1.0::DOUBLE ELSE 0 END FROM vox",
     "block_sums": _V + "SELECT block, round(sum(value), 5) AS total, round(avg(value), 6) AS mean, max(value) AS high FROM vox GROUP BY block",
     "skip_empty_blocks": "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0.0::DOUBLE ELSE round(list_max(embedding)::DOUBLE * 255, 3) END AS result FROM embeddings",
     "rag_contacts": _V + "SELECT block, u, v, count(*) AS contacts FROM con GROUP BY ALL",

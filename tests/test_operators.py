@@ -49,6 +49,13 @@ def test_components_and_two_phases(spark, seed):
     assert dict(rows(G.two_phase_components(e.where("u is not null and v is not null")))) == want
 
 
+def test_two_phases_of_one_hot_block(spark):
+    pairs = [(i, i + 1) for i in range(0, 300, 2)] + [(i, i + 2) for i in range(0, 298, 2)] + [(None, 5), (5, None), (9, 9)]
+    e = spark.createDataFrame([(u, v, 0, 0, 0) for u, v in pairs], "u bigint, v bigint, bz bigint, by bigint, bx bigint").repartition(3)
+    assert dict(rows(G.two_phase_components(e))) == brute_components(pairs)
+    assert rows(G.two_phase_components(e.limit(0))) == []
+
+
 def test_components_of_nothing(spark):
     assert G.components(spark.createDataFrame([(1, 1), (None, 2)], "u bigint, v bigint")).count() == 0
 
@@ -179,6 +186,27 @@ def test_quantile_scores(spark):
     assert len(G.MERGE_FUNCTIONS) == 17
 
 
+def test_all_quantiles_are_the_single_ones(spark):
+    rnd = random.Random(3)
+    data = [(u, u + 1, rnd.choice([0.0, 0.25, 0.5, 1.0, 1.5, rnd.random()])) for u in range(4) for _ in range(60)] + [(1, 2, None), (1, 2, float("nan"))]
+    a = spark.createDataFrame(data, "u bigint, v bigint, affinity double")
+    want = set()
+    for q in G.QUANTILES:
+        for u in range(4):
+            bins = sorted(min(max(int(x * 255), 0), 255) for w, _, x in data if w == u and x is not None and x == x)
+            want.add((q, u, u + 1, round(1 - bins[max(0, -(-len(bins) * q // 100) - 1)] / 255, 9)))
+    got = [(r.q, r.u, r.v, round(r.merge_score, 9)) for r in G.all_quantile_scores(a, G.QUANTILES).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert rows(G.all_quantile_scores(a, [])) == [] and rows(G.all_quantile_scores(a.limit(0), [50])) == []
+
+
+def test_paths_across_ranges_of_nodes(spark):
+    ids = [1, 2, M.RANGE - 1, M.RANGE, M.RANGE + 5, 9 * M.RANGE]
+    n = spark.createDataFrame([(i, s, 1, float(k), 0.0, 0.0) for s in (7, 8) for k, i in enumerate(x + s - 7 for x in ids)], "node bigint, skeleton_id bigint, seg_label bigint, z double, y double, x double")
+    got = rows(M.path_edges(n).select("skeleton_id", "u", "v", "length"))
+    assert got == sorted((s, a + s - 7, b + s - 7, 1.0) for s in (7, 8) for a, b in zip(ids, ids[1:]))
+
+
 def test_scores_and_reports(spark):
     r = spark.createDataFrame([(1, "a", 1, 0.1, 3.0), (2, "a", 1, 0.2, 5.0), (3, "a", 2, 0.1, 4.0), (4, "b", 9, 0.1, None)], "score_id bigint, network string, checkpoint int, threshold double, m double")
     assert rows(S.top_entries(r, "m", 2, "score_id")) == [("a", 1, 0.2), ("a", 2, 0.1)]
