@@ -223,7 +223,7 @@ def find_truncated(docs: DataFrame, ident: str = "doc_id", text: str = "text", s
     lines = seen.where(F.col("_ask").startswith("line ") | F.col("_ask").startswith("tail ")).select("_id", "_s", "_ask")
     usual = F.when(F.col("_ask").startswith("line "), max(USUAL_LEAST, seen.count() * USUAL)).otherwise(2)
     rare = lines.groupBy("_ask").agg(F.countDistinct("_id").alias("n")).where(F.col("n") < usual).select("_ask")
-    short = lines.join(rare, "_ask", "left_semi").select("_id", "_s", F.lit("sentence").alias("reason"))
+    short = skew_join(lines, rare, "_ask", "left_semi").select("_id", "_s", F.lit("sentence").alias("reason"))  # many texts may end alike
     doubtful = seen.where(F.col("_ask") == "ellipsis")
     sizes = seen.select("_s", F.explode(F.array_distinct(F.array("_chars", "_bytes"))).alias("_size"))
     near = F.sum("n").over(Window.partitionBy("_s", F.floor(F.col("_size") / 4096)).orderBy("_size").rangeBetween(-25, 25))  # at most 4096 rows
