@@ -283,3 +283,12 @@ def test_truncation_of_tables(spark):
     assert rows(found.select("doc_id", "source", "reason")) == [(2, "s", "copy"), (8, "t", "sentence")]
     assert {r.source: (r.documents, r.truncated) for r in truncation_rates(docs, found).collect()} == {"s": (3, 1), "t": (3, 1), None: (2, 0)}
     assert find_truncated(docs.limit(0)).count() == 0
+
+
+def test_copies_of_a_cut_text_are_no_evidence_of_a_natural_ending(spark):
+    head = "From: Cid <c@d.example>\nX-Kept: again\n\n"
+    data = [(1, mail(BODY)), (2, head + BODY.replace("\n", "\r\n") + " "), (3, mail("Hi,\n\n+1")), (4, mail("Hi,\n\n+1") + "\n"), (5, mail("Hi,\n\n+1"))]
+    data += [(10 + i, mail(f"Note {i}.\n\nThis list is run by the volunteers of the north harbour")) for i in range(2)]  # distinct bodies end so
+    for extra in (0, 300):  # short lines are judged by the same share of few and of many texts
+        docs = spark.createDataFrame([*data, *[(100 + i, mail(f"All is well on day {i}.")) for i in range(extra)]], "doc_id bigint, text string").withColumn("source", F.lit("s"))
+        assert {r.doc_id: r.reason for r in find_truncated(docs).collect()} == dict.fromkeys(range(1, 6), "sentence")
