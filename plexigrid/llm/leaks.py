@@ -3,13 +3,18 @@
 Every window of as many words as a test passage has gets a 64-bit SimHash. Two fingerprints within
 radius r agree in at least one of r + 1 blocks of bits, so that looking up each block finds all
 fingerprints within the radius. Candidates are then compared by the exact weighted similarity of
-their word shingles. The corpus is read once per bounded chunk of test items, in map tasks alone;
+their word shingles. A radius that finds nearly all windows of a similarity below 1.0 would be wide
+(one of 25 words changed moves about 5 of the 64 bits), so that without a radius such windows are
+looked up by their shingles instead: any similarity above 0 needs one in common, and bounds of the
+weights leave the windows that can reach the similarity; none is missed. The corpus is read once per bounded chunk of test items, in map tasks alone;
 nothing of it is shuffled but the matches.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from math import fsum
 
 import numpy as np
 import pandas as pd
@@ -80,8 +85,10 @@ def fingerprints(signs: Signs, ws: list[str], window: int) -> np.ndarray:
 class Items:
     """A bounded chunk of test items, ready for lookup by blocks of fingerprint bits."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], window: int, radius: int, shingle: int):
+    def __init__(self, items: list[tuple[int, list[str]]], window: int, radius: int | None, shingle: int):
         self.window, self.radius, self.shingle = window, radius, shingle
+        self.exact = radius is None
+        radius = radius or 0
         signs = Signs()
         self.words: list[list[str]] = [w for _, w in items]
         prints, owner, start = [], [], []
@@ -109,6 +116,84 @@ class Items:
             for s in {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)}:
                 seen[s] = seen.get(s, 0) + 1
         self.weight = {s: 1.0 / n for s, n in seen.items()}
+        if self.exact:
+            self.having: dict[tuple, list[int]] = defaultdict(list)  # the items of every shingle
+            for k, w in enumerate(self.words):
+                if len(w) >= window:
+                    for s in {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)}:
+                        self.having[s].append(k)
+            self.code = {x: xxhash.xxh3_64_intdigest(x) | 1 for s in self.having for x in s}
+            self.sums = np.unique(np.array([self._sums(np.array([self.code[x] for x in s], np.uint64))[0] for s in self.having] or [0], np.uint64))
+            self.at: list[list[int]] = [[] for _ in items]
+            for j, k in enumerate(self.owner.tolist()):
+                self.at[k].append(j)
+            self.sets: dict[int, tuple[set, float]] = {}
+
+    def _sums(self, codes: np.ndarray) -> np.ndarray:
+        """A hash of every shingle of consecutive codes."""
+        n = len(codes) - self.shingle + 1
+        total = np.zeros(max(n, 0), np.uint64)
+        for i in range(self.shingle if n > 0 else 0):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+        return total
+
+    def shingles_at(self, ws: list[str]) -> np.ndarray:
+        """Where shingles of ws begin that may be in an item (all that are, and chance hits of the hash)."""
+        codes = np.fromiter((self.code.get(w, 0) for w in ws), np.uint64, len(ws))
+        known = np.concatenate([[0], np.cumsum(codes != 0)])
+        pos = np.nonzero(known[self.shingle :] - known[: -self.shingle] == self.shingle)[0] if len(ws) >= self.shingle else np.empty(0, np.int64)
+        if not len(pos):
+            return pos
+        sums = self._sums(codes)[pos]
+        return pos[self.sums[np.minimum(np.searchsorted(self.sums, sums), len(self.sums) - 1)] == sums]
+
+    def _weigh(self, shingles: set) -> float:
+        return fsum(self.weight.get(g, 1.0) for g in shingles)
+
+    def _set(self, j: int) -> tuple[set, float]:
+        if j not in self.sets:
+            w, s, at = self.words[self.owner[j]], self.shingle, self.start[j]
+            y = {tuple(w[i : i + s]) for i in range(at, at + self.window - s + 1)}
+            self.sets[j] = y, self._weigh(y)
+        return self.sets[j]
+
+    def best(self, ws: list[str], hits: list[int], k: int, least: float) -> float:
+        """The best similarity of a window of ws and one of item k, 0.0 if it is under least; hits: where shingles of item k begin in ws."""
+        s, size, best = self.shingle, self.window, 0.0
+        span, last = size - s + 1, len(ws) - size
+        runs = np.split(np.array(hits), np.nonzero(np.diff(hits) > 2 * span)[0] + 1)
+        for run in runs:
+            lo, hi = max(0, int(run[0]) - span + 1), min(last, int(run[-1]))
+            if lo > hi:
+                continue
+            grams = [tuple(ws[i : i + s]) for i in range(lo, hi + span)]
+            weight = np.array([self.weight.get(g, 1.0) for g in grams])
+            ours = np.zeros(len(grams), bool)
+            inside = run[(run >= lo) & (run < hi + span)]
+            ours[inside - lo] = True
+            seen: dict[tuple, int] = {}
+            first = np.zeros(len(grams), bool)  # no window has the shingle earlier: it counts in each
+            for i, g in enumerate(grams):
+                first[i] = i - seen.get(g, -span) >= span
+                seen[g] = i
+            shared, other = (np.concatenate([[0.0], np.cumsum(weight * m)]) for m in (ours, ~ours & first))
+            shared, other = shared[span:] - shared[:-span], other[span:] - other[:-span]
+            # shared is at least the common weight, other at most that of the window's shingles which the item has not
+            for i in np.nonzero((shared > 1e-12) & (shared * (1 - least) >= other * least - 1e-9))[0].tolist():
+                a, x = ws[lo + i : lo + i + size], set(grams[i : i + span])
+                wx = self._weigh(x)
+                for j in self.at[k]:
+                    y, wy = self._set(j)
+                    if min(wx, wy) < max(wx, wy) * max(least, best) - 1e-9:
+                        continue
+                    common = self._weigh(x & y)
+                    if common > 0 and common >= (wx + wy - common) * max(least, best) - 1e-9:
+                        sim = self.similarity(a, j)
+                        if sim >= least and sim > best:
+                            best = sim
+                            if best >= 1.0:
+                                return best
+        return best
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (position, item window) whose fingerprints differ in at most radius bits."""
@@ -137,9 +222,8 @@ class Items:
             return 1.0
         x = {tuple(a[i : i + s]) for i in range(len(a) - s + 1)}
         y = {tuple(b[i : i + s]) for i in range(len(b) - s + 1)}
-        weigh = lambda z: sum(self.weight.get(g, 1.0) for g in z)
-        union = weigh(x | y)
-        return min(weigh(x & y) / union if union else 0.0, 1.0 - 1e-9)
+        union = self._weigh(x | y)
+        return min(self._weigh(x & y) / union if union else 0.0, 1.0 - 1e-9)
 
 
 def _scan(items: Items, read: Callable[[str], list[str]], min_similarity: float):
@@ -147,7 +231,26 @@ def _scan(items: Items, read: Callable[[str], list[str]], min_similarity: float)
         signs = Signs()
         size = items.window
 
+        def flush_exact(ws: list[str], bounds: list[tuple[int, int, int]], best: dict) -> None:
+            pos = items.shingles_at(ws)
+            firsts = np.array([b[0] for b in bounds])
+            hits: dict[tuple[int, int], list[int]] = defaultdict(list)
+            for p, g in zip(pos.tolist(), (np.searchsorted(firsts, pos, "right") - 1).tolist()):
+                if p + items.shingle <= bounds[g][1]:
+                    for k in items.having.get(tuple(ws[p : p + items.shingle]), ()):
+                        hits[g, k].append(p - bounds[g][0])
+            for (g, k), at in hits.items():
+                first, end, doc = bounds[g]
+                item = int(items.ids[k])
+                old = best.get((doc, item), 0.0)
+                if old < 1.0:
+                    sim = items.best(ws[first:end], at, k, max(min_similarity, old))
+                    if sim > old:
+                        best[doc, item] = sim
+
         def flush(ws: list[str], bounds: list[tuple[int, int, int]], best: dict) -> None:
+            if items.exact:
+                return flush_exact(ws, bounds, best)
             prints = fingerprints(signs, ws, size)
             pos, k = items.candidates(prints)
             if not len(pos):
@@ -207,7 +310,7 @@ def find_leaks(
     item_id: str = "item_id",
     text: str = "text",
     window: int = 13,
-    radius: int = 1,
+    radius: int | None = None,
     shingle: int = 5,
     min_similarity: float = 0.8,
     read: Callable[[str | None], list[str]] = readable,
@@ -215,9 +318,9 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, similarity: the documents with a window of words that is like a window of an item.
 
-    A window of a document and one of an item match if their SimHashes differ in at most radius bits
-    and the weighted similarity of their shingles is at least min_similarity; 1.0 asks for equal
-    words. similarity is the best of the document for the item. read turns a document's text into
+    A window of a document and one of an item match if the weighted similarity of their shingles is at
+    least min_similarity (1.0 asks for equal words; 0.0 is no similarity) and, if a radius is given,
+    their SimHashes differ in at most so many bits. similarity is the best of the document for the item. read turns a document's text into
     the texts to search (a passage is not sought across two of them). Null texts and ids, and items
     shorter than a window, match nothing; empty tables give no rows; repeated rows count once.
     Items are taken in chunks of at most chunk_words words (an item longer than that alone), each
@@ -225,6 +328,8 @@ def find_leaks(
     """
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())])
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    if radius is None and (min_similarity >= 1.0 or window < shingle):
+        radius = 0  # only equal words match, and they have equal fingerprints
     out = None
     for chunk in _chunks(items, item_id, text, chunk_words):
         found = rows.mapInPandas(_scan(Items(chunk, window, radius, shingle), read, min_similarity), schema)

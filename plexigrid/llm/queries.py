@@ -95,7 +95,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with a window of 25 words that is much like one of an item (five-word shingles, 0.8), not only equal to it."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
-    return find_leaks(docs, items, window=25, radius=3).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    return find_leaks(docs, items, window=25).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> Mix:

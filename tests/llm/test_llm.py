@@ -188,6 +188,33 @@ def test_blocks_find_all_within_radius():
     assert got == want and want
 
 
+def test_similar_windows_against_brute_force(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, [rnd.choice(vocabulary) for _ in range(rnd.choice([24, 25, 26, 40]))]) for i in range(12)]
+    items += [(20, ["ha"] * 30), (21, (["tick", "tock"] * 20)[:33]), (22, items[3][1][:30] + ["end"])]  # few distinct shingles; shared ones
+    texts = []
+    for i, w in items:
+        for at in (0, 1, 12, 23, 24, None):  # one word changed, or a passage of 24 equal words at any place
+            v = list(w)
+            if at is not None and at < len(v):
+                v[at] = "changed"
+            lead = [rnd.choice(vocabulary) for _ in range(rnd.randrange(30))]
+            texts.append([*lead, *v, *[rnd.choice(vocabulary) for _ in range(rnd.randrange(30))]])
+            texts.append([*lead, *w[rnd.randrange(2) :][:24], "new", *lead])
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id bigint, text string")
+    brute = Items(items, 25, 0, 5)
+    want = {}
+    for d, w in enumerate(texts):
+        for j, k in enumerate(brute.owner.tolist()):
+            sim = max((brute.similarity(w[p : p + 25], j) for p in range(len(w) - 24)), default=0.0)
+            if sim >= 0.8:
+                want[d, items[k][0]] = max(sim, want.get((d, items[k][0]), 0.0))
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_leaks(docs, table, window=25, read=lambda t: [t]).collect()}
+    assert got == pytest.approx(want) and sum(v < 1 for v in want.values()) > 50
+
+
 def test_leaves_of_nested_parts():
     inner = 'Content-Type: multipart/alternative; boundary="=_b1"\n\n--=_b1\nContent-Type: text/plain\n\none\n--=_b1\nContent-Type: text/html\n\n<p>two</p>\n--=_b1--\n'
     text = f'From: x\nContent-Type: multipart/mixed; boundary="=_b"\n\npreamble\n--=_b\n{inner}--=_b\nContent-Type: image/png\nContent-Transfer-Encoding: base64\n\nAAAA\n--=_b--\nend'
