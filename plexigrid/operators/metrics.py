@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexigrid.operators.skew import skew_join
+from plexigrid.operators.skew import salt_of, skew_join
+from plexigrid.session import cut
 
 #: Node ids that one window takes.
 RANGE = 65536
+#: Subgroups of the skeletons of a segment when its pairs are formed.
+SALTS = 16
 
 
 def beside(*ones: DataFrame) -> DataFrame:
@@ -120,7 +123,7 @@ def merge_sites(nodes: DataFrame, radius: float) -> DataFrame:
 
     Space is cut into cubes of the radius, so that a node meets only those of its own and the next
     cubes: an equi-join on (segment, cube), never all pairs of a segment. Ties go to the smaller u,
-    then v. merge_counts() has the number of pairs at any distance.
+    then v. all_merge_sites() has the pairs at any distance, merge_counts() their number.
     """
     ok = nodes.where("seg_label <> 0 and skeleton_id is not null and z is not null and y is not null and x is not null")
     cell = ok.withColumns({f"c{c}": F.floor(F.col(c) / radius).cast("bigint") for c in "zyx"})
@@ -138,6 +141,71 @@ def merge_sites(nodes: DataFrame, radius: float) -> DataFrame:
     return best.select("seg_label", "s1", "s2", "m.u", "m.v", "m.distance")
 
 
+def all_merge_sites(nodes: DataFrame, side: float, leaf: int = 256) -> DataFrame:
+    """seg_label, s1 < s2, u, v, distance: the nearest nodes of every two skeletons in one segment, at any distance.
+
+    Two skeletons with at most leaf pairs of nodes are compared where they meet, from lists of at most
+    leaf nodes; their rows are not shuffled. Any other pair begins as two boxes (of all nodes that each skeleton has in the segment) and goes down
+    nested cubes, a quarter as wide each time. Boxes that are further apart than two known nodes of
+    the pair (of each box its first) cannot hold the nearest ones and fall away. Nodes meet only
+    where the boxes left have at most leaf pairs of nodes, or in cubes of the smallest side. Bounds
+    are rounded as distances are, so that ties stay: they go to the smaller u, then v.
+    """
+    ok = nodes.where("seg_label <> 0 and skeleton_id is not null and z is not null and y is not null and x is not null")
+    busy = ok.select("seg_label", "skeleton_id").distinct().groupBy("seg_label").agg(F.count("*").alias("k")).where("k > 1").select("seg_label")
+    base = F.struct(*[F.floor(F.col(c) / side).cast("bigint").alias(c) for c in "zyx"])
+    ok = cut(skew_join(ok, busy, "seg_label", "left_semi").select("seg_label", F.col("skeleton_id").alias("s"), "node", "z", "y", "x", base.alias("base")), "merging")
+    spans = ok.agg(*[(F.max(f"base.{c}") - F.min(f"base.{c}")).alias(c) for c in "zyx"]).first()
+    shifts = [None, *range(max(0, (max((v or 0) for v in spans).bit_length() - 1) // 2 * 2), -1, -2)]  # cubes of 2^shift sides
+    number = F.lit(0).cast("bigint")
+
+    def cell(shift: int | None) -> Column:
+        return F.struct(*[(number if shift is None else F.shiftright(f"base.{c}", shift)).alias(c) for c in "zyx"])
+
+    def length(parts: list[Column]) -> Column:
+        return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+
+    def of(df: DataFrame, i: int, keys: list[str]) -> DataFrame:
+        return df.select("seg_label", *[F.col(c).alias(f"{c}{i}") for c in df.columns if c in ("s", *keys)])
+
+    def salted(df: DataFrame, i: int, keys: list[str]) -> DataFrame:
+        every = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
+        return of(df, i, keys).withColumn("salt", salt_of(F.col("s1"), SALTS) if i == 1 else every)
+
+    few = ok.groupBy("seg_label", "s").agg(F.count("*").alias("n")).where(F.col("n") <= leaf)
+    few = ok.join(few, ["seg_label", "s"]).groupBy("seg_label", "s", "n").agg(F.collect_list(F.struct("node", "z", "y", "x")).alias("a"))
+    few = cut(few, "few")
+    meet = salted(few, 1, ["n", "a"]).join(salted(few, 2, ["n", "a"]), ["seg_label", "salt"]).where((F.col("s1") < F.col("s2")) & (F.col("n1") * F.col("n2") <= leaf))
+    every = F.flatten(F.transform("a1", lambda a: F.transform("a2", lambda b: F.struct(length([a[c] - b[c] for c in "zyx"]).alias("distance"), a["node"].alias("u"), b["node"].alias("v")))))
+    short = meet.select("seg_label", "s1", "s2", F.array_min(every).alias("m"))
+    active, sites = None, []
+    for shift, before in zip(shifts, [None, *shifts]):
+        box = F.struct(F.count("*").alias("n"), F.min(F.struct("node", "z", "y", "x")).alias("a"), *[f(c).alias(f"{n}{c}") for c in "zyx" for n, f in (("lo", F.min), ("hi", F.max))])
+        boxes = ok.groupBy("seg_label", "s", cell(shift).alias("c"), cell(before).alias("p")).agg(box.alias("b"))
+        first, second = of(boxes, 1, ["c", "p", "b"]), of(boxes, 2, ["c", "p", "b"])
+        if active is None:  # one box a skeleton
+            both = salted(boxes, 1, ["c", "b"]).join(salted(boxes, 2, ["c", "b"]), ["seg_label", "salt"]).where((F.col("s1") < F.col("s2")) & (F.col("b1.n") * F.col("b2.n") > leaf))
+        else:
+            both = active.join(first, ["seg_label", "s1", "p1"]).join(second, ["seg_label", "s2", "p2"])
+        gap = [F.greatest(F.col(f"b1.lo{c}") - F.col(f"b2.hi{c}"), F.col(f"b2.lo{c}") - F.col(f"b1.hi{c}"), F.lit(0.0)) for c in "zyx"]
+        known = [F.col(f"b1.a.{c}") - F.col(f"b2.a.{c}") for c in "zyx"]
+        if active is not None:  # the bound of the boxes above holds for these too
+            both = both.where(length(gap) <= F.col("above"))
+        both = cut(both.select("seg_label", "s1", "s2", "c1", "c2", (F.col("b1.n") * F.col("b2.n")).alias("n"), length(gap).alias("least"), length(known).alias("most")), "boxes")
+        within = both.groupBy("seg_label", "s1", "s2").agg(F.min("most").alias("within"))
+        left = cut(both.join(within, ["seg_label", "s1", "s2"]).where("least <= within"), "boxes_left")
+        small = F.lit(True) if shift == 0 else F.col("n") <= leaf
+        at = ok.withColumn("c", cell(shift))
+        met = left.where(small).join(of(at, 1, ["node", "z", "y", "x", "c"]), ["seg_label", "s1", "c1"]).join(of(at, 2, ["node", "z", "y", "x", "c"]), ["seg_label", "s2", "c2"])
+        met = met.withColumn("distance", length([F.col(f"{c}1") - F.col(f"{c}2") for c in "zyx"]))
+        sites.append(met.groupBy("seg_label", "s1", "s2").agg(F.min(F.struct("distance", F.col("node1").alias("u"), F.col("node2").alias("v"))).alias("m")))
+        active = left.where(~small).select("seg_label", "s1", "s2", F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.col("within").alias("above"))
+        if shift == 0 or active.isEmpty():
+            break
+    best = reduce(DataFrame.unionByName, sites).groupBy("seg_label", "s1", "s2").agg(F.min("m").alias("m"))
+    return best.unionByName(short).select("seg_label", "s1", "s2", "m.u", "m.v", "m.distance")
+
+
 def fresh_labels(nodes: DataFrame, voxel: float) -> DataFrame:
     """node, seg_label with a new label for each voxel that has nodes of label 0: max + 1, + 2 ... by first node.
 

@@ -182,6 +182,11 @@ def merge_sites(s, d):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+def all_merge_sites(s, d):
+    """The nearest nodes of every two skeletons of a segment, also further apart than the radius of merge_sites."""
+    return M.all_merge_sites(skeletons(s, d), 100.0).withColumn("distance", F.round("distance", 6))
+
+
 def fresh_labels(s, d):
     return M.fresh_labels(skeletons(s, d).where("z is not null and y is not null and x is not null"), 33.0)
 
@@ -230,7 +235,7 @@ def error_listing(s, d):
 _NAMES = """error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
 cc_two_phase lut_self_ref_filter lut_remap lut_chain lut_store edge_endpoint_remap face_neighbour_blocks face_neighbour_remap halo_join
 axis_swap world_to_voxel_floor point_label_lookup skeleton_components skeleton_lengths erl split_edges split_histogram merge_counts
-merge_sites fresh_labels rasterise rand_voi_skeletons rand_voi_lang_source rand_voi_flag_status eval_report"""
+merge_sites all_merge_sites fresh_labels rasterise rand_voi_skeletons rand_voi_lang_source rand_voi_flag_status eval_report"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _E = """WITH RECURSIVE ce AS (SELECT DISTINCT u, v, coalesce(merge_score, 1.0) AS s, bz, by, bx FROM rag_edges WHERE u IS NOT NULL AND v IS NOT NULL),
@@ -317,6 +322,9 @@ SELECT * FROM c""",
   FROM p a JOIN p b ON a.seg_label = b.seg_label AND a.skeleton_id < b.skeleton_id AND b.z BETWEEN a.z - 100 AND a.z + 100 AND b.y BETWEEN a.y - 100 AND a.y + 100 AND b.x BETWEEN a.x - 100 AND a.x + 100 WHERE a.seg_label <> 0),
 w AS (SELECT *, row_number() OVER (PARTITION BY seg_label, s1, s2 ORDER BY d, u, v) AS r FROM pr WHERE d <= 100)
 SELECT seg_label, s1, s2, u, v, round(d, 6) AS distance FROM w WHERE r = 1""",
+    "all_merge_sites": _S + """, w AS (SELECT a.seg_label, a.skeleton_id AS s1, b.skeleton_id AS s2, min({'d': sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), 'u': a.node, 'v': b.node}) AS m
+  FROM p a JOIN p b ON a.seg_label = b.seg_label AND a.skeleton_id < b.skeleton_id WHERE a.seg_label <> 0 GROUP BY ALL)
+SELECT seg_label, s1, s2, m.u AS u, m.v AS v, round(m.d, 6) AS distance FROM w""",
     "fresh_labels": _S + """, k AS (SELECT *, floor(z / 33) AS a, floor(y / 33) AS b, floor(x / 33) AS c FROM n WHERE z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL),
 f AS (SELECT a, b, c, row_number() OVER (ORDER BY min(node)) AS r FROM k WHERE seg_label = 0 GROUP BY a, b, c)
 SELECT node, CASE WHEN seg_label = 0 THEN (SELECT max(seg_label) FROM k) + r ELSE seg_label END AS seg_label FROM k LEFT JOIN f USING (a, b, c)""",

@@ -99,6 +99,24 @@ def test_run_length_and_splits(spark):
     assert M.expected_run_length(M.path_edges(one.limit(0)), one.limit(0)).first().erl is None
 
 
+@pytest.mark.parametrize("leaf", [2, 256])
+def test_merge_sites_at_any_distance(spark, leaf):
+    rnd = random.Random(3)
+    data = [(i, rnd.choice([1, 2, 3, 4, None]), rnd.choice([7, 7, 7, 8, 0, None]), *(float(rnd.randrange(-900, 900)) for _ in range(3))) for i in range(240)]
+    data += [(1000 + i, 5 + i % 2, 9, 5.0 * (i // 2), 0.0, 30.0 * (i % 2)) for i in range(40)]  # ties all along
+    data += [(2000 + i, 7 + i % 2, 10, 1.0, 2.0, 3.0) for i in range(20)] + [(3000, 1, 11, 0.0, 0.0, 0.0), (3001, 2, 11, 9e5, 0.0, -9e5), (3002, 3, 11, None, 0.0, 0.0)]
+    want = {}
+    for u, s1, g, *a in data:
+        for v, s2, h, *b in data:
+            if g and g == h and s1 and s2 and s1 < s2 and None not in a + b:
+                d = sum((p - q) ** 2 for p, q in zip(a, b)) ** 0.5
+                want[g, s1, s2] = min(want.get((g, s1, s2), (d, u, v)), (d, u, v))
+    got = rows(M.all_merge_sites(paths(spark, data), 10.0, leaf))
+    assert [r[:5] for r in got] == sorted((*k, u, v) for k, (_, u, v) in want.items())
+    assert [r[5] for r in got] == pytest.approx([want[r[:3]][0] for r in got])
+    assert M.all_merge_sites(paths(spark, data).limit(0), 10.0).count() == 0
+
+
 def test_histogram_has_zero_bin(spark):
     sk = spark.createDataFrame([(1,), (2,), (3,), (3,)], "skeleton_id bigint")
     sp = spark.createDataFrame([(2,), (2,), (3,), (3,)], "skeleton_id bigint")
