@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -10,15 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexigrid.operators.relabel import remap, remap_ends
+from plexigrid.operators.relabel import remap
 from plexigrid.operators.skew import hot_keys, skew_join
-from plexigrid.operators.volume import shifted
+from plexigrid.operators.volume import BLOCK, BLOCKS, blocks_of, halo, shifted
 from plexigrid.session import cut, discard
 
 
 def scored(edges: DataFrame, score: str = "merge_score") -> DataFrame:
-    """Edges with a missing score as 1.0: below that they never merge."""
-    return edges.withColumn(score, F.coalesce(score, F.lit(1.0)))
+    """Edges with a missing score (null or NaN) as 1.0: below that they never merge."""
+    return edges.withColumn(score, F.coalesce(F.when(~F.isnan(score), F.col(score)), F.lit(1.0)))
 
 
 def under(edges: DataFrame, threshold: float, score: str = "merge_score") -> DataFrame:
@@ -32,44 +33,46 @@ def boundary_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select(*block, F.col("id")).where("id is not null").distinct()
     out = edges
     for end in ("u", "v"):
-        out = out.join(ids.withColumnRenamed("id", end).withColumn(f"_{end}", F.lit(True)), [*block, end], "left")
+        out = skew_join(out, ids.withColumnRenamed("id", end).withColumn(f"_{end}", F.lit(True)), [*block, end], "left", hot_keys(edges, [*block, end]))
     return out.where(F.col("_u").isNull() | F.col("_v").isNull()).select(edges.columns)
 
 
-def canonical(edges: DataFrame) -> DataFrame:
-    """u < v, each pair once; self pairs and null ends dropped."""
-    return edges.where(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def canonical(edges: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """u < v, each pair once (in each group of by); self pairs and null ends dropped."""
+    return edges.where(F.col("u") != F.col("v")).select(*by, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, by: Iterable[str] = (), max_rounds: int = 64) -> DataFrame:
     """key, value: every id that has an edge with the smallest id of its connected component.
 
     Alternating stars: every vertex links its larger neighbours to its smallest one, then its smaller
     ones to the smallest, until each component is one star. Each round is two grouped minima and two
-    joins; hot vertices are joined apart. An empty table gives no rows.
+    joins; hot vertices are joined apart. An empty table gives no rows. by names columns whose values
+    are graphs of their own (thresholds), all solved in the same rounds; they come first in the result.
     """
-    e = cut(canonical(edges), "stars")
+    by = list(by)
+    e = cut(canonical(edges, by), "stars")
     n = e.count()  # no round makes more edges than this
     if n == 0:
-        return e.select(F.col("u").alias("key"), F.col("v").alias("value"))
+        return e.select(*by, F.col("u").alias("key"), F.col("v").alias("value"))
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = skew_join(both, low, "u", hot=hot_keys(both, "u", most=2 * n)).where(F.col("v") > F.col("u")).select(F.col("_m").alias("u"), "v")
-        large = cut(canonical(large), "stars")
+        both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*by, "u").agg(F.min("v").alias("_m")).select(*by, "u", F.least("u", "_m").alias("_m"))
+        large = skew_join(both, low, [*by, "u"], hot=hot_keys(both, [*by, "u"], most=2 * n)).where(F.col("v") > F.col("u")).select(*by, F.col("_m").alias("u"), "v")
+        large = cut(canonical(large, by), "stars")
         # small star: of each larger end, its smaller ends and itself to the smallest
-        least = large.groupBy("v").agg(F.min("u").alias("_m"))
-        small = skew_join(large, least, "v", hot=hot_keys(large, "v", most=2 * n))
-        small = small.select(F.col("_m").alias("u"), F.col("u").alias("v")).unionByName(least.select(F.col("_m").alias("u"), "v"))
-        new = cut(canonical(small), "stars")
+        least = large.groupBy(*by, "v").agg(F.min("u").alias("_m"))
+        small = skew_join(large, least, [*by, "v"], hot=hot_keys(large, [*by, "v"], most=2 * n))
+        small = small.select(*by, F.col("_m").alias("u"), F.col("u").alias("v")).unionByName(least.select(*by, F.col("_m").alias("u"), "v"))
+        new = cut(canonical(small, by), "stars")
         # done when every vertex is either a center or a tip of one center
-        ends = new.select(F.col("u").alias("x"), F.lit(0).alias("tip")).unionByName(new.select(F.col("v").alias("x"), F.lit(1).alias("tip")))
-        starred = ends.groupBy("x").agg(F.sum("tip").alias("as_tip"), F.min("tip").alias("low")).where("as_tip > 1 or (as_tip = 1 and low = 0)").isEmpty()
+        ends = new.select(*by, F.col("u").alias("x"), F.lit(0).alias("tip")).unionByName(new.select(*by, F.col("v").alias("x"), F.lit(1).alias("tip")))
+        starred = ends.groupBy(*by, "x").agg(F.sum("tip").alias("as_tip"), F.min("tip").alias("low")).where("as_tip > 1 or (as_tip = 1 and low = 0)").isEmpty()
         discard(e)
         discard(large)
         e = new
         if starred:
-            return e.select(F.col("v").alias("key"), F.col("u").alias("value")).unionByName(e.select(F.col("u").alias("key"), F.col("u").alias("value")).distinct())
+            return e.select(*by, F.col("v").alias("key"), F.col("u").alias("value")).unionByName(e.select(*by, F.col("u").alias("key"), F.col("u").alias("value")).distinct())
     raise RuntimeError(f"not connected after {max_rounds} rounds")
 
 
@@ -79,30 +82,6 @@ def label_nodes(nodes: DataFrame, lut: DataFrame) -> DataFrame:
     return remap(ids.withColumn("component", F.col("id")), lut, "component", hot=[])
 
 
-def threshold_sweep(edges: DataFrame, thresholds: list[float], score: str = "merge_score") -> DataFrame:
-    """threshold, key, value: the components at every threshold.
-
-    A higher threshold only merges components of a lower one, so that each step contracts the graph
-    by the step before and looks at the edges that came in between alone.
-    """
-    out, lut, below = None, None, None
-    for t in sorted(set(thresholds)):
-        fresh = under(edges, t, score) if below is None else under(edges, t, score).where(F.col(score) > below)
-        fresh = fresh.select("u", "v")
-        if lut is None:
-            lut = components(fresh)
-        else:
-            step = components(remap_ends(fresh, lut))
-            old = lut
-            moved = remap(old, step, "value")
-            new = step.join(old.select("key"), "key", "left_anti")
-            lut = cut(moved.unionByName(new), "sweep")
-        level = lut.select(F.lit(float(t)).alias("threshold"), "key", "value")
-        out = level if out is None else out.unionByName(level)
-        below = t
-    return out
-
-
 def _forest(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """The smallest member of each id's component; u and v are positions in the sorted ids."""
     root = np.arange(len(ids))
@@ -117,6 +96,40 @@ def _forest(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _merges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each batch of (u, v, _level) the merges that every level adds: fewer than the batch has ids, at the levels of its lightest spanning forest."""
+    for batch in batches:
+        ids, at = np.unique(batch[["u", "v"]].to_numpy(), return_inverse=True)
+        at, level = at.reshape(-1, 2), batch["_level"].to_numpy()
+        root, out = np.arange(len(ids)), []
+        for k in np.unique(level):
+            u, v = root[at[level == k, 0]], root[at[level == k, 1]]
+            new = _forest(np.arange(len(ids)), u, v)
+            moved = np.nonzero((new != np.arange(len(ids))) & (root == np.arange(len(ids))))[0]  # roots that were taken over
+            out.append(pd.DataFrame({"u": ids[new[moved]], "v": ids[moved], "_level": np.full(len(moved), k, np.int32)}))
+            root = new[root]
+        yield pd.concat(out) if out else pd.DataFrame({"u": [], "v": [], "_level": []})
+
+
+def threshold_sweep(edges: DataFrame, thresholds: list[float], score: str = "merge_score") -> DataFrame:
+    """threshold, key, value: the components at every threshold.
+
+    All thresholds are solved in the same rounds. Before that, map tasks keep of each Arrow batch of
+    edges its lightest spanning forest only: an edge that closes a cycle of edges at or below its own
+    level joins nothing at any threshold. So what is spread over the thresholds is at most an edge a
+    vertex of a batch and threshold, as is the result. No thresholds or no edges give no rows.
+    """
+    steps = sorted({float(t) for t in thresholds})
+    if not steps:
+        return edges.select(F.lit(0.0).alias("threshold"), F.col("u").cast("bigint").alias("key"), F.col("v").cast("bigint").alias("value")).limit(0)
+    array = F.array(*[F.lit(t) for t in steps])
+    level = F.size(F.filter(array, lambda t: t < F.col(score))).cast("int")  # the first threshold that takes the edge
+    rows = edges.where((F.col("u") != F.col("v")) & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), level.alias("_level")).where(F.col("_level") < len(steps))
+    light = rows.mapInPandas(_merges, "u bigint, v bigint, _level int")
+    every = light.select("u", "v", F.explode(F.sequence(F.col("_level"), F.lit(len(steps) - 1))).alias("_level"))
+    return components(every, ["_level"]).select(F.get(array, F.col("_level")).alias("threshold"), "key", "value")
+
+
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         ids, at = np.unique(batch[["u", "v"]].to_numpy(), return_inverse=True)
@@ -143,9 +156,12 @@ def boundary_scores(affinity: DataFrame) -> DataFrame:
     return affinity.groupBy("u", "v").agg((1 - F.avg("affinity")).alias("merge_score"), F.count("*").alias("contacts"))
 
 
+def _bin_of(bins: int) -> Column:
+    return F.least(F.greatest(F.floor(F.col("affinity") * (bins - 1)), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
 def _histogram(affinity: DataFrame, bins: int) -> DataFrame:
-    bin_of = F.least(F.greatest(F.floor(F.col("affinity") * (bins - 1)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    return affinity.where(F.col("affinity").isNotNull() & ~F.isnan("affinity")).groupBy("u", "v", bin_of.alias("bin")).agg(F.count("*").alias("n"))
+    return affinity.where(F.col("affinity").isNotNull() & ~F.isnan("affinity")).groupBy("u", "v", _bin_of(bins).alias("bin")).agg(F.count("*").alias("n"))
 
 
 def all_quantile_scores(affinity: DataFrame, quantiles: Iterable[int], bins: int = 256) -> DataFrame:
@@ -173,7 +189,7 @@ def quantile_scores(affinity: DataFrame, quantile: int, bins: int = 256, init_ma
     return all_quantile_scores(affinity, [quantile], bins).drop("q")
 
 
-#: Merge functions by name: how the affinities of a contact give its score.
+#: Merge functions by name (fixed values): how the affinities of a contact give its score.
 QUANTILES = (10, 20, 25, 30, 40, 50, 60, 70, 75, 80, 90)
 MERGE_FUNCTIONS: dict[str, Callable[[DataFrame], DataFrame]] = {"mean": lambda a: boundary_scores(a).drop("contacts")}
 MERGE_FUNCTIONS |= {f"hist_quant_{q}": (lambda a, q=q: quantile_scores(a, q)) for q in QUANTILES}
@@ -181,15 +197,19 @@ MERGE_FUNCTIONS |= {f"hist_quant_{q}_initmax": (lambda a, q=q: quantile_scores(a
 
 
 def contacts(fragments: DataFrame, affinity: str | None = None) -> DataFrame:
-    """u < v for each pair of face neighbours with different labels, none 0; with the smaller affinity of both, if given."""
-    cols = fragments
-    near = shifted(cols, [(0, 0, 1), (0, 1, 0), (1, 0, 0)], "label")
-    if affinity:
-        other = shifted(cols, [(0, 0, 1), (0, 1, 0), (1, 0, 0)], affinity).withColumnRenamed("other", "_a")
-        near = near.join(other.select("block", "z", "y", "x", "oz", "oy", "ox", "_a"), ["block", "z", "y", "x", "oz", "oy", "ox"])
-        near = near.withColumn("affinity", F.least(affinity, "_a"))
-    touch = near.where((F.col("label") != F.col("other")) & (F.col("label") != 0) & (F.col("other") != 0))
-    return touch.select("block", F.least("label", "other").alias("u"), F.greatest("label", "other").alias("v"), *(["affinity"] if affinity else []))
+    """u < v for each pair of face neighbours with different labels, none 0; with the smaller affinity of both, if given.
+
+    Neighbours are sought in the block of a voxel, or in the whole grid if there is no block column.
+    With a margin (halo()) each pair counts once, at the voxel that comes first.
+    """
+    keys, faces = blocks_of(fragments), [(0, 0, 1), (0, 1, 0), (1, 0, 0)]
+    both = fragments.withColumn("_l", F.struct(F.col("label").alias("l"), F.col(affinity).alias("a")) if affinity else F.struct(F.col("label").alias("l")))
+    near = shifted(both, faces, "_l")
+    if "core" in fragments.columns:
+        near = near.where("core")
+    other = F.col("other.l")
+    touch = near.where((F.col("label") != other) & (F.col("label") != 0) & (other != 0))
+    return touch.select(*keys, F.least("label", other).alias("u"), F.greatest("label", other).alias("v"), *([F.least(affinity, "other.a").alias("affinity")] if affinity else []))
 
 
 def centers(fragments: DataFrame) -> DataFrame:
@@ -202,38 +222,84 @@ def agglomerate(affinity: DataFrame, threshold: float, merge: str = "mean") -> D
     return components(under(MERGE_FUNCTIONS[merge](affinity), threshold))
 
 
-def _hierarchy(threshold: float):
-    """Mean-affinity agglomeration of one block by repeatedly merging the contact of lowest score."""
+def _hierarchy(threshold: float, quantile: int | None, init_max: bool, bins: int):
+    """Agglomeration of one block: the contact of lowest score merges first, and its neighbours' contacts become one.
+
+    A contact is its histogram of affinities (counts and sums by bin). Its score is 1 - mean, or 1 -
+    the quantile; with init_max 1 - the greatest bin until a merge has changed the contact.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hist: dict[tuple[int, int], dict[int, int]] = {}
         total: dict[tuple[int, int], list[float]] = {}
-        for u, v, a in zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["affinity"].tolist()):
+        near: dict[int, set[int]] = {}
+        changed: set[tuple[int, int]] = set()
+        for u, v, k, n, s in zip(*(pdf[c].tolist() for c in ("u", "v", "bin", "n", "total"))):
+            h = hist.setdefault((u, v), {})
+            h[k] = h.get(k, 0) + n
             t = total.setdefault((u, v), [0.0, 0])
-            t[0] += a
-            t[1] += 1
+            t[0] += s
+            t[1] += n
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+
+        def score(pair: tuple[int, int]) -> float:
+            if quantile is None:
+                return 1 - total[pair][0] / total[pair][1]
+            h = hist[pair]
+            if init_max and pair not in changed:
+                return 1 - max(h) / (bins - 1)
+            upto = 0
+            for k in sorted(h):
+                upto += h[k]
+                if upto * 100 >= total[pair][1] * quantile:
+                    return 1 - k / (bins - 1)
+
+        heap = [(round(score(p), 12), p) for p in hist]
+        heapify(heap)
         out = []
-        while total:
-            (u, v), (s, n) = min(total.items(), key=lambda x: (round(1 - x[1][0] / x[1][1], 12), x[0]))
-            score = 1 - s / n
-            if score > threshold:
+        while heap:
+            rank, (u, v) = heappop(heap)
+            if (u, v) not in hist or rank != round(score((u, v)), 12):
+                continue  # merged away, or scored anew since
+            if score((u, v)) > threshold:
                 break
-            out.append((u, v, score))
-            del total[u, v]
-            for (a, b), t in [x for x in total.items() if v in x[0]]:
-                del total[a, b]
-                other = a if b == v else b
-                pair = (min(u, other), max(u, other))
-                m = total.setdefault(pair, [0.0, 0])
-                m[0] += t[0]
-                m[1] += t[1]
-        return pd.DataFrame(out, columns=["u", "v", "merge_score"]).assign(block=pdf["block"].iloc[0])[["block", "u", "v", "merge_score"]]
+            out.append((u, v, score((u, v))))
+            del hist[u, v], total[u, v]
+            near[u].discard(v)
+            for w in near.pop(v) - {u}:
+                old, pair = (min(v, w), max(v, w)), (min(u, w), max(u, w))
+                h, t = hist.pop(old), total.pop(old)
+                if pair in hist:
+                    for k, n in h.items():
+                        hist[pair][k] = hist[pair].get(k, 0) + n
+                    total[pair] = [total[pair][0] + t[0], total[pair][1] + t[1]]
+                    changed.add(pair)
+                else:
+                    hist[pair], total[pair] = h, t
+                    changed.add(pair) if old in changed else changed.discard(pair)
+                near[w].discard(v)
+                near[w].add(u)
+                near[u].add(w)
+                heappush(heap, (round(score(pair), 12), pair))
+        keys = {c: pdf[c].iloc[0] for c in pdf.columns if c in BLOCKS}
+        return pd.DataFrame(out, columns=["u", "v", "merge_score"]).assign(**keys)[[*keys, "u", "v", "merge_score"]]
 
     return run
 
 
-def agglomerate_blocks(affinity: DataFrame, threshold: float) -> DataFrame:
-    """block, u, v, merge_score: the merges inside each block in hierarchical order (v is merged into u < v)."""
-    return affinity.where("affinity is not null").groupBy("block").applyInPandas(_hierarchy(threshold), "block bigint, u bigint, v bigint, merge_score double")
+def agglomerate_blocks(affinity: DataFrame, threshold: float, quantile: int | None = None, init_max: bool = False, bins: int = 256) -> DataFrame:
+    """block, u, v, merge_score: the merges inside each block in hierarchical order (v is merged into u < v).
+
+    Contacts are summed up as histograms before the shuffle, so that a task takes at most bins rows a
+    contact of its block, however many voxels touch. quantile and init_max: see _hierarchy(); without
+    a quantile the mean decides. Null and NaN affinities do not count.
+    """
+    keys = blocks_of(affinity)
+    bin_of = _bin_of(bins) if quantile is not None else F.lit(0)
+    h = affinity.where(F.col("affinity").isNotNull() & ~F.isnan("affinity")).groupBy(*keys, "u", "v", bin_of.alias("bin")).agg(F.count("*").alias("n"), F.sum("affinity").alias("total"))
+    schema = ", ".join(f"{k} bigint" for k in keys) + ", u bigint, v bigint, merge_score double"
+    return h.groupBy(*keys).applyInPandas(_hierarchy(threshold, quantile, init_max, bins), schema)
 
 
 def _watershed(side: int, low: float):
@@ -270,6 +336,135 @@ def watershed(voxels: DataFrame, side: int, low: float) -> DataFrame:
     return voxels.where("value is not null").groupBy("block").applyInPandas(_watershed(side, low), "block bigint, z bigint, y bigint, x bigint, label bigint")
 
 
+#: Bits of each coordinate in a voxel's number; coordinates are from 0 to 2 ** AXIS_BITS - 1.
+AXIS_BITS = 21
+
+
+def voxel_number() -> Column:
+    return F.shiftleft(F.shiftleft(F.col("z"), AXIS_BITS) + F.col("y"), AXIS_BITS) + F.col("x")
+
+
+def _uphill(size: int):
+    """Where the ascent from each voxel of a block ends inside it: at a peak, or at the first voxel of another block."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = size + 2  # a margin of one
+        base = np.array(key) * size - 1
+        at = pdf[["z", "y", "x"]].to_numpy() - base
+        flat_at = (at[:, 0] * n + at[:, 1]) * n + at[:, 2]
+        flat, number = np.full(n**3, -np.inf), np.zeros(n**3, np.int64)
+        flat[flat_at] = pdf["value"].to_numpy()
+        number[flat_at] = (((pdf["z"].to_numpy() << AXIS_BITS) + pdf["y"].to_numpy()) << AXIS_BITS) + pdf["x"].to_numpy()
+        core = flat_at[pdf["core"].to_numpy()]
+        to = np.arange(n**3)
+        best = flat[core].copy()
+        for step in (-n * n, -n, -1, 1, n, n * n):  # ties go to the smaller number: itself or an earlier neighbour first
+            there = core + step
+            up = (flat[there] > best) | ((flat[there] == best) & (there < to[core]))
+            to[core[up]], best[up] = there[up], flat[there[up]]
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        end = to[core]
+        inside = np.zeros(n**3, bool)
+        inside[core] = True
+        c = number[core]
+        return pd.DataFrame({"id": c, "high": flat[core], "at": number[end], "peak": inside[end]})
+
+    return run
+
+
+def watershed_grid(voxels: DataFrame, size: int, low: float) -> DataFrame:
+    """z, y, x, label: the voxels of a grid above low joined uphill to a local maximum, others 0.
+
+    Steepest ascent over face neighbours, ties to the voxel that comes first; the label is the
+    number of the maximum + 1. Blocks of size voxels a side see a margin of one voxel, so that the
+    result does not depend on the blocks: an ascent that leaves its block is followed by the ends
+    of others, halving its length in each round; only voxels at which some ascent enters a block
+    take part in that. Voxels without a value are not there.
+    """
+    blocks = halo(voxels.where(F.col("value").isNotNull() & ~F.isnan("value")), size, 1).where(F.col("bz").isNotNull())
+    local = cut(blocks.groupBy(*BLOCK).applyInPandas(_uphill(size), "id bigint, high double, at bigint, peak boolean"), "ascents")
+    ways = local.select("id", "at", "peak").join(local.where("not peak").select(F.col("at").alias("id")).distinct(), "id", "left_semi")
+    ways = cut(ways, "ways")
+    while not ways.where("not peak").isEmpty():
+        on = ways.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("peak").alias("_peak"))
+        longer = cut(ways.join(on, "at", "left").select("id", F.when(F.col("peak"), F.col("at")).otherwise(F.col("_at")).alias("at"), (F.col("peak") | F.col("_peak")).alias("peak")), "ways")
+        discard(ways)
+        ways = longer
+    end = local.join(ways.select(F.col("id").alias("at"), F.col("at").alias("_end")), "at", "left")
+    end = end.select("id", F.when(F.col("high") > low, F.when(F.col("peak"), F.col("at")).otherwise(F.col("_end")) + 1).otherwise(0).alias("label"))
+    mask = (1 << AXIS_BITS) - 1
+    number = F.col("id")
+    place = [F.shiftright(number, 2 * AXIS_BITS).alias("z"), F.shiftright(number, AXIS_BITS).bitwiseAND(mask).alias("y"), number.bitwiseAND(mask).alias("x")]
+    return end.select(*place, "label")
+
+
+def _seeded(size: int, context: int, seed_distance: int, low: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = size + 2 * context
+        at = pdf[["z", "y", "x"]].to_numpy() - (np.array(key) * size - context)
+        inside = np.zeros((n, n, n), bool)
+        inside[tuple(at.T)] = (pdf["value"].to_numpy() > low) & pdf["free"].to_numpy()
+        near = [(a, s) for a in range(3) for s in (1, -1)]
+
+        def moved(grid: np.ndarray, axis: int, step: int, fill) -> np.ndarray:
+            out = np.roll(grid, step, axis)
+            edge = [slice(None)] * 3
+            edge[axis] = slice(0, step) if step > 0 else slice(step, None)
+            out[tuple(edge)] = fill
+            return out
+
+        # steps to the next voxel that is not inside; what lies beyond the margin counts as inside
+        depth, left = np.zeros((n, n, n), np.int32), inside.copy()
+        while left.any() and depth.max() < n:
+            depth[left] += 1
+            for axis, step in near:
+                left = left & moved(depth >= depth.max(), axis, step, True)
+        # seeds: no deeper voxel, nor an equal one that comes first, within the distance on every axis
+        rank = depth.astype(np.int64) * n**3 + (n**3 - 1 - np.arange(n**3).reshape(n, n, n))
+        top = rank
+        for axis in range(3):
+            wide = top
+            for d in range(1, seed_distance + 1):
+                wide = np.maximum(wide, np.maximum(moved(top, axis, d, -1), moved(top, axis, -d, -1)))
+            top = wide
+        label = np.where((top == rank) & inside, np.arange(n**3).reshape(n, n, n) + 1, 0)
+        # floods from the deepest level down; a voxel takes the smallest label beside it
+        for level in range(int(depth.max()), 0, -1):
+            while True:
+                free, best = inside & (label == 0) & (depth >= level), np.full((n, n, n), n**3 + 1)
+                for axis, step in near:
+                    side = moved(label, axis, step, 0)
+                    best = np.where(side > 0, np.minimum(best, side), best)
+                take = free & (best <= n**3)
+                if not take.any():
+                    break
+                label[take] = best[take]
+        number = np.zeros(n**3, np.int64)
+        flat_at = np.ravel_multi_index(tuple(at.T), (n, n, n))
+        number[flat_at] = (((pdf["z"].to_numpy() << AXIS_BITS) + pdf["y"].to_numpy()) << AXIS_BITS) + pdf["x"].to_numpy() + 1
+        got = label.ravel()[flat_at]
+        full = np.where(got > 0, number[got - 1], 0)
+        return pdf[["z", "y", "x"]].assign(label=full)[pdf["core"].to_numpy()]
+
+    return run
+
+
+def seeded_watershed(voxels: DataFrame, size: int, context: int, seed_distance: int, low: float = 0.5, mask: Column | None = None) -> DataFrame:
+    """z, y, x, label: fragments of a grid, grown from seeds in blocks of size voxels with a margin of context.
+
+    voxels: z, y, x, value (a mean affinity). A voxel is inside if its value is above low and mask
+    (a condition on voxels' columns) holds. Seeds are the voxels furthest from the outside (steps
+    over faces) within seed_distance voxels on each axis, the first of equal ones; the inside is
+    flooded from them, deepest first. Parts of the inside that no seed reaches stay 0. The label is
+    the seed's number + 1, so that blocks which see the same seed agree; later stages join fragments
+    across faces.
+    """
+    free = F.lit(True) if mask is None else F.coalesce(mask, F.lit(False))
+    rows = voxels.where(F.col("value").isNotNull()).select("z", "y", "x", "value", free.alias("free"))
+    return halo(rows, size, context).groupBy(*BLOCK).applyInPandas(_seeded(size, context, seed_distance, low), "z bigint, y bigint, x bigint, label bigint")
+
+
 def drop_weak_fragments(fragments: DataFrame, affinity: Column, least: float) -> DataFrame:
     """Fragments of a mean affinity below least become 0."""
     mean = fragments.where("label <> 0").groupBy("label").agg(F.avg(affinity).alias("_mean")).where(F.col("_mean") < least)

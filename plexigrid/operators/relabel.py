@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plexigrid.operators.skew import skew_join
+from plexigrid.operators.skew import hot_keys, skew_join
 
 
 def without_self(lut: DataFrame) -> DataFrame:
@@ -47,5 +47,5 @@ def remap_by_neighbours(edges: DataFrame, luts: DataFrame, neighbours: DataFrame
     out = edges
     for end in ("u", "v"):
         t = seen.select(*block, F.col("key").alias(end), F.col("value").alias("_to"))
-        out = out.join(t, [*block, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-    return out
+        out = skew_join(out, t, [*block, end], "left", hot_keys(edges, [*block, end])).withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return out.select(edges.columns)

@@ -96,15 +96,51 @@ def keep_labels(label: Column, keep: list[int]) -> Column:
     return F.when(label.isin(keep), label).otherwise(0)
 
 
+#: The columns that tell a block: one number, or a place in the grid of blocks.
+BLOCK = ["bz", "by", "bx"]
+BLOCKS = ("block", *BLOCK)
+
+
+def blocks_of(voxels: DataFrame) -> list[str]:
+    return [c for c in BLOCKS if c in voxels.columns]
+
+
+def on_grid(voxels: DataFrame, side: int, rows: int, columns: int) -> DataFrame:
+    """Numbered blocks as parts of one volume: z, y, x count over the whole grid, the block column is gone.
+
+    Block b lies at (b div (rows * columns), b div columns mod rows, b mod columns). Blocks must be
+    numbered from 0; their number is not limited (the volume grows along z).
+    """
+    b = F.col("block").cast("bigint")
+    at = {"z": F.floor(b / (rows * columns)), "y": F.floor(b / columns) % rows, "x": b % columns}
+    return voxels.withColumns({c: (at[c] * side + F.col(c)).cast("bigint") for c in "zyx"}).drop("block")
+
+
+def halo(voxels: DataFrame, size: int, context: int) -> DataFrame:
+    """Voxels of a grid by blocks of size voxels a side, each block with a margin of context: bz, by, bx, core.
+
+    A voxel goes to every block whose grown region holds it; core marks its own block. This is the
+    only shuffle: what follows may join or group by block (and anything else) within the partitions.
+    """
+    out = voxels
+    for c, k in zip("zyx", BLOCK):
+        lo, hi = F.floor((F.col(c) - context) / size), F.floor((F.col(c) + context) / size)
+        out = out.withColumn(k, F.explode(F.sequence(lo, hi)))
+    core = reduce(lambda a, b: a & b, [F.floor(F.col(c) / size) == F.col(k) for c, k in zip("zyx", BLOCK)])
+    return out.withColumn("core", core).repartition(*BLOCK)
+
+
 def shifted(voxels: DataFrame, offsets: list[tuple[int, int, int]], value: str) -> DataFrame:
-    """Each voxel with the voxels of its block at the given offsets: columns oz, oy, ox and other.
+    """Each voxel with the voxels at the given offsets: columns oz, oy, ox and other.
 
-    The few offsets are exploded on one side, so that the neighbour search is one equi-join.
+    Neighbours are sought in the voxel's block (block, or bz, by, bx), or in the whole grid if there
+    is no block column. The few offsets are exploded on one side, so that the search is one equi-join.
     """
+    keys = blocks_of(voxels)
     o = F.explode(F.array(*[F.struct(F.lit(a).alias("oz"), F.lit(b).alias("oy"), F.lit(c).alias("ox")) for a, b, c in offsets]))
     left = voxels.withColumn("_o", o).select("*", "_o.*").drop("_o").withColumns({f"_{c}": F.col(c) + F.col(f"o{c}") for c in "zyx"})
-    right = voxels.select("block", *[F.col(c).alias(f"_{c}") for c in "zyx"], F.col(value).alias("other"))
-    return left.join(right, ["block", "_z", "_y", "_x"]).drop("_z", "_y", "_x")
+    right = voxels.select(*keys, *[F.col(c).alias(f"_{c}") for c in "zyx"], F.col(value).alias("other"))
+    return left.join(right, [*keys, "_z", "_y", "_x"]).drop("_z", "_y", "_x")
 
 
 def offsets_along_axes(distances: list[int]) -> list[tuple[int, int, int]]:
@@ -112,29 +148,31 @@ def offsets_along_axes(distances: list[int]) -> list[tuple[int, int, int]]:
 
 
 def affinities(labels: DataFrame, distances: list[int]) -> DataFrame:
-    """For every voxel and offset within the block whether both ends have the same label, not 0."""
+    """For every voxel and offset within the block (or the grid) whether both ends have the same label, not 0."""
     near = shifted(labels, offsets_along_axes([-d for d in distances]), "label")
     same = (F.col("label") == F.col("other")) & (F.col("label") != 0)
-    return near.select("block", "z", "y", "x", "oz", "oy", "ox", F.coalesce(same, F.lit(False)).cast("int").alias("affinity"))
+    return near.select(*blocks_of(labels), "z", "y", "x", "oz", "oy", "ox", F.coalesce(same, F.lit(False)).cast("int").alias("affinity"))
 
 
 FACES = [(-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
 
 
 def grow_boundary(labels: DataFrame, steps: int = 1) -> DataFrame:
-    """Voxels with a face neighbour of another label become 0, as many times as steps."""
+    """Voxels with a face neighbour of another label become 0, as many times as steps (a margin must have as many voxels)."""
+    keys = [*blocks_of(labels), "z", "y", "x"]
     for _ in range(steps):
-        near = shifted(labels, FACES, "label").groupBy("block", "z", "y", "x").agg(F.max((F.col("label") != F.col("other")).cast("int")).alias("_edge"))
-        labels = labels.join(near, ["block", "z", "y", "x"], "left").withColumn("label", F.when(F.coalesce("_edge", F.lit(0)) == 1, 0).otherwise(F.col("label"))).drop("_edge")
+        near = shifted(labels, FACES, "label").groupBy(*keys).agg(F.max((F.col("label") != F.col("other")).cast("int")).alias("_edge"))
+        labels = labels.join(near, keys, "left").withColumn("label", F.when(F.coalesce("_edge", F.lit(0)) == 1, 0).otherwise(F.col("label"))).drop("_edge")
     return labels
 
 
 def dilate_sections(labels: DataFrame, steps: int = 1) -> DataFrame:
-    """Zero voxels take the greatest label of their 3 x 3 neighbourhood in the section, as many times as steps."""
+    """Zero voxels take the greatest label of their 3 x 3 neighbourhood in the section, as many times as steps (a margin must have as many voxels)."""
+    keys = [*blocks_of(labels), "z", "y", "x"]
     square = [(0, a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
     for _ in range(steps):
-        most = shifted(labels, square, "label").groupBy("block", "z", "y", "x").agg(F.max("other").alias("_most"))
-        labels = labels.join(most, ["block", "z", "y", "x"], "left").withColumn("label", F.when(F.col("label") == 0, F.coalesce("_most", F.lit(0))).otherwise(F.col("label"))).drop("_most")
+        most = shifted(labels, square, "label").groupBy(*keys).agg(F.max("other").alias("_most"))
+        labels = labels.join(most, keys, "left").withColumn("label", F.when(F.col("label") == 0, F.coalesce("_most", F.lit(0))).otherwise(F.col("label"))).drop("_most")
     return labels
 
 

@@ -11,10 +11,13 @@ from plexigrid.operators import graph as G
 from plexigrid.operators import metrics as M
 from plexigrid.operators import relabel as L
 from plexigrid.operators.geometry import Roi, face_neighbours, halo_blocks, voxel_of
+from plexigrid.operators.skew import skew_join
 from plexigrid.session import cut, fresh_path, table
-from plexigrid.sources.volumes import read_lut, write_lut
+from plexigrid.sources.volumes import read_lut, read_luts, stored_luts, write_lut
 
 T = 0.2
+#: The thresholds of a sweep (fixed values: 0.05 to 0.95 by 0.05).
+SWEEP = [round(k * 0.05, 2) for k in range(1, 20)]
 BLOCK = ["bz", "by", "bx"]
 ROI = Roi((8316, 8316, 8316), (23067, 23067, 23067))
 
@@ -60,7 +63,9 @@ def nodes_in_roi(s, d):
 def edges_in_roi(s, d):
     ids = nodes_in_roi(s, d)
     e = clean_edges(s, d).select("u", "v").distinct()
-    return e.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
+    for end in ("u", "v"):
+        e = skew_join(e, ids.withColumnRenamed("id", end), end, "left_semi")
+    return e.select("u", "v")
 
 
 def cc_threshold(s, d):
@@ -69,7 +74,18 @@ def cc_threshold(s, d):
 
 
 def cc_sweep(s, d):
-    return G.threshold_sweep(clean_edges(s, d), [0.05, 0.1, 0.15, 0.2])
+    return G.threshold_sweep(clean_edges(s, d), SWEEP)
+
+
+def cc_distinct(s, d):
+    """How many components (of two ids or more) and ids in them every threshold of a sweep leaves."""
+    return cc_sweep(s, d).groupBy("threshold").agg(F.countDistinct("value").alias("components"), F.count("*").alias("ids"))
+
+
+def degenerate_blocks(s, d):
+    """Blocks of the node table whose graph has no edge at or below the threshold: nothing is to be merged in them."""
+    some = G.under(clean_edges(s, d), T).where("u <> v").select(*BLOCK).distinct()
+    return nodes(s, d).select(*BLOCK).distinct().join(some, BLOCK, "left_anti")
 
 
 def cc_two_phase(s, d):
@@ -95,12 +111,30 @@ def lut_chain(s, d):
     return L.compose(first, second)
 
 
+STAGE = "local_to_global"
+
+
+def _stored_luts(s, d) -> str:
+    path = fresh_path(s, "luts")
+    write_lut(cc_sweep(s, d).withColumn("stage", F.lit(STAGE)), path)
+    return path
+
+
 def lut_store(s, d):
     """The tables of a sweep stored by stage and threshold, and the one of 0.1 read back from its partition alone."""
-    path = fresh_path(s, "luts")
-    swept = G.threshold_sweep(clean_edges(s, d), [0.05, 0.1])
-    write_lut(swept.withColumn("stage", F.lit("local_to_global")), path)
-    return read_lut(s, path, "local_to_global", 0.1).select("key", "value")
+    return read_lut(s, _stored_luts(s, d), STAGE, 0.1).select("key", "value")
+
+
+def lut_store_scan(s, d):
+    """All stored tables of a sweep read back at once: how many keys each has."""
+    return read_luts(s, _stored_luts(s, d)).groupBy("stage", "threshold").agg(F.count("*").alias("keys"), F.countDistinct("value").alias("values"))
+
+
+def lut_missing(s, d):
+    """The thresholds (hundredths up to 1) of which no table is stored."""
+    path = _stored_luts(s, d)
+    wanted = s.range(1, 101).select(F.lit(STAGE).alias("stage"), F.round(F.col("id") * 0.01, 2).alias("threshold"))
+    return wanted.join(stored_luts(s, path), ["stage", "threshold"], "left_anti")
 
 
 def edge_endpoint_remap(s, d):
@@ -146,7 +180,7 @@ def point_label_lookup(s, d):
     n = skeletons(s, d).where("z is not null and y is not null and x is not null and seg_label is not null")
     at = n.withColumns({f"v{c}": voxel_of(F.col(c), 990) for c in "zyx"})
     cells = at.groupBy("vz", "vy", "vx", "seg_label").agg(F.count("*").alias("n")).groupBy("vz", "vy", "vx").agg(F.min(F.struct((-F.col("n")).alias("n"), "seg_label")).alias("m"))
-    return at.join(cells, ["vz", "vy", "vx"]).select("node", F.col("m.seg_label").alias("label"))
+    return skew_join(at, cells, ["vz", "vy", "vx"]).select("node", F.col("m.seg_label").alias("label"))
 
 
 def skeleton_components(s, d):
@@ -224,21 +258,29 @@ def eval_report(s, d):
 
 
 def error_listing(s, d):
-    """Every split with the voxel of its first end (33 nm) and the number of splits of its skeleton."""
-    n = skeletons(s, d)
-    at = n.select(F.col("node").alias("u"), *[voxel_of(F.col(c), 33).alias(c) for c in "zyx"])
-    listed = M.split_edges(M.path_edges(n)).join(at, "u").select("skeleton_id", "u", "v", "z", "y", "x")
-    worst = listed.groupBy("skeleton_id").agg(F.count("*").alias("splits"))
-    return listed.join(worst, "skeleton_id")
+    """Every split and merge with the voxels of both ends (33 nm) and the number of errors of its kind at its skeleton.
+
+    kind split: an edge of the skeleton between two segments; kind merge: the nearest nodes of two
+    skeletons of one segment (listed at the smaller skeleton).
+    """
+    n = cut(skeletons(s, d), "nodes")
+    splits = M.split_edges(M.path_edges(n)).select(F.lit("split").alias("kind"), "skeleton_id", "u", "v")
+    merges = M.all_merge_sites(n, 100.0).select(F.lit("merge").alias("kind"), F.col("s1").alias("skeleton_id"), "u", "v")
+    listed = cut(splits.unionByName(merges), "errors")
+    for end in ("u", "v"):
+        at = n.select(F.col("node").alias(end), *[voxel_of(F.col(c), 33).alias(f"{c}_{end}") for c in "zyx"])
+        listed = skew_join(listed, at, end)
+    per = listed.groupBy("kind", "skeleton_id").agg(F.count("*").alias("errors"))
+    return skew_join(listed, per, ["kind", "skeleton_id"])
 
 
-_NAMES = """error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
+_NAMES = """cc_distinct degenerate_blocks lut_store_scan lut_missing error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
 cc_two_phase lut_self_ref_filter lut_remap lut_chain lut_store edge_endpoint_remap face_neighbour_blocks face_neighbour_remap halo_join
 axis_swap world_to_voxel_floor point_label_lookup skeleton_components skeleton_lengths erl split_edges split_histogram merge_counts
 merge_sites all_merge_sites fresh_labels rasterise rand_voi_skeletons rand_voi_lang_source rand_voi_flag_status eval_report"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
-_E = """WITH RECURSIVE ce AS (SELECT DISTINCT u, v, coalesce(merge_score, 1.0) AS s, bz, by, bx FROM rag_edges WHERE u IS NOT NULL AND v IS NOT NULL),
+_E = """WITH RECURSIVE ce AS (SELECT DISTINCT u, v, coalesce(CASE WHEN NOT isnan(merge_score) THEN merge_score END, 1.0) AS s, bz, by, bx FROM rag_edges WHERE u IS NOT NULL AND v IS NOT NULL),
 blk AS (SELECT DISTINCT bz, by, bx FROM rag_nodes),
 roi AS (SELECT DISTINCT id FROM rag_nodes WHERE center_z >= 8316 AND center_z < 31383 AND center_y >= 8316 AND center_y < 31383 AND center_x >= 8316 AND center_x < 31383)
 """
@@ -266,6 +308,12 @@ er AS (SELECT (SELECT coalesce(sum(l * l), 0) FROM run) / sum(l) AS erl, avg(l)
 """
 
 
+_SWEEP = "".join(_cc(f"c{k}", t) for k, t in enumerate(SWEEP)) + ", swept AS (" + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, key, value FROM c{k}" for k, t in enumerate(SWEEP)) + ") "
+_SITES = """, w AS (SELECT a.seg_label, a.skeleton_id AS s1, b.skeleton_id AS s2, min({'d': sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), 'u': a.node, 'v': b.node}) AS m
+  FROM p a JOIN p b ON a.seg_label = b.seg_label AND a.skeleton_id < b.skeleton_id WHERE a.seg_label <> 0 GROUP BY ALL)
+"""
+
+
 def _rand_voi(source: str) -> str:
     return f""", c AS ({source}), ct AS (SELECT t, sum(n) AS n FROM c GROUP BY t), cg AS (SELECT g, sum(n) AS n FROM c GROUP BY g),
 m AS (SELECT (SELECT sum(n::DOUBLE * n) FROM c) AS sq, (SELECT sum(n::DOUBLE * n) FROM ct) AS st, (SELECT sum(n::DOUBLE * n) FROM cg) AS sg,
@@ -288,7 +336,11 @@ SQL = {
     "nodes_in_roi": _E + "SELECT id FROM roi",
     "edges_in_roi": _E + "SELECT DISTINCT u, v FROM ce WHERE u IN (SELECT id FROM roi) AND v IN (SELECT id FROM roi)",
     "cc_threshold": _E + _cc("c", T) + "SELECT id, coalesce(value, id) AS component FROM (SELECT DISTINCT id FROM rag_nodes WHERE id IS NOT NULL) LEFT JOIN c ON c.key = id",
-    "cc_sweep": _E + _cc("c1", 0.05) + _cc("c2", 0.1) + _cc("c3", 0.15) + _cc("c4", 0.2) + "SELECT 0.05::DOUBLE AS threshold, * FROM c1 UNION ALL SELECT 0.1::DOUBLE, * FROM c2 UNION ALL SELECT 0.15::DOUBLE, * FROM c3 UNION ALL SELECT 0.2::DOUBLE, * FROM c4",
+    "cc_sweep": _E + _SWEEP + "SELECT * FROM swept",
+    "cc_distinct": _E + _SWEEP + "SELECT threshold, count(DISTINCT value) AS components, count(*) AS ids FROM swept GROUP BY threshold",
+    "lut_store_scan": _E + _SWEEP + "SELECT 'local_to_global' AS stage, threshold, count(*) AS keys, count(DISTINCT value) AS values FROM swept GROUP BY threshold",
+    "lut_missing": "SELECT 'local_to_global' AS stage, round(i * 0.01::DOUBLE, 2) AS threshold FROM (SELECT unnest(range(1, 101)) AS i) WHERE NOT (i % 5 = 0 AND i < 100)",
+    "degenerate_blocks": _E + f"SELECT bz, by, bx FROM blk WHERE (bz, by, bx) NOT IN (SELECT (bz, by, bx) FROM ce WHERE s <= {T} AND u <> v)",
     "cc_two_phase": _E + _cc("c", T) + "SELECT * FROM c",
     "lut_self_ref_filter": _E + _cc("c", 0.1) + "SELECT * FROM c WHERE key <> value",
     "lut_remap": _E + _cc("c", 0.1) + "SELECT DISTINCT coalesce(value, id) AS id, bz, by, bx FROM rag_nodes LEFT JOIN c ON c.key = id WHERE id IS NOT NULL",
@@ -315,16 +367,17 @@ SELECT * FROM c""",
     "skeleton_lengths": _S + "SELECT skeleton_id, round(l, 4) AS length FROM len",
     "erl": _S + "SELECT round(erl, 6) AS erl, round(avg_length, 6) AS avg_length, round(erl / avg_length, 6) AS erl_norm FROM er",
     "split_edges": _S + "SELECT skeleton_id, u, v FROM sp",
-    "error_listing": _S + "SELECT skeleton_id, u, v, CAST(floor(z / 33) AS BIGINT) AS z, CAST(floor(y / 33) AS BIGINT) AS y, CAST(floor(x / 33) AS BIGINT) AS x, count(*) OVER (PARTITION BY skeleton_id) AS splits FROM q WHERE v IS NOT NULL AND (gu <> gv OR (gu = 0 AND gv = 0))",
+    "error_listing": _S + _SITES + """, l AS (SELECT 'split' AS kind, skeleton_id, u, v FROM sp UNION ALL SELECT 'merge', s1, m.u, m.v FROM w)
+SELECT kind, l.skeleton_id, u, v, CAST(floor(a.z / 33) AS BIGINT) AS z_u, CAST(floor(a.y / 33) AS BIGINT) AS y_u, CAST(floor(a.x / 33) AS BIGINT) AS x_u,
+  CAST(floor(b.z / 33) AS BIGINT) AS z_v, CAST(floor(b.y / 33) AS BIGINT) AS y_v, CAST(floor(b.x / 33) AS BIGINT) AS x_v, count(*) OVER (PARTITION BY kind, l.skeleton_id) AS errors
+FROM l JOIN n a ON a.node = u JOIN n b ON b.node = v""",
     "split_histogram": _S + "SELECT coalesce(k, 0) AS splits, count(*) AS skeletons FROM (SELECT DISTINCT skeleton_id FROM n WHERE skeleton_id IS NOT NULL) LEFT JOIN (SELECT skeleton_id, count(*) AS k FROM sp GROUP BY skeleton_id) USING (skeleton_id) GROUP BY 1",
     "merge_counts": _S + "SELECT seg_label, skeletons, skeletons * (skeletons - 1) // 2 AS sites FROM mg",
     "merge_sites": _S + """, pr AS (SELECT a.seg_label, a.skeleton_id AS s1, b.skeleton_id AS s2, a.node AS u, b.node AS v, sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d
   FROM p a JOIN p b ON a.seg_label = b.seg_label AND a.skeleton_id < b.skeleton_id AND b.z BETWEEN a.z - 100 AND a.z + 100 AND b.y BETWEEN a.y - 100 AND a.y + 100 AND b.x BETWEEN a.x - 100 AND a.x + 100 WHERE a.seg_label <> 0),
 w AS (SELECT *, row_number() OVER (PARTITION BY seg_label, s1, s2 ORDER BY d, u, v) AS r FROM pr WHERE d <= 100)
 SELECT seg_label, s1, s2, u, v, round(d, 6) AS distance FROM w WHERE r = 1""",
-    "all_merge_sites": _S + """, w AS (SELECT a.seg_label, a.skeleton_id AS s1, b.skeleton_id AS s2, min({'d': sqrt((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)), 'u': a.node, 'v': b.node}) AS m
-  FROM p a JOIN p b ON a.seg_label = b.seg_label AND a.skeleton_id < b.skeleton_id WHERE a.seg_label <> 0 GROUP BY ALL)
-SELECT seg_label, s1, s2, m.u AS u, m.v AS v, round(m.d, 6) AS distance FROM w""",
+    "all_merge_sites": _S + _SITES + "SELECT seg_label, s1, s2, m.u AS u, m.v AS v, round(m.d, 6) AS distance FROM w",
     "fresh_labels": _S + """, k AS (SELECT *, floor(z / 33) AS a, floor(y / 33) AS b, floor(x / 33) AS c FROM n WHERE z IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL),
 f AS (SELECT a, b, c, row_number() OVER (ORDER BY min(node)) AS r FROM k WHERE seg_label = 0 GROUP BY a, b, c)
 SELECT node, CASE WHEN seg_label = 0 THEN (SELECT max(seg_label) FROM k) + r ELSE seg_label END AS seg_label FROM k LEFT JOIN f USING (a, b, c)""",

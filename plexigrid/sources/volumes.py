@@ -57,3 +57,30 @@ def write_lut(lut: DataFrame, path: str) -> None:
 def read_lut(spark: SparkSession, path: str, stage: str, threshold: float) -> DataFrame:
     """One lookup table; partition pruning reads its files alone. Fails if the table is not there."""
     return spark.read.parquet(path).where((F.col("stage") == stage) & (F.col("threshold") == threshold))
+
+
+def read_luts(spark: SparkSession, path: str) -> DataFrame:
+    """All lookup tables under path: stage, threshold and the columns written."""
+    return spark.read.parquet(path)
+
+
+def stored_luts(spark: SparkSession, path: str) -> DataFrame:
+    """stage, threshold of the lookup tables that are there; told by the names of their folders, no file is read."""
+    found = _listing(spark, f"{path}/stage=*/threshold=*")
+    named = [dict(part.split("=", 1) for part in f.rsplit("/", 2)[1:]) for f in found]
+    return spark.createDataFrame([(x["stage"], float(x["threshold"])) for x in named], "stage string, threshold double")
+
+
+def lut_exists(spark: SparkSession, path: str, stage: str, threshold: float) -> bool:
+    return bool(_listing(spark, f"{path}/stage={stage}/threshold={threshold}"))
+
+
+def _listing(spark: SparkSession, pattern: str) -> list[str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().toString() for f in found or []]
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a stored table or volume is there (a probe of its folder; nothing is read)."""
+    return bool(_listing(spark, path))
