@@ -130,3 +130,56 @@ def halo_blocks(points: DataFrame, size: int, context: int, coords: tuple[str, s
         out = out.withColumn(k, F.explode(F.sequence(lo, hi)))
         out = out.where((F.col(c) >= F.col(k) * size - context) & (F.col(c) < (F.col(k) + 1) * size + context))
     return out
+
+
+#: Regions of an evaluation by its mode (fixed values, nm).
+MODES = {"validation": Roi((8316,) * 3, (23067,) * 3), "test": Roi((3267,) * 3, (33066,) * 3)}
+
+
+def blocks_with_points(boxes: DataFrame, keys: list[str], points: DataFrame, cell: int) -> DataFrame:
+    """The keys of the boxes (columns <axis>0, <axis>1) that hold at least one point (z, y, x).
+
+    Boxes and points meet in cubes of cell a side. A cube that a box holds whole needs only to have
+    a point at all, so that points are compared one by one in cubes at the box's faces alone, and
+    equal places count once.
+    """
+    at = points.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in AXES])).select(*AXES).distinct()
+    at = at.withColumns({f"c{a}": F.floor(F.col(a) / cell).cast("bigint") for a in AXES})
+    cubes = boxes.where(reduce(lambda p, q: p & q, [F.col(f"{a}1") > F.col(f"{a}0") for a in AXES]))
+    for a in AXES:
+        lo, hi = floor_div(F.col(f"{a}0"), F.lit(cell)), floor_div(F.col(f"{a}1") - 1, F.lit(cell))
+        cubes = cubes.withColumn(f"c{a}", F.explode(F.sequence(lo, hi)))
+    cube = [f"c{a}" for a in AXES]
+    whole = reduce(lambda p, q: p & q, [(F.col(f"{a}0") <= F.col(f"c{a}") * cell) & (F.col(f"{a}1") >= (F.col(f"c{a}") + 1) * cell) for a in AXES])
+    full = cubes.where(whole).join(at.select(*cube).distinct(), cube, "left_semi").select(*keys)
+    inside = reduce(lambda p, q: p & q, [(F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1")) for a in AXES])
+    part = cubes.where(~whole).join(at, cube).where(inside).select(*keys)
+    return full.unionByName(part).distinct()
+
+
+def compatible_rois(source: dict[str, Column], chunk: Column, voxel: Column, net: Column, roi: Roi | None = None, sub_roi: Roi | None = None, shrink: Column | None = None) -> dict[str, Column]:
+    """What a task schedules and writes (s<axis>0, s<axis>1, d<axis>0, d<axis>1) of a source region (<axis>0, <axis>1).
+
+    An explicit region is written as it is and scheduled with the network's context around it. Of a
+    sub-region the whole source is the dataset and the sub-region, with the context, is scheduled.
+    With neither, the whole source is both; shrink takes that context off the source first. All is
+    grown to the voxel grid. ok tells whether the rules hold: an explicit region lies in the source,
+    a sub-region too and begins on the chunk grid of the source.
+    """
+    out, ok = {}, F.lit(True)
+    for i, a in enumerate(AXES):
+        b, e = source[f"{a}0"], source[f"{a}1"]
+        if roi is not None:
+            d = F.lit(roi.begin[i]), F.lit(roi.end[i])
+            ok = ok & (d[0] >= b) & (d[1] <= e)
+            s = d
+        elif sub_roi is not None:
+            d, s = (b, e), (F.lit(sub_roi.begin[i]), F.lit(sub_roi.end[i]))
+            ok = ok & (s[0] >= b) & (s[1] <= e) & (F.pmod(b - s[0], chunk) == 0)
+        else:
+            c = F.lit(0) if shrink is None else shrink
+            d = s = (b + c, e - c)
+        s = s[0] - net, s[1] + net
+        for k, (lo, hi) in (("s", s), ("d", d)):
+            out[f"{k}{a}0"], out[f"{k}{a}1"] = align_down(lo, voxel).cast("bigint"), (-align_down(-hi, voxel)).cast("bigint")
+    return out | {"ok": ok}

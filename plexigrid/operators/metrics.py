@@ -231,6 +231,33 @@ def rasterise(nodes: DataFrame, voxel: float) -> DataFrame:
     return ok.groupBy(*[F.floor(F.col(c) / voxel).cast("bigint").alias(c) for c in "zyx"]).agg(F.max("skeleton_id").alias("value"))
 
 
+def label_at(points: DataFrame, volume: DataFrame, voxel: int) -> DataFrame:
+    """points (z, y, x in nm and other columns) with the label of the voxel of volume (z, y, x, label) that each falls into.
+
+    Points outside of the volume, or with a null coordinate, are left out. A voxel is in the volume
+    once, so that voxels in which very many points crowd are joined apart.
+    """
+    at = points.withColumns({f"_{c}": F.floor(F.col(c) / voxel).cast("bigint") for c in "zyx"})
+    cells = volume.select(*[F.col(c).cast("bigint").alias(f"_{c}") for c in "zyx"], "label")
+    return skew_join(at, cells, ["_z", "_y", "_x"]).drop("_z", "_y", "_x")
+
+
+def evaluate(nodes: DataFrame) -> DataFrame:
+    """One row of all scores of a segmentation, from nodes: node, skeleton_id, seg_label, z, y, x (each node once).
+
+    Scores that nothing is left to tell (no nodes, no lengths) are null, counts 0.
+    """
+    n = cut(nodes, "nodes")
+    e = cut(path_edges(n), "paths")
+    rv = rand_voi(contingency(n.where("seg_label <> 0"), "skeleton_id", "seg_label"))
+    splits = split_edges(e).agg(F.count("*").cast("double").alias("splits"))
+    merges = merge_counts(n).agg(F.coalesce(F.sum("sites"), F.lit(0)).cast("double").alias("merges"))
+    neurons = n.where("skeleton_id is not null").agg(F.countDistinct("skeleton_id").cast("double").alias("n_neurons"))
+    one = beside(rv, expected_run_length(e, n), splits, merges, neurons)
+    one = one.withColumns(blend(F.col("nvi_split"), F.col("nvi_merge"), F.col("rand_split"), F.col("rand_merge"), F.col("erl_norm")))
+    return one.withColumns({f"{c}_per_neuron": F.try_divide(c, "n_neurons") for c in ("splits", "merges")})
+
+
 def as_report(one: DataFrame) -> DataFrame:
     """metric, value of a one-row table of doubles."""
     return one.unpivot([], one.columns, "metric", "value")

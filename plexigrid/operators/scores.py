@@ -28,6 +28,14 @@ def score_rows(spark: SparkSession, rows: Iterable[tuple[str, int, float, dict]]
     return spark.createDataFrame(out, SCHEMA)
 
 
+def append_scores(store: str, network: str, checkpoint: int, threshold: float, scores: DataFrame) -> None:
+    """Append one evaluation (a one-row table of scores, as metrics.evaluate() gives) to a store as its JSON text."""
+    if not (isinstance(network, str) and isinstance(checkpoint, int) and isinstance(threshold, float)):
+        raise TypeError("a score row is of a str, an int and a float")
+    row = scores.select(F.lit(network).alias("network"), F.lit(checkpoint).cast("int").alias("checkpoint"), F.lit(threshold).alias("threshold"), F.to_json(F.struct(*scores.columns)).alias("scores"))
+    row.coalesce(1).write.mode("append").parquet(store)
+
+
 def _wanted(column: str, values) -> Column:
     if values is None:
         return F.lit(True)

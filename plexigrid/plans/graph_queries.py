@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from plexigrid.operators import graph as G
 from plexigrid.operators import metrics as M
 from plexigrid.operators import relabel as L
-from plexigrid.operators.geometry import Roi, face_neighbours, halo_blocks, voxel_of
+from plexigrid.operators import scores as S
+from plexigrid.operators.geometry import MODES, face_neighbours, halo_blocks, voxel_of
 from plexigrid.operators.skew import skew_join
 from plexigrid.session import cut, fresh_path, table
 from plexigrid.sources.volumes import read_lut, read_luts, stored_luts, write_lut
@@ -19,7 +20,7 @@ T = 0.2
 #: The thresholds of a sweep (fixed values: 0.05 to 0.95 by 0.05).
 SWEEP = [round(k * 0.05, 2) for k in range(1, 20)]
 BLOCK = ["bz", "by", "bx"]
-ROI = Roi((8316, 8316, 8316), (23067, 23067, 23067))
+ROI = MODES["validation"]
 
 
 def edges(s, d) -> DataFrame:
@@ -245,18 +246,26 @@ def rand_voi_flag_status(s, d):
 
 
 def eval_report(s, d):
-    n = cut(skeletons(s, d), "nodes")
-    e = cut(M.path_edges(n), "paths")
-    rv = M.rand_voi(M.contingency(n.where("seg_label <> 0"), "skeleton_id", "seg_label"))
-    splits = M.split_edges(e).agg(F.count("*").cast("double").alias("splits"))
-    merges = M.merge_counts(n).agg(F.coalesce(F.sum("sites"), F.lit(0)).cast("double").alias("merges"))
-    neurons = n.where("skeleton_id is not null").agg(F.countDistinct("skeleton_id").cast("double").alias("n_neurons"))
-    one = M.beside(rv, M.expected_run_length(e, n), splits, merges, neurons)
-    one = one.withColumns(M.blend(F.col("nvi_split"), F.col("nvi_merge"), F.col("rand_split"), F.col("rand_merge"), F.col("erl_norm")))
-    one = one.withColumns({"splits_per_neuron": F.col("splits") / F.col("n_neurons"), "merges_per_neuron": F.col("merges") / F.col("n_neurons")})
+    one = M.evaluate(skeletons(s, d))
     return M.as_report(one.select(*[F.round(c, 6).alias(c) for c in one.columns]))
 
 
+def eval_store(s, d):
+    """Skeletons inside the region of each mode evaluated and appended to a copy of the score store; what the store then has of them."""
+    store = fresh_path(s, "scores")
+    table(s, d, "scores").select("network", "checkpoint", "threshold", "scores").write.parquet(store)
+    n = cut(skeletons(s, d), "nodes")
+    names = []
+    for k, (mode, roi) in enumerate(MODES.items()):
+        one = cut(M.evaluate(n.where(roi.where())), "scores-of")
+        names = one.columns
+        S.append_scores(store, f"evaluated {mode}", k, 0.5, one)
+    back = S.select_scores(s.read.parquet(store), [f"evaluated {m}" for m in MODES], None, 0.5)
+    j = F.from_json("scores", ", ".join(f"{c} double" for c in names))
+    flat = back.select("network", "checkpoint", j.alias("j")).select("network", "checkpoint", *[F.round(f"j.{c}", 6).alias(c) for c in names])
+    return flat.unpivot(["network", "checkpoint"], names, "metric", "value").where("value is not null")
+
+
 def error_listing(s, d):
     """Every split and merge with the voxels of both ends (33 nm) and the number of errors of its kind at its skeleton.
 
@@ -274,7 +283,7 @@ def error_listing(s, d):
     return skew_join(listed, per, ["kind", "skeleton_id"])
 
 
-_NAMES = """cc_distinct degenerate_blocks lut_store_scan lut_missing error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
+_NAMES = """eval_store cc_distinct degenerate_blocks lut_store_scan lut_missing error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
 cc_two_phase lut_self_ref_filter lut_remap lut_chain lut_store edge_endpoint_remap face_neighbour_blocks face_neighbour_remap halo_join
 axis_swap world_to_voxel_floor point_label_lookup skeleton_components skeleton_lengths erl split_edges split_histogram merge_counts
 merge_sites all_merge_sites fresh_labels rasterise rand_voi_skeletons rand_voi_lang_source rand_voi_flag_status eval_report"""
@@ -325,7 +334,18 @@ rv AS (SELECT rand_split, rand_merge, (hj - ht) / hj AS nvi_split, (hj - hg) / h
 
 _RV = "SELECT round(rand_split, 6) AS rand_split, round(rand_merge, 6) AS rand_merge, round(nvi_split, 6) AS nvi_split, round(nvi_merge, 6) AS nvi_merge FROM rv"
 _RVS = _rand_voi("SELECT skeleton_id AS t, seg_label AS g, count(*) AS n FROM n WHERE seg_label <> 0 AND skeleton_id <> 0 GROUP BY ALL")
-_N4 = "floor(z / 33)"
+_REPORT = """, r AS (SELECT rand_split, rand_merge, nvi_split, nvi_merge, erl, avg_length, erl / avg_length AS erl_norm,
+  (SELECT count(*) FROM sp)::DOUBLE AS splits, (SELECT coalesce(sum(skeletons * (skeletons - 1) // 2), 0) FROM mg)::DOUBLE AS merges, (SELECT count(DISTINCT skeleton_id) FROM n)::DOUBLE AS n_neurons FROM rv, er),
+x AS (SELECT *, 1 - (nvi_split + nvi_merge) / 2 AS score_voi, (rand_split + rand_merge) / 2 AS score_rand, (1 - (nvi_split + nvi_merge) / 2 + erl_norm) / 2 AS score_erl_voi,
+  ((rand_split + rand_merge) / 2 + erl_norm) / 2 AS score_erl_rand, splits / nullif(n_neurons, 0) AS splits_per_neuron, merges / nullif(n_neurons, 0) AS merges_per_neuron FROM r)
+"""
+
+
+def _in_roi(roi) -> str:
+    inside = " AND ".join(f"a.{c} >= {b} AND a.{c} < {e}" for c, b, e in zip("zyx", roi.begin, roi.end))
+    return _S.replace("FROM nd),", f"FROM nd WHERE {inside}),")
+
+
 
 SQL = {
     "edge_threshold": f"SELECT bz, by, bx, count(*) AS edges FROM rag_edges WHERE coalesce(merge_score, 1.0) <= {T} AND NOT isnan(coalesce(merge_score, 1.0)) GROUP BY ALL",
@@ -385,11 +405,10 @@ SELECT node, CASE WHEN seg_label = 0 THEN (SELECT max(seg_label) FROM k) + r ELS
     "rand_voi_skeletons": _S + _RVS + _RV,
     "rand_voi_lang_source": "WITH one AS (SELECT 1)" + _rand_voi("SELECT lang AS t, source AS g, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL") + _RV,
     "rand_voi_flag_status": "WITH one AS (SELECT 1)" + _rand_voi("SELECT l_returnflag AS t, l_linestatus AS g, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY ALL") + _RV,
-    "eval_report": _S + _RVS + """, r AS (SELECT rand_split, rand_merge, nvi_split, nvi_merge, erl, avg_length, erl / avg_length AS erl_norm,
-  (SELECT count(*) FROM sp)::DOUBLE AS splits, (SELECT coalesce(sum(skeletons * (skeletons - 1) // 2), 0) FROM mg)::DOUBLE AS merges, (SELECT count(DISTINCT skeleton_id) FROM n)::DOUBLE AS n_neurons FROM rv, er),
-x AS (SELECT *, 1 - (nvi_split + nvi_merge) / 2 AS score_voi, (rand_split + rand_merge) / 2 AS score_rand, (1 - (nvi_split + nvi_merge) / 2 + erl_norm) / 2 AS score_erl_voi,
-  ((rand_split + rand_merge) / 2 + erl_norm) / 2 AS score_erl_rand, splits / n_neurons AS splits_per_neuron, merges / n_neurons AS merges_per_neuron FROM r)
-SELECT metric, round(value, 6) AS value FROM (UNPIVOT x ON COLUMNS(*) INTO NAME metric VALUE value)""",
+    "eval_report": _S + _RVS + _REPORT + "SELECT metric, round(value, 6) AS value FROM (UNPIVOT x ON COLUMNS(*) INTO NAME metric VALUE value)",
+    "eval_store": " UNION ALL ".join(
+        f"SELECT 'evaluated {m}' AS network, {k} AS checkpoint, * FROM ({_in_roi(r)}{_RVS}{_REPORT} SELECT metric, round(value, 6) AS value FROM (UNPIVOT x ON COLUMNS(*) INTO NAME metric VALUE value))" for k, (m, r) in enumerate(MODES.items())
+    ),
 }
 
 #: The column by is a keyword there.

@@ -14,7 +14,8 @@ from plexigrid.operators import metrics as M
 from plexigrid.operators import scores as S
 from plexigrid.operators.graph import seed_distance
 from plexigrid.operators.training import reject
-from plexigrid.session import fresh_path, table
+from plexigrid.plans.volume_queries import _GV, grid_labels
+from plexigrid.session import cut, fresh_path, table
 from plexigrid.streaming.compact import lines_of
 from plexigrid.streaming.resume import completed_blocks, remaining
 
@@ -70,8 +71,9 @@ def blend_check(s, d):
 
 
 def score_to_json(s, d):
-    r = rated(s, d)
-    return r.select("score_id", F.to_json(F.struct("network", "checkpoint")).alias("entry"))
+    """Every score as one JSON text: its keys and all its metrics with nine places (those that are no numbers are left out)."""
+    fixed = [F.col(c).cast("decimal(18,9)").alias(c) for c in ["threshold", *METRICS]]
+    return rated(s, d).select("score_id", F.to_json(F.struct("network", "checkpoint", *fixed)).alias("entry"))
 
 
 def sweep_grid(s, d):
@@ -198,6 +200,48 @@ def block_precheck(s, d):
     return b.join(n, "block_id", "left").select("block_id", "wz0", state.alias("state")).distinct()
 
 
+def block_states(s, d):
+    """State of every block of every task, in the order in which a worker asks.
+
+    outside the written region (nothing to do); redo_section: its write region meets the overwritten
+    section (numbers of 40 nm); redo_mask: its read region holds a node of segment 0; recorded: a
+    whole completion document (with its duration) is there; written: of the volume (voxels of 1320
+    nm) the labels at a quarter, half and three quarters of the written part are not all 0; else open.
+    """
+    whole = geo.MODES["test"]
+    b = cut(blocks(s, d), "blocks")
+    mask = table(s, d, "skeleton_nodes").where("seg_label = 0").select(F.col("pz").alias("z"), F.col("py").alias("y"), F.col("px").alias("x"))
+    boxes = b.select("task", "block_id", *[F.col(f"r{a}{e}").alias(f"{a}{e}") for a in "zyx" for e in "01"])
+    masked = geo.blocks_with_points(boxes, ["task", "block_id"], mask, 3840).withColumn("_masked", F.lit(True))
+    done = table(s, d, "completion_db_col").where("duration is not null").select("task", "block_id", F.lit(True).alias("_done")).distinct()
+    for a, lo, hi in zip("zyx", whole.begin, whole.end):
+        b = b.withColumns({f"{a}0": F.greatest(F.col(f"w{a}0"), F.lit(lo)), f"{a}1": F.least(F.col(f"w{a}1"), F.lit(hi))})
+    points = F.explode(F.array(*[F.struct(*[geo.floor_div(F.col(f"{a}0") * 4 + (F.col(f"{a}1") - F.col(f"{a}0")) * k, F.lit(4 * 1320)).alias(a) for a in "zyx"]) for k in (1, 2, 3)]))
+    sampled = b.select("task", "block_id", points.alias("p")).select("task", "block_id", "p.*").join(grid_labels(s, d).select("z", "y", "x", "label"), ["z", "y", "x"])
+    written = sampled.groupBy("task", "block_id").agg((F.sum("label") != 0).alias("_written"))
+    outside = F.lit(False)
+    for a in "zyx":
+        outside = outside | (F.col(f"{a}0") >= F.col(f"{a}1"))
+    state = F.when(outside, "outside").when((F.col("wz0") < 501 * 40) & (F.col("wz1") > 500 * 40), "redo_section").when(F.col("_masked"), "redo_mask")
+    state = state.when(F.col("_done"), "recorded").when(F.col("_written"), "written").otherwise("open")
+    for t in (masked, done, written):
+        b = b.join(t, ["task", "block_id"], "left")
+    return b.select("task", "block_id", state.alias("state"))
+
+
+def roi_rules(s, d):
+    """What every task schedules and writes by each of the rules: an explicit region, a sub-region, the whole source, the source less its margin."""
+    c = _with_config(s, d).groupBy("task").agg(*[F.min(f"r{a}0").alias(f"{a}0") for a in "zyx"], *[F.max(f"r{a}1").alias(f"{a}1") for a in "zyx"], F.max("overlap_nm").alias("o"), F.max("voxel_nm").alias("v"), F.max("chunk_nm").alias("c"))
+    inner = geo.Roi((8316,) * 3, (23067,) * 3)
+    rules = {"explicit": {"roi": inner}, "sub": {"sub_roi": inner}, "source": {}, "shrunk": {"shrink": F.col("o") * 2}}
+    out = None
+    for name, rule in rules.items():
+        cols = geo.compatible_rois({f"{a}{e}": F.col(f"{a}{e}") for a in "zyx" for e in "01"}, F.col("c"), F.col("v"), F.col("o"), **rule)
+        one = c.select("task", F.lit(name).alias("rule"), *[v.alias(k) for k, v in cols.items()])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def submission_check(s, d):
     """Whether a block's write region has the size of a full block of its task and the voxel grid."""
     b = _with_config(s, d)
@@ -256,7 +300,7 @@ def reject_batches(s, d):
 _NAMES = """score_filter_in topn_best_threshold union_top_metrics score_csv best_per_checkpoint json_scores blend_check score_to_json
 sweep_grid threshold_names score_text_hash roi_containment roi_intersection block_context block_tiling_shrink block_tiling_overhang
 block_tiling_valid chunk_blocks_in_roi grid_offset compatible_roi divisible seed_distances anti_completed block_precheck
-submission_check overwrite_sections section_context chunk_offsets completion_stats stream_resume reject_batches"""
+block_states roi_rules submission_check overwrite_sections section_context chunk_offsets completion_stats stream_resume reject_batches"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _T = r"""WITH t AS (SELECT *, regexp_replace(scores, '([:,\[]\s*)-?(NaN|Infinity)', '\1null', 'g') AS s FROM scores),
@@ -286,6 +330,18 @@ g AS (SELECT * FROM b JOIN task_configs USING (task))
 """
 
 
+def _rules() -> str:
+    """The four rules of roi_rules: what is scheduled (s) and written (d), before it grows to the voxel grid."""
+    rules = {"explicit": ("8316", "31383", "8316", "31383", "8316 >= {a}0 AND 31383 <= {a}1"), "sub": ("8316", "31383", "{a}0", "{a}1", "8316 >= {a}0 AND 31383 <= {a}1 AND ({a}0 - 8316) % c = 0")}
+    rules |= {"source": ("{a}0", "{a}1", "{a}0", "{a}1", "TRUE"), "shrunk": ("{a}0 + 2 * o", "{a}1 - 2 * o", "{a}0 + 2 * o", "{a}1 - 2 * o", "TRUE")}
+    down, up = "CAST(floor(({x})::DOUBLE / v) AS BIGINT) * v", "CAST(ceil(({x})::DOUBLE / v) AS BIGINT) * v"
+    parts = []
+    for name, (s0, s1, d0, d1, ok) in rules.items():
+        axes = ", ".join(f"{down.format(x=f'{s0} - o')} AS s{a}0, {up.format(x=f'{s1} + o')} AS s{a}1, {down.format(x=d0)} AS d{a}0, {up.format(x=d1)} AS d{a}1".format(a=a) for a in "zyx")
+        parts.append(f"SELECT task, '{name}' AS rule, {axes}, " + " AND ".join(f"({ok.format(a=a)})" for a in "zyx") + " AS ok FROM q")
+    return "rl AS (" + " UNION ALL ".join(parts) + ") "
+
+
 def _tile(fit: str) -> str:
     stop = {"shrink": "least(w{a}1, {a}0 + chunk_nm)"}.get(fit, "{a}0 + chunk_nm")
     axes = "".join(f", q{a} AS (SELECT g.*, unnest(range(w{a}0, w{a}1, chunk_nm)) AS {a}0 FROM g)" for a in "z") + ", qy AS (SELECT qz.*, unnest(range(wy0, wy1, chunk_nm)) AS y0 FROM qz), qx AS (SELECT qy.*, unnest(range(wx0, wx1, chunk_nm)) AS x0 FROM qy)"
@@ -303,7 +359,7 @@ SQL = {
     "blend_check": _T + ", p AS (SELECT DISTINCT score_id, " + _num("erl_norm") + " AS e, " + ", ".join(f"TRY_CAST(j->>'$.rand_voi.{p}' AS DOUBLE) AS {p}" for p in ("rand_split", "rand_merge", "nvi_split", "nvi_merge")) + """ FROM o)
 SELECT score_id, round(1 - (nvi_split + nvi_merge) / 2, 9) AS score_voi, round((rand_split + rand_merge) / 2, 9) AS score_rand, round((1 - (nvi_split + nvi_merge) / 2 + e) / 2, 9) AS score_erl_voi, round(((rand_split + rand_merge) / 2 + e) / 2, 9) AS score_erl_rand
 FROM p WHERE e IS NOT NULL AND rand_split IS NOT NULL AND rand_merge IS NOT NULL AND nvi_split IS NOT NULL AND nvi_merge IS NOT NULL""",
-    "score_to_json": "SELECT DISTINCT score_id, '{\"network\":\"' || network || '\",\"checkpoint\":' || checkpoint || '}' AS entry FROM scores WHERE network IS NOT NULL AND checkpoint IS NOT NULL AND threshold IS NOT NULL",
+    "score_to_json": _RATED + " SELECT score_id, '{' || concat_ws(',', '\"network\":\"' || network || '\"', '\"checkpoint\":' || checkpoint, " + ", ".join(f"'\"{m}\":' || CAST({m} AS DECIMAL(18, 9))" for m in ["threshold", *METRICS]) + ") || '}' AS entry FROM r",
     "sweep_grid": """WITH t AS (SELECT * FROM scores WHERE network IS NOT NULL AND checkpoint IS NOT NULL), g AS (SELECT unnest(range(1, 20)) AS i)
 SELECT round(i * 0.05::DOUBLE, 2) AS threshold, count(*) AS missing FROM (SELECT DISTINCT network, checkpoint FROM t) r, g
 WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.network = r.network AND t.checkpoint = r.checkpoint AND round(t.threshold, 2) = round(i * 0.05::DOUBLE, 2)) GROUP BY i""",
@@ -322,6 +378,14 @@ WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.network = r.network AND t.checkpoint =
     "seed_distances": _B + "SELECT task, block_id, CASE voxel_nm WHEN 8 THEN 8 WHEN 16 THEN 5 WHEN 50 THEN 5 ELSE 10 END AS distance FROM g",
     "anti_completed": "WITH n AS (SELECT concat_ws('_', bz, by, bx) AS block_id, count(DISTINCT id) AS nodes FROM rag_nodes GROUP BY 1) SELECT '03_agglomerate' AS task, block_id, nodes FROM n WHERE block_id NOT IN (SELECT block_id FROM completion_db_col WHERE task = '03_agglomerate' AND block_id IS NOT NULL)",
     "block_precheck": _B + ", n AS (SELECT concat_ws('_', bz, by, bx) AS block_id, count(DISTINCT id) AS nodes FROM rag_nodes GROUP BY 1) SELECT DISTINCT block_id, wz0, CASE WHEN wz1 <= 8316 OR wz0 >= 31383 THEN 'outside' WHEN wz0 <= 20000 AND wz1 > 20000 THEN 'redo' WHEN nodes >= 1 THEN 'done' ELSE 'open' END AS state FROM b LEFT JOIN n USING (block_id) WHERE task = '03_agglomerate'",
+    "block_states": _GV.replace("vox AS", "one AS (SELECT 1), vox AS", 1) + "," + _B.removeprefix("WITH RECURSIVE ").replace("), g AS (", "), cfg AS (").replace("\ng AS (", "\ncfg AS (") + """, o AS (SELECT *, """ + ", ".join(f"greatest(w{a}0, 3267) AS {a}0, least(w{a}1, 36333) AS {a}1" for a in "zyx") + """ FROM b),
+dn AS (SELECT DISTINCT task, block_id FROM completion_db_col WHERE duration IS NOT NULL),
+sm AS (SELECT task, block_id, sum(label) AS t FROM o, (VALUES (1), (2), (3)) AS q(k), g WHERE """ + " AND ".join(f"g.{a} = floor(({a}0 * 4 + ({a}1 - {a}0) * k)::DOUBLE / 5280)".replace(f"({a}0 * 4 + ({a}1 - {a}0)", f"(o.{a}0 * 4 + (o.{a}1 - o.{a}0)") for a in "zyx") + """ GROUP BY task, block_id)
+SELECT o.task, o.block_id, CASE WHEN z0 >= z1 OR y0 >= y1 OR x0 >= x1 THEN 'outside' WHEN wz0 < 20040 AND wz1 > 20000 THEN 'redo_section'
+  WHEN EXISTS (SELECT 1 FROM skeleton_nodes s WHERE s.seg_label = 0 AND s.pz >= rz0 AND s.pz < rz1 AND s.py >= ry0 AND s.py < ry1 AND s.px >= rx0 AND s.px < rx1) THEN 'redo_mask'
+  WHEN dn.task IS NOT NULL THEN 'recorded' WHEN t <> 0 THEN 'written' ELSE 'open' END AS state
+FROM o LEFT JOIN dn ON dn.task = o.task AND dn.block_id = o.block_id LEFT JOIN sm ON sm.task = o.task AND sm.block_id = o.block_id""",
+    "roi_rules": _B + ", q AS (SELECT task, max(overlap_nm) AS o, max(voxel_nm) AS v, max(chunk_nm) AS c, " + ", ".join(f"min(r{a}0) AS {a}0, max(r{a}1) AS {a}1" for a in "zyx") + " FROM g GROUP BY task), " + _rules() + "SELECT * FROM rl",
     "submission_check": _B + "SELECT task, block_id, " + " AND ".join(f"w{a}1 - w{a}0 = max_edge_nm AND w{a}0 % voxel_nm = 0" for a in "zyx") + ' AS "full" FROM g',
     "overwrite_sections": _B + ", n AS (SELECT unnest([300, 301, 302, 303, 500]) AS k) SELECT task, block_id, wz0, min(k) AS first, max(k) AS last FROM b JOIN n ON k * 40 < wz1 AND (k + 1) * 40 > wz0 GROUP BY ALL",
     "section_context": _B + "SELECT task, block_id, wz0 AS z0, wz1 AS z1, ry0 AS y0, ry1 AS y1, rx0 AS x0, rx1 AS x1 FROM b",

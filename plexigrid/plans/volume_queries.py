@@ -1,15 +1,24 @@
-"""Queries over volumes: each row of embeddings is a 4 x 4 x 4 block of values."""
+"""Queries over volumes: each row of embeddings is a 4 x 4 x 4 block of values.
+
+The voxel_ and other plain queries take each block as a volume of its own; the grid_ and chain_ ones
+take all blocks as parts of one volume, 8 blocks wide and high, and look across their faces.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexigrid.operators import graph as G
+from plexigrid.operators import metrics as M
 from plexigrid.operators import volume as V
 from plexigrid.operators.geometry import Roi
+from plexigrid.operators.skew import skew_join
 from plexigrid.operators.training import skip_empty
-from plexigrid.session import table
+from plexigrid.session import cut, fresh_path, table
+from plexigrid.sources.volumes import convert_volume, open_volume, prepare_volume, scales_of, volume_info, write_volume
 
 SIDE = 4
 KEY = ["block", "z", "y", "x"]
@@ -125,7 +134,8 @@ def block_sums(s, d):
 
 
 def skip_empty_blocks(s, d):
-    blocks = table(s, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: F.lit(0.0))).otherwise(F.col("embedding").cast("array<double>")).alias("v"))
+    """Values up to 0.3 are background; a block of nothing else is empty and left out of the work."""
+    blocks = table(s, d, "embeddings").select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x > 0.3, x).otherwise(0.0)).alias("v"))
     return skip_empty(blocks, "vec_id", "v", F.round(F.array_max("v") * 255, 3))
 
 
@@ -205,13 +215,139 @@ def sample_point_check(s, d):
     return at.groupBy("block").agg((F.round(F.sum("value"), 5) != 0).alias("written"))
 
 
+def _chance(*parts) -> Column:
+    """A number from 0 to 999,999 that looks random, by two steps of a multiplicative generator (plain integers, the same in SQL)."""
+    seed = reduce(lambda a, c: a * 64 + c, [F.col(p) if isinstance(p, str) else F.lit(p) for p in parts])
+    for _ in range(3):
+        seed = (seed * 48271 + 11) % 2147483647
+    return seed % 1_000_000
+
+
 def intensity_noise(s, d):
     """Values with a reproducible jitter of up to 0.05 by voxel, clipped to [-1, 1]."""
-    chance = F.pmod(F.xxhash64(*KEY), F.lit(1_000_000)) / 1_000_000
-    return voxels(s, d).select(*KEY, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(F.col("value") + (chance - 0.5) * 0.1, 6))).alias("value"))
+    jitter = (_chance("block", "z", "y", "x") / 1_000_000 - 0.5) * 0.1
+    return voxels(s, d).select(*KEY, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(F.col("value") + jitter, 6))).alias("value"))
+
+
+def simple_augment(s, d):
+    """Each block mirrored along axes and with y and x changed over, by a reproducible choice of the block."""
+    v = voxels(s, d)
+    for k, c in enumerate("zyx"):
+        v = v.withColumn(c, F.when(_chance("block", k) < 500_000, SIDE - 1 - F.col(c)).otherwise(F.col(c)))
+    swap = _chance("block", 3) < 500_000
+    return v.select("block", "z", F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"), F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), r6("value"))
+
+
+GRID = 8  # blocks along y and x
+TILE = 16  # voxels a side of the blocks in which the grid is worked on
+
+
+def grid(s, d) -> DataFrame:
+    """z, y, x, value of all blocks as one volume."""
+    return V.on_grid(voxels(s, d), SIDE, GRID, GRID)
+
+
+def grid_labels(s, d) -> DataFrame:
+    value = F.col("value")
+    return grid(s, d).select("z", "y", "x", F.greatest(F.lit(0), F.floor(value * 10)).cast("bigint").alias("label"), (F.floor((value + 1) * 128) / 256).alias("aff"))
+
+
+def grid_affinities(s, d):
+    """Affinities to 12 offsets: 1, 3, 9 and 27 voxels back on each axis, across blocks."""
+    return V.affinities(grid_labels(s, d).drop("aff"), [1, 3, 9, 27])
+
+
+def grid_grow_boundary(s, d):
+    return V.grow_boundary(V.halo(grid_labels(s, d).drop("aff"), TILE, 1)).where("core").select("z", "y", "x", "label")
+
+
+def grid_dilate_sections(s, d):
+    return V.dilate_sections(V.halo(grid_labels(s, d).drop("aff"), TILE, 2), 2).where("core").select("z", "y", "x", "label")
+
+
+def grid_contacts(s, d):
+    return G.boundary_scores(G.contacts(V.halo(grid_labels(s, d), TILE, 1), "aff")).select("u", "v", F.round("merge_score", 6).alias("merge_score"), "contacts")
+
+
+def grid_watershed(s, d):
+    return G.watershed_grid(grid(s, d), TILE, 0.0)
+
+
+def grid_seeded_fragments(s, d):
+    """Fragments from seeds at least 3 voxels apart, in blocks with a margin of 4; the lowest section is masked out."""
+    v = grid(s, d).withColumn("value", (F.col("value") + 1) / 2)
+    return G.seeded_watershed(v, TILE, 4, 2, mask=F.col("z") > 0)
+
+
+def grid_point_labels(s, d):
+    """Skeleton nodes inside the volume with the label of the voxel (1320 nm) they fall into."""
+    n = table(s, d, "skeleton_nodes").where("node is not null").select("node", F.col("pz").alias("z"), F.col("py").alias("y"), F.col("px").alias("x")).distinct()
+    return M.label_at(n, grid_labels(s, d).drop("aff"), 1320).select("node", "z", "y", "x", "label")
+
+
+#: Thresholds at which the chain writes a segmentation.
+CHAIN = [0.4, 0.43, 0.44, 0.45, 0.46]
+
 
+def _chain(s, d) -> dict[str, DataFrame]:
+    """Affinities to fragments, nodes and scored edges of their graph, and the tables of all thresholds."""
+    v = cut(grid(s, d).withColumn("aff", F.floor((F.col("value") + 1) * 128) / 256), "chain-volume")
+    f = cut(G.watershed_grid(v, TILE, 0.0).join(v.select("z", "y", "x", "aff"), ["z", "y", "x"]), "chain-fragments")
+    e = cut(G.boundary_scores(G.contacts(V.halo(f, TILE, 1), "aff")), "chain-edges")
+    return {"fragments": f, "nodes": G.centers(f), "edges": e, "luts": cut(G.threshold_sweep(e, CHAIN), "chain-luts")}
 
-_NAMES = """scale_pyramid sample_point_check intensity_noise voxel_explode voxel_pack voxel_slice voxel_project voxel_downsample2 voxel_downsample3 voxel_transpose voxel_meanpool
+
+def chain_nodes(s, d):
+    return _chain(s, d)["nodes"].select("id", *[F.round(f"center_{c}", 6).alias(f"center_{c}") for c in "zyx"], "voxels")
+
+
+def chain_edges(s, d):
+    return _chain(s, d)["edges"].select("u", "v", F.round("merge_score", 6).alias("merge_score"), "contacts")
+
+
+def chain_segmentation(s, d):
+    """The volume relabelled at every threshold, written as one dataset a threshold and read back."""
+    made, root = _chain(s, d), f"{fresh_path(s, 'chain')}.parquet"
+    f = made["fragments"].select(F.explode(F.array(*[F.lit(t) for t in CHAIN])).alias("threshold"), "z", "y", "x", "label")
+    lut = made["luts"].select("threshold", F.col("key").alias("label"), F.col("value").alias("_to"))
+    whole = skew_join(f, lut, ["threshold", "label"], "left").select(F.format_string("%.3f", "threshold").alias("at"), "z", "y", "x", F.coalesce("_to", "label").alias("label"))
+    write_volume(whole, root, "segmentation", by=("at",))
+    return open_volume(s, root, "segmentation").select(F.col("at").cast("double").alias("threshold"), "z", "y", "x", "label")
+
+
+def chain_segment_sizes(s, d):
+    """Voxels of every segment at every threshold."""
+    return chain_segmentation(s, d).where("label <> 0").groupBy("threshold", "label").agg(F.count("*").alias("voxels"))
+
+
+def grid_hierarchical(s, d):
+    """Merges in hierarchical order inside blocks of the grid, by the median of the affinities of each contact."""
+    made = _chain(s, d)["fragments"]
+    inside = made.withColumns({f"b{c}": F.floor(F.col(c) / TILE) for c in "zyx"})
+    return G.agglomerate_blocks(G.contacts(inside, "aff"), 0.45, quantile=50).withColumn("merge_score", F.round("merge_score", 6))
+
+
+def stored_conversion(s, d):
+    """The labels stored with their region and voxel size, converted to every second voxel with reversed axes and two labels kept, and opened at a section."""
+    root = fresh_path(s, "convert")
+    prepare_volume(s, f"{root}/a.parquet", "labels", Roi((0, 0, 0), (1024 * 33,) * 3), (33, 33, 33), "uint64")
+    write_volume(grid_labels(s, d).select("z", "y", "x", F.col("label").alias("value")), f"{root}/a.parquet", "labels")
+    convert_volume(s, f"{root}/a.parquet", "labels", f"{root}/b.orc", factor=2, transpose=True, keep=[1, 2])
+    info = volume_info(s, f"{root}/b.orc", "labels")
+    return open_volume(s, f"{root}/b.orc", "labels[3]").withColumn("nm_y", F.col("y") * info["resolution"][1] + info["offset"][1])
+
+
+def stored_scales(s, d):
+    """The volume stored at strides 1, 2 and 4 as s0 to s2; the scales that are found there, each with its voxels and sum."""
+    root, v = f"{fresh_path(s, 'scales')}.parquet", grid_labels(s, d).select("z", "y", "x", F.col("label").alias("value"))
+    for k in range(3):
+        write_volume(V.downsample(v, 2**k), root, f"labels/s{k}")
+    found = [open_volume(s, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("voxels"), F.sum("value").alias("total")) for name in scales_of(s, root, "labels")]
+    return reduce(DataFrame.unionByName, found)
+
+
+_NAMES = """simple_augment grid_affinities grid_grow_boundary grid_dilate_sections grid_contacts grid_watershed grid_seeded_fragments grid_point_labels
+chain_nodes chain_edges chain_segmentation chain_segment_sizes grid_hierarchical stored_conversion stored_scales scale_pyramid sample_point_check intensity_noise voxel_explode voxel_pack voxel_slice voxel_project voxel_downsample2 voxel_downsample3 voxel_transpose voxel_meanpool
 intensity_scale normalize_uint8 section_delete section_replace pad_grid constant_mask unlabelled_mask keep_labels distinct_labels
 affinity_offsets grow_boundary dilate_sections label_balance stack_channels block_sums skip_empty_blocks rag_contacts rag_mean_score
 rag_hist_quantiles rag_hist_initmax fragment_centers cc_voxels agglomerate_single_linkage watershed_fragments
@@ -220,11 +356,54 @@ QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _V = """WITH RECURSIVE vox AS (SELECT vec_id AS block, i // 16 AS z, (i // 4) % 4 AS y, i % 4 AS x, CAST(embedding[CAST(i + 1 AS BIGINT)] AS DOUBLE) AS value
   FROM embeddings, (SELECT unnest(range(64)) AS i)),
-lab AS (SELECT block, z, y, x, CAST(greatest(0, floor(value * 10)) AS BIGINT) AS label, floor((value + 1) * 128) / 256 AS aff FROM vox),
+lab AS (SELECT block, z, y, x, value, CAST(greatest(0, floor(value * 10)) AS BIGINT) AS label, floor((value + 1) * 128) / 256 AS aff FROM vox),
 unit AS (SELECT * FROM (VALUES (0, 0, 1), (0, 1, 0), (1, 0, 0)) AS t(oz, oy, ox)),
 con AS (SELECT a.block, least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, least(a.aff, b.aff) AS affinity
   FROM lab a, unit, lab b WHERE b.block = a.block AND b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox AND a.label <> b.label AND a.label <> 0 AND b.label <> 0)
 """
+#: The blocks as one volume, and its steepest ascents.
+_GV = _V + """, g AS (SELECT (block // 64) * 4 + z AS z, (block // 8 % 8) * 4 + y AS y, (block % 8) * 4 + x AS x, value, label, aff FROM lab)
+"""
+_FACES = "(VALUES (0, 0, 0), (0, 0, 1), (0, 1, 0), (1, 0, 0), (0, 0, -1), (0, -1, 0), (-1, 0, 0)) AS t(oz, oy, ox)"
+
+
+def _ascents(name: str, source: str, key: str, number: str, low: str) -> str:
+    """name: the columns of source and label, the number of the maximum that the ascent from each voxel reaches + 1 (0 for low values)."""
+    on = " AND ".join(f"b.{c} = a.{c} + o{c}" for c in "zyx") + "".join(f" AND b.{c} = a.{c}" for c in key.split())
+    return f""", {name}i AS (SELECT *, {number} AS id FROM {source}),
+{name}p AS (SELECT a.id, -max({{'v': b.value, 'k': -b.id}}).k AS up FROM {name}i a, {_FACES}, {name}i b WHERE {on} GROUP BY a.id),
+{name}r(id, pos) AS (SELECT id, up FROM {name}p UNION SELECT r.id, p.up FROM {name}r r JOIN {name}p p ON p.id = r.pos WHERE p.up <> r.pos),
+{name}e AS (SELECT r.id, r.pos FROM {name}r r JOIN {name}p p ON p.id = r.pos AND p.up = r.pos),
+{name} AS (SELECT i.*, CASE WHEN {low} THEN e.pos + 1 ELSE 0 END AS fragment FROM {name}i i JOIN {name}e e ON e.id = i.id)
+"""
+
+
+_BLOCKWISE = _ascents("f", "vox", "block", "block * 64 + z * 16 + y * 4 + x", "value > 0")
+_GRIDWISE = _ascents("f", "g", "", "z * 4398046511104 + y * 2097152 + x", "value > 0")
+_EDGES = _GRIDWISE + """, ge AS (SELECT least(a.fragment, b.fragment) AS u, greatest(a.fragment, b.fragment) AS v, 1 - avg(least(a.aff, b.aff)) AS s, count(*) AS contacts
+  FROM f a, unit, f b WHERE b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox AND a.fragment <> b.fragment AND a.fragment <> 0 AND b.fragment <> 0 GROUP BY ALL)
+"""
+
+
+def _segments(t: float) -> str:
+    k = f"k{round(t * 1000)}"
+    return f""", e{k} AS (SELECT u, v FROM ge WHERE s <= {t} UNION SELECT v, u FROM ge WHERE s <= {t}),
+{k}(key, value) USING KEY (key) AS (SELECT DISTINCT u, u FROM e{k} UNION
+  SELECT e.v, min(c.value) FROM {k} c JOIN e{k} e ON e.u = c.key JOIN recurring.{k} AS q ON q.key = e.v WHERE c.value < q.value GROUP BY e.v),
+s{k} AS (SELECT {t}::DOUBLE AS threshold, z, y, x, coalesce({k}.value, fragment) AS label FROM f LEFT JOIN {k} ON key = fragment)
+"""
+
+
+_CHAIN = _GV + _EDGES + "".join(_segments(t) for t in CHAIN) + ", seg AS (" + " UNION ALL ".join(f"SELECT * FROM sk{round(t * 1000)}" for t in CHAIN) + ") "
+
+
+def _dice(seed: str) -> str:
+    """As _chance()."""
+    for _ in range(3):
+        seed = f"(({seed}) * 48271 + 11) % 2147483647"
+    return f"({seed}) % 1000000"
+
+
 _R = "block, z, y, x, round(value, 6) AS value"
 _H = ", h AS (SELECT u, v, CAST(floor(affinity * 255) AS INT) AS bin, count(*) AS n FROM con GROUP BY ALL)"
 
@@ -256,7 +435,26 @@ WHERE b.block = a.block AND b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox
     "label_balance": _V + "SELECT label, count(*) AS n, round((SELECT count(*) FROM lab) / ((SELECT count(DISTINCT label) FROM lab) * count(*))::DOUBLE, 6) AS weight FROM lab GROUP BY label",
     "stack_channels": _V + "SELECT 0 AS c, block, z, y, x, round(value, 6) AS value FROM vox UNION ALL SELECT 1, block, z, y, x, CASE WHEN value > 0 THEN 1.0::DOUBLE ELSE 0 END FROM vox",
     "block_sums": _V + "SELECT block, round(sum(value), 5) AS total, round(avg(value), 6) AS mean, max(value) AS high FROM vox GROUP BY block",
-    "skip_empty_blocks": "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 0.0::DOUBLE ELSE round(list_max(embedding)::DOUBLE * 255, 3) END AS result FROM embeddings",
+    "skip_empty_blocks": "SELECT vec_id, CASE WHEN list_max(embedding)::DOUBLE > 0.3 THEN round(list_max(embedding)::DOUBLE * 255, 3) ELSE 0.0 END AS result FROM embeddings",
+    "intensity_noise": _V + f"SELECT block, z, y, x, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, round(value + (({_dice('((block * 64 + z) * 64 + y) * 64 + x')}) / 1000000::DOUBLE - 0.5) * 0.1, 6))) AS value FROM vox",
+    "simple_augment": _V + ", m AS (SELECT block, " + ", ".join(f"CASE WHEN {_dice(f'block * 64 + {k}')} < 500000 THEN 3 - {c} ELSE {c} END AS {c}" for k, c in enumerate("zyx")) + f", value, {_dice('block * 64 + 3')} < 500000 AS swap FROM vox) SELECT block, z, CASE WHEN swap THEN x ELSE y END AS y, CASE WHEN swap THEN y ELSE x END AS x, round(value, 6) AS value FROM m",
+    "watershed_fragments": _V + _BLOCKWISE + "SELECT block, z, y, x, fragment AS label FROM f",
+    "weak_fragments": _V + _BLOCKWISE + ", w AS (SELECT fragment FROM f WHERE fragment <> 0 GROUP BY fragment HAVING avg(value) < 0.1) SELECT block, z, y, x, CASE WHEN fragment IN (SELECT fragment FROM w) THEN 0 ELSE fragment END AS label FROM f",
+    "grid_affinities": _GV + """SELECT a.z, a.y, a.x, oz, oy, ox, CAST(a.label = b.label AND a.label <> 0 AS INT) AS affinity
+FROM g a, (SELECT -k * oz AS oz, -k * oy AS oy, -k * ox AS ox FROM unit, (VALUES (1), (3), (9), (27)) AS m(k)) o, g b WHERE b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox""",
+    "grid_grow_boundary": _GV + f"SELECT a.z, a.y, a.x, CASE WHEN max(CAST(b.label <> a.label AS INT)) = 1 THEN 0 ELSE a.label END AS label FROM g a, {_FACES}, g b WHERE b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox GROUP BY a.z, a.y, a.x, a.label",
+    "grid_dilate_sections": _GV + """, sq AS (SELECT p.o AS oy, q.o AS ox FROM (VALUES (-1), (0), (1)) AS p(o), (VALUES (-1), (0), (1)) AS q(o)),
+d1 AS (SELECT a.z, a.y, a.x, CASE WHEN a.label = 0 THEN max(b.label) ELSE a.label END AS label FROM g a, sq, g b WHERE b.z = a.z AND b.y = a.y + oy AND b.x = a.x + ox GROUP BY a.z, a.y, a.x, a.label)
+SELECT a.z, a.y, a.x, CASE WHEN a.label = 0 THEN max(b.label) ELSE a.label END AS label FROM d1 a, sq, d1 b WHERE b.z = a.z AND b.y = a.y + oy AND b.x = a.x + ox GROUP BY a.z, a.y, a.x, a.label""",
+    "grid_contacts": _GV + "SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, round(1 - avg(least(a.aff, b.aff)), 6) AS merge_score, count(*) AS contacts FROM g a, unit, g b WHERE b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox AND a.label <> b.label AND a.label <> 0 AND b.label <> 0 GROUP BY 1, 2",
+    "grid_watershed": _GV + _GRIDWISE + "SELECT z, y, x, fragment AS label FROM f",
+    "grid_point_labels": _GV + "SELECT DISTINCT node, pz AS z, py AS y, px AS x, label FROM skeleton_nodes JOIN g ON floor(pz / 1320) = g.z AND floor(py / 1320) = g.y AND floor(px / 1320) = g.x WHERE node IS NOT NULL",
+    "chain_nodes": _GV + _GRIDWISE + "SELECT fragment AS id, round(avg(z), 6) AS center_z, round(avg(y), 6) AS center_y, round(avg(x), 6) AS center_x, count(*) AS voxels FROM f WHERE fragment <> 0 GROUP BY fragment",
+    "chain_edges": _GV + _EDGES + "SELECT u, v, round(s, 6) AS merge_score, contacts FROM ge",
+    "chain_segmentation": _CHAIN + "SELECT * FROM seg",
+    "chain_segment_sizes": _CHAIN + "SELECT threshold, label, count(*) AS voxels FROM seg WHERE label <> 0 GROUP BY threshold, label",
+    "stored_conversion": _GV + "SELECT y // 2 AS y, z // 2 AS x, CASE WHEN label IN (1, 2) THEN label ELSE 0 END AS value, y // 2 * 66 AS nm_y FROM g WHERE x = 6 AND y % 2 = 0 AND z % 2 = 0",
+    "stored_scales": _GV + "SELECT 'labels/s' || k AS name, count(*) AS voxels, CAST(sum(label) AS BIGINT) AS total FROM g, (VALUES (0), (1), (2)) AS t(k) WHERE z % (1 << k) = 0 AND y % (1 << k) = 0 AND x % (1 << k) = 0 GROUP BY k",
     "rag_contacts": _V + "SELECT block, u, v, count(*) AS contacts FROM con GROUP BY ALL",
     "rag_mean_score": _V + "SELECT u, v, round(1 - avg(affinity), 6) AS merge_score, count(*) AS contacts FROM con GROUP BY u, v",
     "rag_hist_quantiles": _V + _H + """, c AS (SELECT *, sum(n) OVER (PARTITION BY u, v ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY u, v) AS total FROM h)

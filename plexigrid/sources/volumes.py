@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plexigrid.operators import volume as V
+from plexigrid.operators.geometry import Roi
+
 #: Formats by the ending of a container's name.
 FORMATS = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json"}
 
@@ -49,6 +52,79 @@ def write_volume(df: DataFrame, container: str, dataset: str = "", by: tuple[str
     writer.save(f"{container}/{dataset}" if dataset else container)
 
 
+INFO = "offset array<bigint>, shape array<bigint>, resolution array<bigint>, dtype string"
+
+
+def prepare_volume(spark: SparkSession, container: str, dataset: str, roi: Roi, resolution: tuple[int, int, int], dtype: str, delete: bool = False) -> None:
+    """Record the region (nm), voxel size (nm) and value type of a dataset beside it, before blocks are written.
+
+    The region must lie on the voxel grid. A dataset that is already recorded must agree, unless
+    delete is set: then its record is replaced (its values are, block by block, as they are written).
+    """
+    if any(b % r or n % r for b, n, r in zip(roi.begin, roi.shape, resolution)):
+        raise ValueError(f"{roi} does not lie on the grid of {resolution}")
+    new = (list(roi.begin), list(roi.shape), list(resolution), dtype)
+    if table_exists(spark, f"{container}/{dataset}.info") and not delete:
+        if tuple(volume_info(spark, container, dataset)) != new:
+            raise ValueError(f"{dataset} is there with another region, voxel size or type")
+        return
+    spark.createDataFrame([new], INFO).coalesce(1).write.mode("overwrite").json(f"{container}/{dataset}.info")
+
+
+def volume_info(spark: SparkSession, container: str, dataset: str):
+    """offset, shape, resolution, dtype of a dataset (one row); fails if it was not prepared."""
+    return spark.read.schema(INFO).json(f"{container}/{parse_dataset(dataset)[0]}.info").first()
+
+
+def convert_volume(spark: SparkSession, source: str, dataset: str, target: str, factor: int = 1, transpose: bool = False, keep: list[int] | None = None, shift: tuple[int, int, int] = (0, 0, 0)) -> None:
+    """Copy a prepared dataset to another container: every factor-th voxel, axes reversed, labels not kept as 0.
+
+    The record goes along: the resolution grows by factor, the region shrinks to whole voxels of it,
+    reversed axes reverse both; shift moves the region. The kinds of the containers may differ.
+    """
+    name = parse_dataset(dataset)[0]
+    info, df = volume_info(spark, source, dataset), open_volume(spark, source, name)
+    if factor > 1:
+        df = V.downsample(df, factor)
+    if keep is not None:
+        df = df.withColumn("value", V.keep_labels(F.col("value"), keep))
+    resolution = [r * factor for r in info["resolution"]]
+    offset = [o + s for o, s in zip(info["offset"], shift)]
+    shape = [-(-n // r) * r for n, r in zip(info["shape"], resolution)]
+    if transpose:
+        df, resolution, offset, shape = V.transpose(df), resolution[::-1], offset[::-1], shape[::-1]
+    if any(o % r for o, r in zip(offset, resolution)):
+        offset = [o // r * r for o, r in zip(offset, resolution)]
+    prepare_volume(spark, target, name, Roi(tuple(offset), tuple(shape)), tuple(resolution), info["dtype"], delete=True)
+    write_volume(df, target, name)
+
+
+def submission_errors(spark: SparkSession, container: str, dataset: str, resolution: tuple[int, int, int] = (99, 99, 99), roi: Roi = Roi((3267,) * 3, (33066,) * 3)) -> list[str]:
+    """What is wrong with a submitted segmentation: kind of container, whether it can be read, type, voxel size, region."""
+    try:
+        format_of(container)
+    except ValueError as e:
+        return [str(e)]
+    if not table_exists(spark, f"{container}/{dataset}.info"):
+        return [f"no {dataset} in {container}"]
+    info, out = volume_info(spark, container, dataset), []
+    if not table_exists(spark, f"{container}/{dataset}"):
+        out.append("no values")
+    if info["dtype"] not in ("uint64", "int64", "bigint"):
+        out.append(f"type {info['dtype']}")
+    if tuple(info["resolution"]) != resolution:
+        out.append(f"voxel size {info['resolution']}")
+    if (tuple(info["offset"]), tuple(info["shape"])) != (roi.begin, roi.shape):
+        out.append(f"region {info['offset']}, {info['shape']}")
+    return out
+
+
+def scales_of(spark: SparkSession, container: str, dataset: str) -> list[str]:
+    """The names of the scales of a dataset (s0, s1 ... beside each other), or the dataset itself if it has none."""
+    found = [(int(f.rsplit("/s", 1)[1]), f) for f in _listing(spark, f"{container}/{dataset}/s[0-9]*") if f.rsplit("/s", 1)[1].isdigit()]
+    return [f"{dataset}/s{k}" for k, _ in sorted(found)] or [dataset]
+
+
 def write_lut(lut: DataFrame, path: str) -> None:
     """Add threshold and stage partitions of lookup tables (threshold, stage, ..., key, value) to a table."""
     lut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "threshold").parquet(path)

@@ -122,7 +122,7 @@ def test_quantiles_against_brute_force(spark, spread):
 def test_skew_join_with_hot_keys(spark):
     big = spark.createDataFrame([("h" if i % 3 else str(i), i) for i in range(300)] + [(None, -1)], "k string, i int")
     small = spark.createDataFrame([("h", "hot"), ("3", "three"), ("x", "none")], "k string, s string")
-    hot = hot_keys(big, "k", small=0)
+    hot = hot_keys(big, "k", rows=0)
     assert hot == ["h"]
     for how in ("inner", "left", "left_semi"):
         assert sorted(map(str, skew_join(big, small, "k", how, hot).collect())) == sorted(map(str, big.join(small, "k", how).collect()))
