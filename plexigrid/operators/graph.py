@@ -96,28 +96,50 @@ def _forest(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _merges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each batch of (u, v, _level) the merges that every level adds: fewer than the batch has ids, at the levels of its lightest spanning forest."""
+#: Edges that a map task contracts at once (about 50 bytes each).
+CHUNK_EDGES = 1 << 20
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches joined to chunks of about CHUNK_EDGES rows."""
+    held, n = [], 0
     for batch in batches:
-        ids, at = np.unique(batch[["u", "v"]].to_numpy(), return_inverse=True)
-        at, level = at.reshape(-1, 2), batch["_level"].to_numpy()
-        root, out = np.arange(len(ids)), []
-        for k in np.unique(level):
-            u, v = root[at[level == k, 0]], root[at[level == k, 1]]
-            new = _forest(np.arange(len(ids)), u, v)
-            moved = np.nonzero((new != np.arange(len(ids))) & (root == np.arange(len(ids))))[0]  # roots that were taken over
-            out.append(pd.DataFrame({"u": ids[new[moved]], "v": ids[moved], "_level": np.full(len(moved), k, np.int32)}))
-            root = new[root]
-        yield pd.concat(out) if out else pd.DataFrame({"u": [], "v": [], "_level": []})
+        held.append(batch)
+        n += len(batch)
+        if n >= CHUNK_EDGES:
+            yield pd.concat(held)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held)
+
+
+def _stars(levels: int):
+    """Of each chunk of (u, v, _level) the components at every level, as stars: level, center, tip."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _chunks(batches):
+            ids, at = np.unique(chunk[["u", "v"]].to_numpy(), return_inverse=True)
+            at, level = at.reshape(-1, 2), chunk["_level"].to_numpy()
+            place = np.arange(len(ids))
+            root = place
+            for k in range(levels):
+                new = level == k
+                if new.any():
+                    root = _forest(place, root[at[new, 0]], root[at[new, 1]])[root]
+                tip = np.nonzero(root != place)[0]
+                if len(tip):
+                    yield pd.DataFrame({"_level": np.full(len(tip), k, np.int32), "u": ids[root[tip]], "v": ids[tip]})
+
+    return run
 
 
 def threshold_sweep(edges: DataFrame, thresholds: list[float], score: str = "merge_score") -> DataFrame:
     """threshold, key, value: the components at every threshold.
 
-    All thresholds are solved in the same rounds. Before that, map tasks keep of each Arrow batch of
-    edges its lightest spanning forest only: an edge that closes a cycle of edges at or below its own
-    level joins nothing at any threshold. So what is spread over the thresholds is at most an edge a
-    vertex of a batch and threshold, as is the result. No thresholds or no edges give no rows.
+    All thresholds are solved in the same rounds. Before the first shuffle, map tasks contract bounded
+    chunks of edges at every threshold: a higher one only merges groups of a lower one, so that a chunk
+    goes through once, and what leaves it is at most an edge an id and threshold, as is the result.
+    No thresholds or no edges give no rows.
     """
     steps = sorted({float(t) for t in thresholds})
     if not steps:
@@ -125,14 +147,13 @@ def threshold_sweep(edges: DataFrame, thresholds: list[float], score: str = "mer
     array = F.array(*[F.lit(t) for t in steps])
     level = F.size(F.filter(array, lambda t: t < F.col(score))).cast("int")  # the first threshold that takes the edge
     rows = edges.where((F.col("u") != F.col("v")) & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), level.alias("_level")).where(F.col("_level") < len(steps))
-    light = rows.mapInPandas(_merges, "u bigint, v bigint, _level int")
-    every = light.select("u", "v", F.explode(F.sequence(F.col("_level"), F.lit(len(steps) - 1))).alias("_level"))
-    return components(every, ["_level"]).select(F.get(array, F.col("_level")).alias("threshold"), "key", "value")
+    stars = rows.mapInPandas(_stars(len(steps)), "_level int, u bigint, v bigint")
+    return components(stars, ["_level"]).select(F.get(array, F.col("_level")).alias("threshold"), "key", "value")
 
 
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ids, at = np.unique(batch[["u", "v"]].to_numpy(), return_inverse=True)
+    for chunk in _chunks(batches):
+        ids, at = np.unique(chunk[["u", "v"]].to_numpy(), return_inverse=True)
         at = at.reshape(-1, 2)
         yield pd.DataFrame({"key": ids, "value": _forest(ids, at[:, 0], at[:, 1])})
 
@@ -140,9 +161,9 @@ def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def two_phase_components(edges: DataFrame) -> DataFrame:
     """key, value as by components(): first inside what a task reads, then across.
 
-    Each Arrow batch of edges is contracted on its own by a map task, before the first shuffle; as
+    Chunks of edges are contracted on their own by the map tasks, before the first shuffle; as
     the edges of a block lie together in the files, that is where most of them meet. However many
-    edges a block holds, no task takes more than a batch at a time. Every contracted batch links the
+    edges a block holds, no task takes more than a chunk at a time. Every contracted chunk links the
     same ids as its edges, so that the result equals the one-phase one. Self pairs and null ends add
     nothing.
     """
