@@ -18,7 +18,7 @@ from plexigrid.operators.skew import skew_join
 from plexigrid.session import cut
 
 #: Bits by which a round narrows the bins: 2 ** BITS bins (about) a key or open bin at most.
-BITS = 12
+BITS = 16
 
 
 def select_mode(df: DataFrame, key: str, value: str, unit: str) -> DataFrame:
