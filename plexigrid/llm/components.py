@@ -34,7 +34,6 @@ def linked_groups(pairs: DataFrame, u: str = "u", v: str = "v", max_rounds: int
     """
     e = pairs.select(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"), F.col(u).isNotNull() & F.col(v).isNotNull()).toDF("u", "v", "ok")
     edges = cut(e.where(F.col("ok") & (F.col("u") != F.col("v"))).select("u", "v").distinct(), "cc-edges")
-    id_type = edges.schema["u"].dataType
     levels: list[DataFrame] = []  # of each round: the vertices that dropped out, with their parents
     for _ in range(max_rounds):
         n = edges.count()
@@ -46,10 +45,10 @@ def linked_groups(pairs: DataFrame, u: str = "u", v: str = "v", max_rounds: int
         # the minimum of u's closed neighbourhood is proposed to u and to every neighbour of u
         to_others = skew_join(links, lowest, "u", hot=hot).select(F.col("v").alias("x"), "m")
         proposals = cut(to_others.unionByName(lowest.select(F.col("u").alias("x"), "m")).distinct(), "cc-proposals")
-        got = proposals.groupBy("x").agg(F.min("m").alias("p"))
-        minima = proposals.select("m").distinct()
-        got = cut(got.join(minima.select(F.col("m").alias("x"), F.lit(True).alias("_stays")), "x", "left"), "cc-got")
-        levels.append(got.where(F.col("_stays").isNull()).select(F.col("x").alias("id"), F.col("p").alias("parent")))
+        # of every vertex the smallest proposal it got, and whether it was itself proposed
+        heard = F.explode(F.array(F.struct(F.col("x").alias("x"), F.col("m").alias("m"), F.lit(0).alias("s")), F.struct(F.col("m").alias("x"), F.lit(None).alias("m"), F.lit(1).alias("s"))))
+        got = cut(proposals.select(heard.alias("h")).groupBy(F.col("h.x").alias("x")).agg(F.min("h.m").alias("p"), F.max("h.s").alias("stays")), "cc-got")
+        levels.append(got.where("stays = 0").select(F.col("x").alias("id"), F.col("p").alias("parent")))
         # a vertex proposes once to each neighbour and to itself: at most 4 n proposals
         nxt = skew_join(proposals, got.select("x", "p"), "x", hot=hot_keys(proposals, "x", most=4 * n)).where(F.col("m") != F.col("p"))
         smaller = cut(nxt.select(F.least("m", "p").alias("u"), F.greatest("m", "p").alias("v")).distinct(), "cc-edges")
@@ -59,12 +58,14 @@ def linked_groups(pairs: DataFrame, u: str = "u", v: str = "v", max_rounds: int
     else:
         raise RuntimeError(f"pairs still linked after {max_rounds} rounds")
     if not levels:
-        return edges.select(F.col("u").alias("id"), F.col("u").cast(id_type).alias("group_id")).limit(0)
-    # seeds never dropped out; whatever hangs directly below a vertex of a later round waits for that round
-    dropped = reduce(DataFrame.unionByName, [x.select("id") for x in levels])
-    parents = reduce(DataFrame.unionByName, [x.select(F.col("parent").alias("id")) for x in levels]).distinct()
-    named = cut(parents.join(dropped, "id", "left_anti").select("id", F.col("id").alias("group_id")), "cc-named")
+        return edges.select(F.col("u").alias("id"), F.col("u").alias("group_id")).limit(0)
+    # a parent was proposed, so that it dropped out in a later round, whose members are named by now, or never: then it is a seed
+    named: list[DataFrame] = []
     for level in reversed(levels):
-        below = skew_join(level, named.select(F.col("id").alias("parent"), "group_id"), "parent").select("id", "group_id")
-        named = cut(named.unionByName(below), "cc-named")
-    return named
+        if named:
+            above = reduce(DataFrame.unionByName, named).withColumnRenamed("id", "parent")
+            level = skew_join(level, above, "parent", "left")
+            level = level.select("id", F.coalesce("group_id", "parent").alias("group_id"))
+        named.append(cut(level.toDF("id", "group_id"), "cc-named"))
+    below = reduce(DataFrame.unionByName, named)
+    return below.unionByName(below.select(F.col("group_id").alias("id"), "group_id").distinct())
