@@ -22,7 +22,8 @@ def top_n(df: DataFrame, group: list[str], order: list[Column], ident: str, n: i
     named place or _salt is replaced). n below 1: none.
     """
     by = [*order, F.col(ident).asc_nulls_last()]
-    rows = df.distinct().withColumn("_salt", F.coalesce(salt_of(F.col(ident), salts), F.lit(0)))
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*by))).where(F.col("place") <= n)
+    # repeated rows share ident, so that they meet in one subgroup and there have one rank; only what is left is made distinct
+    rows = df.withColumn("_salt", F.coalesce(salt_of(F.col(ident), salts), F.lit(0)))
+    first = rows.withColumn("place", F.dense_rank().over(Window.partitionBy(*group, "_salt").orderBy(*by))).where(F.col("place") <= n).distinct()
     last = first.drop("place", "_salt").withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*by)))
     return last.where(F.col("place") <= n)
