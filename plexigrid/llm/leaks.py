@@ -1,20 +1,18 @@
 """Evaluation passages inside a corpus, by SimHash windows and multi-index Hamming blocks (problem 6).
 
-Every window of as many words as a test passage has gets a 64-bit SimHash. Two fingerprints within
-radius r agree in at least one of r + 1 blocks of bits, so that looking up each block finds all
-fingerprints within the radius. Candidates are then compared by the exact weighted similarity of
-their word shingles. A radius that finds nearly all windows of a similarity below 1.0 would be wide
-(one of 25 words changed moves about 5 of the 64 bits), so that without a radius such windows are
-looked up by their shingles instead: any similarity above 0 needs one in common, and bounds of the
-weights leave the windows that can reach the similarity; none is missed. The corpus is read once per bounded chunk of test items, in map tasks alone;
-nothing of it is shuffled but the matches.
+Every window of as many words as a test passage has gets a 64-bit SimHash of its word shingles: each
+shingle votes with the signs of its words, so that a word counts as often as it is in a shingle of
+the window and words at the edges, whose change costs few shingles, move few bits. Two fingerprints
+within radius r agree in at least one of r + 1 blocks of bits, so that looking up each block finds
+all fingerprints within the radius. Candidates are then compared by the exact weighted similarity of
+their shingles. Spark prepares the test items (windows, shingle weights over all of them); the corpus
+is read in map tasks alone, once per bounded chunk of test items, and nothing of it is shuffled but
+the matches.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from math import fsum
 
 import numpy as np
 import pandas as pd
@@ -24,32 +22,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plexigrid.llm.mail import readable, words
+from plexigrid.session import cut
 
 BITS = 64
-#: Words of test items that one pass over the corpus takes: the bound of what is broadcast (about 200 bytes a word).
-CHUNK_WORDS = 200_000
+#: Words of test items (about) that one pass over the corpus takes: the bound of what is broadcast and of a task's index (about 100 bytes a word).
+CHUNK_WORDS = 1_000_000
+#: Words of one item that lie in one row; longer items are cut into rows that overlap by a window.
+SEGMENT_WORDS = 20_000
 #: Words whose fingerprints are computed at once in a task.
 BLOCK_WORDS = 40_000
-
-
-def _signs(word: str) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(word), np.uint8))
-    return bits.astype(np.int8) * 2 - 1
+#: Pairs of windows that are compared at once.
+PAIRS = 20_000
 
 
 class Signs(dict):
-    """Sign vectors of words by row number, remembered up to a bound."""
+    """Sign vectors and codes of words by row number, remembered up to a bound."""
 
     def __init__(self, most: int = 200_000):
         super().__init__()
-        self.rows = np.zeros((1024, BITS), np.int8)
+        self.rows, self.codes = np.zeros((1024, BITS), np.int8), np.zeros(1024, np.uint64)
         self.most = most
 
     def __missing__(self, word: str) -> int:
         k = self[word] = len(self)
         if k >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = _signs(word)
+            self.rows, self.codes = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.codes, np.zeros_like(self.codes)])
+        digest = np.frombuffer(xxhash.xxh3_64_digest(word), np.uint8)
+        self.rows[k], self.codes[k] = np.unpackbits(digest).astype(np.int8) * 2 - 1, digest.view(np.uint64)[0]
         return k
 
     def index(self, ws: list[str]) -> np.ndarray:
@@ -72,138 +71,74 @@ def _window_sums(rows: np.ndarray, window: int) -> np.ndarray:
         size *= 2
 
 
-def fingerprints(signs: Signs, ws: list[str], window: int) -> np.ndarray:
-    """SimHash of every window of consecutive words; a bit is set if most of its words set it."""
-    if len(ws) < window:
+def fingerprints(rows: np.ndarray, window: int, shingle: int) -> np.ndarray:
+    """SimHash of every window of consecutive words (rows: their signs); a bit is set if the votes of its shingles set it."""
+    if len(rows) < window:
         return np.empty(0, np.uint64)
-    at = signs.index(ws)  # may lengthen signs.rows
-    rows = signs.rows[at]
-    sums = _window_sums(rows if window < 128 else rows.astype(np.int32), window)
-    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+    each = window - shingle + 1
+    wide = rows if shingle * each < 128 else rows.astype(np.int32)
+    return np.packbits(_window_sums(_window_sums(wide, shingle), each) > 0, axis=1).view(np.uint64).ravel()
+
+
+def shingle_codes(codes: np.ndarray, shingle: int) -> np.ndarray:
+    """A code of every shingle of consecutive words."""
+    n = max(0, len(codes) - shingle + 1)
+    total = np.zeros(n, np.uint64)
+    for i in range(shingle if n else 0):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+    return total
+
+
+def distinct_windows(codes: np.ndarray, window: int, group: np.ndarray | None = None) -> np.ndarray:
+    """Where windows of words begin that no earlier window (of its group, told at its first word) equals: repeats add nothing."""
+    whole = shingle_codes(codes, window)
+    if group is not None:
+        whole = whole * np.uint64(0xD1B54A32D192ED03) + group[: len(whole)].view(np.uint64)
+    return np.sort(np.unique(whole, return_index=True)[1])
 
 
 class Items:
-    """A bounded chunk of test items, ready for lookup by blocks of fingerprint bits."""
+    """A bounded chunk of test items, ready for lookup by blocks of fingerprint bits.
 
-    def __init__(self, items: list[tuple[int, list[str]]], window: int, radius: int | None, shingle: int):
+    Rows, each a segment of an item: item_id, fingerprints and begins of its windows, codes of its
+    words, and for each word the weight of the shingle that begins there.
+    """
+
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], window: int, radius: int, shingle: int):
         self.window, self.radius, self.shingle = window, radius, shingle
-        self.exact = radius is None
-        radius = radius or 0
-        signs = Signs()
-        self.words: list[list[str]] = [w for _, w in items]
-        prints, owner, start = [], [], []
-        for k, (_, w) in enumerate(items):
-            f = fingerprints(signs, w, window)
-            prints.append(f)
-            owner.append(np.full(len(f), k))
-            start.append(np.arange(len(f)))
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.prints = np.concatenate([*prints, np.empty(0, np.uint64)])
-        self.owner = np.concatenate([*owner, np.empty(0, np.int64)]).astype(np.int64)
-        self.start = np.concatenate([*start, np.empty(0, np.int64)]).astype(np.int64)
-        self.blocks = []  # of each block: shift, mask, sorted values, their order, and which 16-bit ends occur
+        item, prints, begins, codes, weights = zip(*rows)
+        self.prints, self.codes, self.weights = np.concatenate(prints), np.concatenate(codes), np.concatenate(weights)
+        self.owner = np.repeat(np.array(item, np.int64), [len(p) for p in prints])
+        offset = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+        self.start = np.concatenate([o + b for o, b in zip(offset, begins)])
+        self.shingles = np.concatenate([np.pad(shingle_codes(c, shingle), (0, min(len(c), shingle - 1))) for c in codes])
+        self.blocks = []  # of each block: shift, bits, where each value of its upper bits begins in the order, and the order by value
         edges = np.linspace(0, BITS, radius + 2).astype(int)
         for low, high in zip(edges[:-1], edges[1:]):
-            shift, mask = np.uint64(low), np.uint64((1 << int(high - low)) - 1)
-            values = (self.prints >> shift) & mask
+            bits = int(high - low)
+            values = self._values(self.prints, low, bits)
             order = np.argsort(values, kind="stable")
-            ends = np.zeros(1 << 16, bool)
-            ends[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
-            self.blocks.append((shift, mask, values[order], order, ends))
-        # a shingle weighs the more the fewer items have it
-        seen: dict[tuple, int] = {}
-        for w in self.words:
-            for s in {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)}:
-                seen[s] = seen.get(s, 0) + 1
-        self.weight = {s: 1.0 / n for s, n in seen.items()}
-        if self.exact:
-            self.having: dict[tuple, list[int]] = defaultdict(list)  # the items of every shingle
-            for k, w in enumerate(self.words):
-                if len(w) >= window:
-                    for s in {tuple(w[i : i + shingle]) for i in range(len(w) - shingle + 1)}:
-                        self.having[s].append(k)
-            self.code = {x: xxhash.xxh3_64_intdigest(x) | 1 for s in self.having for x in s}
-            self.sums = np.unique(np.array([self._sums(np.array([self.code[x] for x in s], np.uint64))[0] for s in self.having] or [0], np.uint64))
-            self.at: list[list[int]] = [[] for _ in items]
-            for j, k in enumerate(self.owner.tolist()):
-                self.at[k].append(j)
-            self.sets: dict[int, tuple[set, float]] = {}
-
-    def _sums(self, codes: np.ndarray) -> np.ndarray:
-        """A hash of every shingle of consecutive codes."""
-        n = len(codes) - self.shingle + 1
-        total = np.zeros(max(n, 0), np.uint64)
-        for i in range(self.shingle if n > 0 else 0):
-            total = total * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
-        return total
-
-    def shingles_at(self, ws: list[str]) -> np.ndarray:
-        """Where shingles of ws begin that may be in an item (all that are, and chance hits of the hash)."""
-        codes = np.fromiter((self.code.get(w, 0) for w in ws), np.uint64, len(ws))
-        known = np.concatenate([[0], np.cumsum(codes != 0)])
-        pos = np.nonzero(known[self.shingle :] - known[: -self.shingle] == self.shingle)[0] if len(ws) >= self.shingle else np.empty(0, np.int64)
-        if not len(pos):
-            return pos
-        sums = self._sums(codes)[pos]
-        return pos[self.sums[np.minimum(np.searchsorted(self.sums, sums), len(self.sums) - 1)] == sums]
-
-    def _weigh(self, shingles: set) -> float:
-        return fsum(self.weight.get(g, 1.0) for g in shingles)
-
-    def _set(self, j: int) -> tuple[set, float]:
-        if j not in self.sets:
-            w, s, at = self.words[self.owner[j]], self.shingle, self.start[j]
-            y = {tuple(w[i : i + s]) for i in range(at, at + self.window - s + 1)}
-            self.sets[j] = y, self._weigh(y)
-        return self.sets[j]
-
-    def best(self, ws: list[str], hits: list[int], k: int, least: float) -> float:
-        """The best similarity of a window of ws and one of item k, 0.0 if it is under least; hits: where shingles of item k begin in ws."""
-        s, size, best = self.shingle, self.window, 0.0
-        span, last = size - s + 1, len(ws) - size
-        runs = np.split(np.array(hits), np.nonzero(np.diff(hits) > 2 * span)[0] + 1)
-        for run in runs:
-            lo, hi = max(0, int(run[0]) - span + 1), min(last, int(run[-1]))
-            if lo > hi:
-                continue
-            grams = [tuple(ws[i : i + s]) for i in range(lo, hi + span)]
-            weight = np.array([self.weight.get(g, 1.0) for g in grams])
-            ours = np.zeros(len(grams), bool)
-            inside = run[(run >= lo) & (run < hi + span)]
-            ours[inside - lo] = True
-            seen: dict[tuple, int] = {}
-            first = np.zeros(len(grams), bool)  # no window has the shingle earlier: it counts in each
-            for i, g in enumerate(grams):
-                first[i] = i - seen.get(g, -span) >= span
-                seen[g] = i
-            shared, other = (np.concatenate([[0.0], np.cumsum(weight * m)]) for m in (ours, ~ours & first))
-            shared, other = shared[span:] - shared[:-span], other[span:] - other[:-span]
-            # shared is at least the common weight, other at most that of the window's shingles which the item has not
-            for i in np.nonzero((shared > 1e-12) & (shared * (1 - least) >= other * least - 1e-9))[0].tolist():
-                a, x = ws[lo + i : lo + i + size], set(grams[i : i + span])
-                wx = self._weigh(x)
-                for j in self.at[k]:
-                    y, wy = self._set(j)
-                    if min(wx, wy) < max(wx, wy) * max(least, best) - 1e-9:
-                        continue
-                    common = self._weigh(x & y)
-                    if common > 0 and common >= (wx + wy - common) * max(least, best) - 1e-9:
-                        sim = self.similarity(a, j)
-                        if sim >= least and sim > best:
-                            best = sim
-                            if best >= 1.0:
-                                return best
-        return best
+            top = max(0, bits - 16)  # wide blocks are searched in the order, beyond their upper 16 bits
+            begin = np.searchsorted(values[order] >> np.uint64(top), np.arange((1 << min(bits, 16)) + 1, dtype=np.uint64))
+            self.blocks.append((int(low), bits, top, begin, order, values[order]))
+
+    @staticmethod
+    def _values(prints: np.ndarray, low: int, bits: int) -> np.ndarray:
+        return (prints >> np.uint64(low)) & np.uint64((1 << bits) - 1)
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (position, item window) whose fingerprints differ in at most radius bits."""
         found = []
-        for shift, mask, values, order, ends in self.blocks:
-            v = (prints >> shift) & mask
-            pos = np.nonzero(ends[(v & np.uint64(0xFFFF)).astype(np.int64)])[0]
-            lo = np.searchsorted(values, v[pos], "left")
-            n = np.searchsorted(values, v[pos], "right") - lo
-            pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
+        for low, bits, top, begin, order, values in self.blocks:
+            v = self._values(prints, low, bits)
+            first = (v >> np.uint64(top)).astype(np.int64)
+            lo, hi = begin[first], begin[first + 1]
+            pos = np.nonzero(hi > lo)[0]
+            lo, n = lo[pos], (hi - lo)[pos]
+            if top:
+                lo = np.searchsorted(values, v[pos], "left")
+                n = np.searchsorted(values, v[pos], "right") - lo
+                pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
             if len(pos):
                 at = np.repeat(pos, n)
                 k = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
@@ -214,61 +149,48 @@ class Items:
         both = np.unique(np.concatenate(found, axis=1), axis=1)
         return both[0], both[1]
 
-    def similarity(self, a: list[str], k: int) -> float:
-        """Weighted Jaccard similarity of the shingles of a window and of item window k; 1.0 only for equal words."""
-        s, w = self.shingle, self.words[self.owner[k]]
-        b = w[self.start[k] : self.start[k] + self.window]
-        if a == b:
-            return 1.0
-        x = {tuple(a[i : i + s]) for i in range(len(a) - s + 1)}
-        y = {tuple(b[i : i + s]) for i in range(len(b) - s + 1)}
-        union = self._weigh(x | y)
-        return min(self._weigh(x & y) / union if union else 0.0, 1.0 - 1e-9)
-
-
-def _scan(items: Items, read: Callable[[str], list[str]], min_similarity: float):
+    def similarity(self, codes: np.ndarray, shingles: np.ndarray, pos: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of the shingles of the window at each pos and item window k; 1.0 only for equal words.
+
+        A shingle weighs what it does in the item window; one that the item window lacks weighs 1.
+        """
+        each, out = self.window - self.shingle + 1, np.zeros(len(pos))
+        for i in range(0, len(pos), PAIRS):
+            p, at = pos[i : i + PAIRS, None], self.start[k[i : i + PAIRS], None]
+            a, b, w = shingles[p + np.arange(each)], self.shingles[at + np.arange(each)], self.weights[at + np.arange(each)]
+            # each shingle counts once in its window, at its first place
+            earlier = np.tri(each, k=-1, dtype=bool)
+            a_first = ~((a[:, :, None] == a[:, None, :]) & earlier).any(2)
+            b_first = ~((b[:, :, None] == b[:, None, :]) & earlier).any(2)
+            same = a[:, :, None] == b[:, None, :]
+            common = (w * (b_first & same.any(1))).sum(1)
+            union = (w * b_first).sum(1) + (a_first & ~same.any(2)).sum(1)
+            equal = (codes[p + np.arange(self.window)] == self.codes[at + np.arange(self.window)]).all(1)
+            out[i : i + PAIRS] = np.where(equal, 1.0, np.minimum(common / np.maximum(union, 1e-300), 1.0 - 1e-9))
+        return out
+
+
+def _scan(shared, read: Callable[[str], list[str]], min_similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signs = Signs()
-        size = items.window
-
-        def flush_exact(ws: list[str], bounds: list[tuple[int, int, int]], best: dict) -> None:
-            pos = items.shingles_at(ws)
-            firsts = np.array([b[0] for b in bounds])
-            hits: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for p, g in zip(pos.tolist(), (np.searchsorted(firsts, pos, "right") - 1).tolist()):
-                if p + items.shingle <= bounds[g][1]:
-                    for k in items.having.get(tuple(ws[p : p + items.shingle]), ()):
-                        hits[g, k].append(p - bounds[g][0])
-            for (g, k), at in hits.items():
-                first, end, doc = bounds[g]
-                item = int(items.ids[k])
-                old = best.get((doc, item), 0.0)
-                if old < 1.0:
-                    sim = items.best(ws[first:end], at, k, max(min_similarity, old))
-                    if sim > old:
-                        best[doc, item] = sim
-
-        def flush(ws: list[str], bounds: list[tuple[int, int, int]], best: dict) -> None:
-            if items.exact:
-                return flush_exact(ws, bounds, best)
-            prints = fingerprints(signs, ws, size)
-            pos, k = items.candidates(prints)
-            if not len(pos):
-                return
-            firsts = np.array([b[0] for b in bounds])
-            seg = np.searchsorted(firsts, pos, "right") - 1
-            for p, j, g in zip(pos.tolist(), k.tolist(), seg.tolist()):
-                _, end, doc = bounds[g]
-                if p + size <= end:
-                    item = int(items.ids[items.owner[j]])
-                    old = best.get((doc, item), 0.0)
-                    if old < 1.0:
-                        sim = items.similarity(ws[p : p + size], j)
-                        if sim >= min_similarity and sim > old:
-                            best[doc, item] = sim
+        items = Items(*shared.value)
+        signs, size = Signs(), items.window
+
+        def flush(ws: list[str], bounds: list[tuple[int, int, int]]) -> pd.DataFrame:
+            at = signs.index(ws)
+            codes = signs.codes[at]
+            first, end, doc = np.array(bounds, np.int64).T
+            place = distinct_windows(codes, size, np.repeat(doc, end - first))
+            part = np.searchsorted(first, place, "right") - 1
+            whole = place + size <= end[part]  # no window of two texts
+            place, part = place[whole], part[whole]
+            pos, k = items.candidates(fingerprints(signs.rows[at], size, items.shingle)[place])
+            pos, part = place[pos], part[pos]
+            sim = items.similarity(codes, shingle_codes(codes, items.shingle), pos, k)
+            got = pd.DataFrame({"doc_id": doc[part], "item_id": items.owner[k], "similarity": sim})
+            return got[got["similarity"] >= min_similarity].groupby(["doc_id", "item_id"], as_index=False).max()
 
         for batch in batches:
-            best: dict[tuple[int, int], float] = {}
+            out: list[pd.DataFrame] = []
             ws: list[str] = []
             bounds: list[tuple[int, int, int]] = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -281,26 +203,45 @@ def _scan(items: Items, read: Callable[[str], list[str]], min_similarity: float)
                             bounds.append((len(ws), len(ws) + len(piece), doc))
                             ws.extend(piece)
                         if len(ws) >= BLOCK_WORDS:
-                            flush(ws, bounds, best)
+                            out.append(flush(ws, bounds))
                             ws, bounds = [], []
             if ws:
-                flush(ws, bounds, best)
-            yield pd.DataFrame([(d, i, s) for (d, i), s in best.items()], columns=["doc_id", "item_id", "similarity"]).astype({"doc_id": "int64", "item_id": "int64", "similarity": "float64"})
+                out.append(flush(ws, bounds))
+            if out:
+                yield pd.concat(out)
+
+    return run
+
+
+def _segments(window: int, shingle: int):
+    """Items as rows of bounded length: item_id, part, codes of the words, fingerprints and begins of the distinct windows, codes of the shingles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signs = Signs()
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item_id"], batch["text"]):
+                w = words(text)
+                for part, at in enumerate(range(0, max(0, len(w) - window + 1), SEGMENT_WORDS)):
+                    k = signs.index(w[at : at + SEGMENT_WORDS + window - 1])
+                    codes = signs.codes[k]
+                    begins = distinct_windows(codes, window)
+                    arrays = codes, fingerprints(signs.rows[k], window, shingle)[begins], begins, shingle_codes(codes, shingle)
+                    rows.append((item, part, *[a.view(np.int64) for a in arrays]))
+            yield pd.DataFrame(rows, columns=["item_id", "part", "codes", "prints", "begins", "shingles"])
 
     return run
 
 
-def _chunks(items: DataFrame, ident: str, text: str, most_words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    chunk, size = [], 0
-    for row in items.select(ident, text).where(F.col(ident).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
-        w = words(row[1])
-        if chunk and size + len(w) > most_words:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append((row[0], w))
-        size += len(w)
-    if chunk:
-        yield chunk
+def weighed_items(items: DataFrame, item_id: str, text: str, window: int, shingle: int) -> DataFrame:
+    """item_id, part, codes, prints, begins, weights of the segments of all items; a shingle weighs 1 / the number of items that have it."""
+    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).alias("text")).distinct()
+    schema = "item_id bigint, part int, codes array<bigint>, prints array<bigint>, begins array<bigint>, shingles array<bigint>"
+    segments = cut(rows.mapInPandas(_segments(window, shingle), schema), "leak-items")
+    places = segments.select("item_id", "part", F.posexplode("shingles").alias("_at", "_s"))
+    having = places.select("item_id", "_s").distinct().groupBy("_s").agg((1.0 / F.count("*")).alias("_w"))
+    weights = places.join(having, "_s").groupBy("item_id", "part").agg(F.sort_array(F.collect_list(F.struct("_at", "_w"))).alias("_ws"))
+    return cut(segments.join(weights, ["item_id", "part"]).select("item_id", "part", "codes", "prints", "begins", F.col("_ws._w").alias("weights")), "leak-weights")
 
 
 def find_leaks(
@@ -309,8 +250,8 @@ def find_leaks(
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     text: str = "text",
-    window: int = 13,
-    radius: int | None = None,
+    window: int = 25,
+    radius: int = 5,
     shingle: int = 5,
     min_similarity: float = 0.8,
     read: Callable[[str | None], list[str]] = readable,
@@ -318,22 +259,38 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, similarity: the documents with a window of words that is like a window of an item.
 
-    A window of a document and one of an item match if the weighted similarity of their shingles is at
-    least min_similarity (1.0 asks for equal words; 0.0 is no similarity) and, if a radius is given,
-    their SimHashes differ in at most so many bits. similarity is the best of the document for the item. read turns a document's text into
-    the texts to search (a passage is not sought across two of them). Null texts and ids, and items
-    shorter than a window, match nothing; empty tables give no rows; repeated rows count once.
-    Items are taken in chunks of at most chunk_words words (an item longer than that alone), each
-    with one pass over docs; only a chunk is held in a task.
+    A window of a document and one of an item match if their SimHashes differ in at most radius bits
+    and the weighted similarity of their shingles is at least min_similarity (0.0 is no similarity);
+    windows of equal words always match, with 1.0, and no others have 1.0. similarity is the best of
+    the document for the item. read turns a document's text into the texts to search (a passage is
+    not sought across two of them). Null texts and ids, and items shorter than a window, match
+    nothing; empty tables give no rows; repeated rows count once. A shingle weighs 1 / the number of
+    items that have it, whatever else is in its chunk. Items are taken in chunks of about
+    chunk_words words, each with one pass over docs whose matches are written before the next begins,
+    so that the driver and a task hold one chunk at a time.
     """
+    if not 0 < shingle <= window:
+        raise ValueError("a window has at least one shingle")
+    spark = docs.sparkSession
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType())])
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    if radius is None and (min_similarity >= 1.0 or window < shingle):
-        radius = 0  # only equal words match, and they have equal fingerprints
-    out = None
-    for chunk in _chunks(items, item_id, text, chunk_words):
-        found = rows.mapInPandas(_scan(Items(chunk, window, radius, shingle), read, min_similarity), schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], schema)
+    ready = weighed_items(items, item_id, text, window, shingle)
+    total = ready.agg(F.sum(F.size("codes"))).first()[0] or 0
+    chunks, found = -(-total // chunk_words), []
+    for c in range(chunks):
+        mine = ready.where(F.pmod(F.xxhash64("item_id", "part"), F.lit(chunks)) == c).toPandas()  # about chunk_words words
+        columns = [mine[c].map(lambda x, t=t: np.array(x, t)) for c, t in (("prints", np.int64), ("begins", np.int64), ("codes", np.int64), ("weights", float))]
+        packed = [(i, p.view(np.uint64), b, x.view(np.uint64), np.pad(w, (0, len(x) - len(w)))) for i, p, b, x, w in zip(mine["item_id"], *columns)]
+        if not packed:
+            continue
+        shared = spark.sparkContext.broadcast((packed, window, radius, shingle))
+        one = rows.mapInPandas(_scan(shared, read, min_similarity), schema)
+        found.append(cut(one, "leaks") if chunks > 1 else one)
+        if chunks > 1:
+            shared.destroy()
+    if not found:
+        return spark.createDataFrame([], schema)
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))

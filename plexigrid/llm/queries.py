@@ -12,8 +12,8 @@ from plexigrid.llm.mixing import Mix, mix_sources
 from plexigrid.llm.splitting import split_boxes
 from plexigrid.llm.topn import top_n
 from plexigrid.llm.truncated import find_truncated, truncation_rates
-from plexigrid.operators.skew import skew_join
-from plexigrid.session import cut, table
+from plexigrid.operators.skew import hot_keys, skew_join
+from plexigrid.session import table
 
 ACCEPTED = 0.5
 
@@ -23,12 +23,11 @@ def accepted_pairs(edges: DataFrame, nodes: DataFrame, threshold: float = ACCEPT
 
     Null and NaN scores, null ends, self pairs and ends that are no node link nothing.
     """
-    good = edges.where((F.col("merge_score") <= threshold) & (F.col("u") != F.col("v")))
-    pairs = cut(good.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    ids = nodes.select("id").where(F.col("id").isNotNull()).distinct()
+    pairs = edges.where((F.col("merge_score") <= threshold) & (F.col("u") != F.col("v"))).select("u", "v")
+    ids, n = nodes.select("id").where(F.col("id").isNotNull()).distinct(), edges.count()
     for end in ("u", "v"):
-        pairs = skew_join(pairs, ids.withColumnRenamed("id", end), end, "left_semi")
-    return pairs.select("u", "v")
+        pairs = skew_join(pairs, ids.withColumnRenamed("id", end), end, "left_semi", hot_keys(pairs, end, most=n))
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +80,9 @@ def p4_best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a window of 13 words like one of an item (radius 3, similarity 0.8) of which, by the exact check, all words are equal."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
-    return find_leaks(docs, items, window=13, radius=1, min_similarity=1.0).select("doc_id", "item_id")
+    return find_leaks(docs, items, window=13, radius=3).where("similarity = 1.0").select("doc_id", "item_id")
 
 
 def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with a window of 25 words that is much like one of an item (five-word shingles, 0.8), not only equal to it."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
-    return find_leaks(docs, items, window=25).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+    return find_leaks(docs, items, window=25, radius=5).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> Mix:
