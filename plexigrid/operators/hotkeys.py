@@ -40,7 +40,7 @@ def select_mode(df: DataFrame, key: str, value: str, unit: str) -> DataFrame:
         return df.sparkSession.createDataFrame([], out)
     shift = 0
     while (high >> shift) - (low >> shift) >= 1 << BITS:
-        shift += BITS
+        shift += 1
     found, open_bins = None, None
     while True:
         alive = rows if open_bins is None else skew_join(rows.withColumn("_b", F.shiftright("_v", before)), open_bins, ["_k", "_b"], "left_semi").drop("_b")
