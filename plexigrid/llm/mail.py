@@ -50,33 +50,34 @@ def _params(value: str) -> dict[str, str]:
     return {m[1].lower(): m[3] if m[3] is not None else m[2] for m in _PARAM.finditer(value)}
 
 
-def leaves(text: str, depth: int = 0) -> list[Leaf]:
-    """The parts of a message that are no multipart, in order; text has plain line ends."""
-    head, body, _ = split_head(text)
-    ctype = head.get("content-type", "text/plain")
-    kind = ctype.partition(";")[0].strip().lower() or "text/plain"
-    p = _params(ctype) if ";" in ctype else {}
-    encoding = head.get("content-transfer-encoding", "").strip().lower()
-    if depth < 16 and kind.startswith("multipart/") and p.get("boundary"):
-        mark = "--" + p["boundary"]
-        first, *rest = ("\n" + body).split("\n" + mark)
-        pieces = [first]
-        for x in rest:
-            if x.partition("\n")[0].strip() in ("", "--"):
-                pieces.append(x)
-            else:  # a longer boundary that begins like this one
-                pieces[-1] += "\n" + mark + x
-        closed = any(x.startswith("--") for x in pieces[1:])
-        out = []
-        for x in pieces[1:]:
-            if x.startswith("--"):
-                break
-            for leaf in leaves(x.partition("\n")[2], depth + 1):
-                out.append(leaf._replace(closed=leaf.closed and closed))
-        return out or [Leaf("multipart/empty", "", "", "", closed)]
-    if depth < 16 and kind == "message/rfc822":
-        return leaves(body, depth + 1)
-    return [Leaf(kind, encoding, p.get("charset", "utf-8"), body, True)]
+def leaves(text: str) -> list[Leaf]:
+    """The parts of a message that are no multipart, in order, however deep they lie; text has plain line ends."""
+    out, todo = [], [(text, True)]  # what is still to be read, the next one last, and whether all around it is closed
+    while todo:
+        part, closed = todo.pop()
+        head, body, _ = split_head(part)
+        ctype = head.get("content-type", "text/plain")
+        kind = ctype.partition(";")[0].strip().lower() or "text/plain"
+        p = _params(ctype) if ";" in ctype else {}
+        if kind.startswith("multipart/") and p.get("boundary"):
+            mark = "--" + p["boundary"]
+            pieces = [""]  # what stands before the first boundary is no part
+            for x in ("\n" + body).split("\n" + mark)[1:]:
+                if x.partition("\n")[0].strip() in ("", "--"):
+                    pieces.append(x)
+                else:  # a longer boundary that begins like this one
+                    pieces[-1] += "\n" + mark + x
+            end = next((i for i, x in enumerate(pieces) if x.startswith("--")), None)
+            inner = [(x.partition("\n")[2], closed and end is not None) for x in pieces[1:end]]
+            if inner:
+                todo.extend(reversed(inner))
+            else:
+                out.append(Leaf("multipart/empty", "", "", "", closed and end is not None))
+        elif kind == "message/rfc822":
+            todo.append((body, closed))
+        else:
+            out.append(Leaf(kind, head.get("content-transfer-encoding", "").strip().lower(), p.get("charset", "utf-8"), body, closed))
+    return out
 
 
 def decode(leaf: Leaf) -> str:

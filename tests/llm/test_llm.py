@@ -327,8 +327,10 @@ WHOLE = mail(BODY + " again.\n\nKind regards\nAnn\n\n-- \nAnn Bee\nFoo GmbH | Te
         (mail(BODY + "..."), "ellipsis"),
         (mail("Hello,\n\n+1"), "line"),
         (mail(BODY + " �"), "character"),
-        (mail(BODY + ".\n\nTo leave write to x-leave@list.exam"), "word"),
-        (mail(BODY + ".\n\nTo leave write to x-leave@list.example"), None),
+        (mail(BODY + ".\n\nTo leave write to x-leave@list"), "word"),
+        (mail(BODY + ".\n\nTo leave write to x-leave@list.exam"), "host"),
+        (mail(BODY + ".\n\nTo leave write to x-leave@list.example"), "host"),
+        (mail(BODY + ".\n\nSee https://list.example/a"), None),
         (mail("<html><body><p>Hi", "text/html"), "markup"),
         (mail("<html><body><p>Hi</p></body></html>", "text/html"), None),
         (mail("<p>Hi &eac", "text/html"), "markup"),
