@@ -70,10 +70,9 @@ def compact(
     unique = parse(stream).select(*key, payload).dropDuplicates(key)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        n_bytes = batch.agg(F.sum(F.octet_length(payload))).first()[0] or 0
-        batch.repartition(max(1, -(-n_bytes // file_bytes))).write.mode("overwrite").parquet(f"{target}/batch={number}")
-        batch.unpersist()
+        # the sizes measured in the shuffle decide how many files there are; nothing is kept or counted before
+        batch.sparkSession.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", file_bytes)
+        batch.hint("rebalance").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
