@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text
     or null sources are left out. A listed source without documents has 0 tokens.
 
     shares: source, documents, own_tokens, budget, used_tokens, target_share, actual_share, reached
-    (false where max_repeats * own_tokens < budget). chosen: ident, source, tokens, copies (1 or more).
+    (false where all documents at max_repeats do not fill the budget, or there are none). chosen: ident, source, tokens, copies (1 or more).
     Repeated rows of a document count each; a null target_share is 0, a null max_repeats is 1.
     """
     listed = targets.select(F.col("source").alias("_listed"), _name(F.col("source")).alias("_s"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).alias("max_repeats")).where(F.col("_s").isNotNull()).dropDuplicates(["_s"])
@@ -81,9 +81,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text
     plan = listed.join(own, "_s", "left").fillna(0, ["own_tokens", "documents"])
     everything = F.lit(total) if total is not None else F.lit(own.agg(F.sum("own_tokens")).first()[0] or 0)
     plan = plan.withColumn("_exact", F.col("target_share") * everything).withColumn("budget", F.floor("_exact").cast("bigint"))
-    reached = F.col("max_repeats") * F.col("own_tokens") >= F.col("_exact")
     whole = F.when(F.col("own_tokens") > 0, F.least(F.floor(F.col("budget") / F.col("own_tokens")).cast("bigint"), F.col("max_repeats"))).otherwise(0)
-    plan = plan.withColumn("reached", reached & (F.col("documents") > 0)).withColumn("_whole", whole)
+    plan = plan.withColumn("_whole", whole)
     plan = plan.withColumn("_rest", F.when(F.col("_whole") < F.col("max_repeats"), F.col("budget") - F.col("_whole") * F.col("own_tokens")).otherwise(0))
     plan = cut(plan, "mix-plan")
     # thresholds: the greatest hash below which a source's tokens fit into the rest
@@ -108,5 +107,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, ident: str = "doc_id", text
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"))
     shares = plan.withColumnRenamed("_listed", "source").join(used, "source", "left").fillna(0, ["used_tokens"])
     all_used = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))  # one row per listed source
+    # told by the mix itself: every document is in it as often as allowed, and still there are too few tokens
+    short = (F.col("used_tokens") == F.col("max_repeats") * F.col("own_tokens")) & (F.col("used_tokens") < F.col("_exact"))
+    shares = shares.withColumn("reached", ~short & (F.col("documents") > 0))
     shares = shares.withColumn("actual_share", F.when(all_used > 0, F.col("used_tokens") / all_used).otherwise(0.0))
     return Mix(shares.select("source", "documents", "own_tokens", "budget", "used_tokens", "target_share", "actual_share", "reached"), chosen)

@@ -354,6 +354,7 @@ def test_copies_are_found_across_partitions(spark):
     rnd = random.Random(8)
     base = ["".join(rnd.choice("abcdefgh \n") for _ in range(400)) + "z" for _ in range(6)]
     data = [(i, b) for i, b in enumerate(base)] + [(10 + i, b[: 150 + 40 * i] + "  ...") for i, b in enumerate(base)] + [(30, base[0]), (31, base[1][:63]), (32, "x"), (33, None)]
+    data += [(40, "base"), (41, "base of another message")]
     df = spark.createDataFrame([(i, t if t is None else "H: v\n\n" + t) for i, t in data], "doc_id bigint, text string").withColumn("_k", F.lit("clash"))
     for parts in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -378,3 +379,43 @@ def test_copies_of_a_cut_text_are_no_evidence_of_a_natural_ending(spark):
     for extra in (0, 300):  # short lines are judged by the same share of few and of many texts
         docs = spark.createDataFrame([*data, *[(100 + i, mail(f"All is well on day {i}.")) for i in range(extra)]], "doc_id bigint, text string").withColumn("source", F.lit("s"))
         assert {r.doc_id: r.reason for r in find_truncated(docs).collect()} == dict.fromkeys(range(1, 6), "sentence")
+
+
+def test_short_bodies_are_compared_within_their_message(spark):
+    head = "From: a@b.example\nMessage-ID: <{}@x>\nSubject: s\n\n"
+    data = [(1, head.format(1) + "See you."), (2, head.format(2) + "See you. Bring the keys."), (3, head.format(1) + "See you. At noon."), (4, head.format(3).replace("ID", "Id") + "Hi"), (5, head.format(3) + "Hi there")]
+    data += [(6, head.format(4) + "See you."), (7, head.format(4) + "See you.\n "), (8, head.format(5)), (9, head.format(5) + "x"), (10, head.format(1) + "See you all.")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    for parts in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        assert rows(cut_copies(docs)) == [(1,), (4,)]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_whole_hosts_are_those_of_senders(spark):
+    data = [(i, mail(f"Note {i}. {BODY} again.\n\nTo leave write to x-leave@list.{end}")) for i, end in enumerate(["example", "exam", "ru", "EXAMPLE"])]
+    docs = spark.createDataFrame([*data, (9, "From: Ivan <i@post.ru>\n\nYes.")], "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    assert {r.doc_id: r.reason for r in find_truncated(docs).collect()} == {1: "word"}
+
+
+def test_piles_are_seen_across_ranges_of_sizes(spark):
+    limit = 4096
+    cut = [mail(f"{i} " + "word and " * 900)[: limit - 3] + "..." for i in range(6)]
+    near = [mail("y" * (limit + d - len(mail(""))) + ".") for d in (-2, 3, 9, 20)]
+    docs = spark.createDataFrame(list(enumerate([*cut, *near])), "doc_id bigint, text string").withColumn("source", F.lit("s"))
+    assert {r.doc_id for r in find_truncated(docs).where("reason = 'ellipsis'").collect()} == set(range(6))
+
+
+def test_parts_at_any_depth():
+    text = "Content-Type: text/plain\n\nthe innermost words"
+    for k in range(60):
+        text = f'Content-Type: multipart/mixed; boundary="b{k}="\n\n--b{k}=\n{text}\n--b{k}=--\n'
+    assert [x.raw.strip() for x in leaves(text)] == ["the innermost words"] and leaves(text)[0].closed
+    assert [x.strip() for x in readable(text)] == ["the innermost words"]
+    assert not leaves(text.replace("--b30=--", ""))[0].closed
+
+
+def test_top_n_of_a_group_of_repeated_rows(spark):
+    df = spark.createDataFrame([("g", 1.0, 1)] * 500 + [("g", 1.0, 2), ("g", 0.5, 3), (None, 1.0, 4)], "g string, m double, i bigint")
+    got = top_n(df, ["g"], [F.desc("m")], "i", 2, salts=3)
+    assert rows(got.where("g is not null").select("place", "i")) == [(1, 1), (2, 2)] and got.where("g is null").count() == 1
