@@ -172,6 +172,34 @@ def two_phase_components(edges: DataFrame) -> DataFrame:
     return components(local.select(F.col("key").alias("u"), F.col("value").alias("v")))
 
 
+def block_tables(edges: DataFrame, nodes: DataFrame, by: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """The tables of all blocks and the edges between them, from edges (bz, by, bx, u, v) and nodes (bz, by, bx, id).
+
+    A block's table (by, bz, by, bx, key, value) has the components of the edges whose ends are both
+    among the nodes of the edge's block; the other edges cross its boundary. All blocks, and all
+    graphs of by, are solved in the same rounds; no block is gathered.
+    """
+    by, block = list(by), ["bz", "by", "bx"]
+    crossing = boundary_edges(edges, nodes).select(*by, *block, "u", "v").distinct()
+    inside = edges.select(*by, *block, "u", "v").distinct().join(crossing, [*by, *block, "u", "v"], "left_anti")
+    return components(inside, [*by, *block]), crossing
+
+
+def joined_tables(local: DataFrame, crossing: DataFrame, by: Iterable[str] = (), span: int | None = None) -> DataFrame:
+    """by, key, value: one table of all blocks, from those of block_tables().
+
+    Links the values of the blocks by the edges that cross their boundaries; an id that several
+    blocks know links theirs. With span, cubes of span blocks a side are joined first, then these:
+    the result is the same, the last step has fewer ids.
+    """
+    by, block = list(by), ["bz", "by", "bx"]
+    links = local.select(*by, *block, F.col("value").alias("u"), F.col("key").alias("v")).unionByName(crossing.select(*by, *block, "u", "v"))
+    if span is not None:
+        cube = [F.floor(F.col(c) / span).alias(c) for c in block]
+        links = components(links.select(*by, *cube, "u", "v"), [*by, *block]).select(*by, F.col("value").alias("u"), F.col("key").alias("v"))
+    return components(links.select(*by, "u", "v"), by)
+
+
 def boundary_scores(affinity: DataFrame) -> DataFrame:
     """1 - mean affinity of every contact (u, v of affinity rows), with the number of voxels that touch."""
     return affinity.groupBy("u", "v").agg((1 - F.avg("affinity")).alias("merge_score"), F.count("*").alias("contacts"))

@@ -14,7 +14,7 @@ from plexigrid.operators import scores as S
 from plexigrid.operators.geometry import MODES, face_neighbours, halo_blocks, voxel_of
 from plexigrid.operators.skew import skew_join
 from plexigrid.session import cut, fresh_path, table
-from plexigrid.sources.volumes import read_lut, read_luts, stored_luts, write_lut
+from plexigrid.sources.volumes import read_graph, read_lut, read_luts, stored_luts, write_graph, write_lut
 
 T = 0.2
 #: The thresholds of a sweep (fixed values: 0.05 to 0.95 by 0.05).
@@ -93,6 +93,39 @@ def cc_two_phase(s, d):
     return G.two_phase_components(G.under(clean_edges(s, d), T))
 
 
+def _leveled(s, d) -> DataFrame:
+    """The edges that every threshold of a sweep takes."""
+    e = clean_edges(s, d).where("u <> v")
+    return e.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in SWEEP]))).where("merge_score <= threshold").select("threshold", *BLOCK, "u", "v")
+
+
+def block_luts(s, d):
+    """The tables of every block at every threshold of a sweep."""
+    return G.block_tables(_leveled(s, d), nodes(s, d), ["threshold"])[0]
+
+
+def block_boundaries(s, d):
+    """How many edges cross the boundary of each block at every threshold."""
+    return G.block_tables(_leveled(s, d), nodes(s, d), ["threshold"])[1].groupBy("threshold", *BLOCK).agg(F.count("*").alias("edges"))
+
+
+def joined_block_luts(s, d):
+    """One table of all blocks, joined in cubes of 2 blocks a side first."""
+    local, crossing = G.block_tables(G.under(clean_edges(s, d), T), nodes(s, d))
+    return G.joined_tables(cut(local, "local"), cut(crossing, "crossing"), span=2)
+
+
+def graph_store(s, d):
+    """The region graph stored by layers of blocks, and the edges of some blocks read back with the positions of their ends."""
+    path = fresh_path(s, "graph")
+    write_graph(nodes(s, d).distinct(), clean_edges(s, d), path)
+    n, e = read_graph(s, path, (1, 2, 0), (4, 6, 5))
+    least = n.groupBy("id").agg(F.min("center_z").alias("z"))
+    for end in ("u", "v"):
+        e = skew_join(e, least.select(F.col("id").alias(end), F.col("z").alias(f"z_{end}")), end)
+    return e.select("bz", "by", "bx", "u", "v", "merge_score", "z_u", "z_v")
+
+
 def _lut(s, d) -> DataFrame:
     return cut(G.components(G.under(clean_edges(s, d), 0.1)), "lut")
 
@@ -283,7 +316,7 @@ def error_listing(s, d):
     return skew_join(listed, per, ["kind", "skeleton_id"])
 
 
-_NAMES = """eval_store cc_distinct degenerate_blocks lut_store_scan lut_missing error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
+_NAMES = """block_luts block_boundaries joined_block_luts graph_store eval_store cc_distinct degenerate_blocks lut_store_scan lut_missing error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep
 cc_two_phase lut_self_ref_filter lut_remap lut_chain lut_store edge_endpoint_remap face_neighbour_blocks face_neighbour_remap halo_join
 axis_swap world_to_voxel_floor point_label_lookup skeleton_components skeleton_lengths erl split_edges split_histogram merge_counts
 merge_sites all_merge_sites fresh_labels rasterise rand_voi_skeletons rand_voi_lang_source rand_voi_flag_status eval_report"""
@@ -347,7 +380,22 @@ def _in_roi(roi) -> str:
 
 
 
+def _block_cc(name: str, t: float) -> str:
+    """Components of each block's inner edges at or below t: name(bz, by, bx, key, value)."""
+    same = " AND ".join(f"{{a}}.{c} = {{b}}.{c}" for c in BLOCK)
+    return f""", i{name} AS (SELECT DISTINCT bz, by, bx, u, v FROM ce WHERE s <= {t} AND u <> v AND EXISTS (SELECT 1 FROM rag_nodes n WHERE n.id = u AND {same.format(a="n", b="ce")}) AND EXISTS (SELECT 1 FROM rag_nodes n WHERE n.id = v AND {same.format(a="n", b="ce")})),
+e{name} AS (SELECT * FROM i{name} UNION SELECT bz, by, bx, v, u FROM i{name}),
+{name}(bz, by, bx, key, value) USING KEY (bz, by, bx, key) AS (SELECT DISTINCT bz, by, bx, u, u FROM e{name} UNION
+  SELECT e.bz, e.by, e.bx, e.v, min(c.value) FROM {name} c JOIN e{name} e ON e.u = c.key AND {same.format(a="e", b="c")} JOIN recurring.{name} AS k ON k.key = e.v AND {same.format(a="k", b="e")} WHERE c.value < k.value GROUP BY e.bz, e.by, e.bx, e.v)
+"""
+
+
 SQL = {
+    "block_luts": _E + "".join(_block_cc(f"b{k}", t) for k, t in enumerate(SWEEP)) + " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, * FROM b{k}" for k, t in enumerate(SWEEP)),
+    "block_boundaries": _E + ", lv AS (SELECT unnest([" + ", ".join(map(str, SWEEP)) + "])::DOUBLE AS threshold), x AS (SELECT DISTINCT threshold, bz, by, bx, u, v FROM ce, lv WHERE s <= threshold AND u <> v AND NOT (EXISTS (SELECT 1 FROM rag_nodes n WHERE n.id = u AND n.bz = ce.bz AND n.by = ce.by AND n.bx = ce.bx) AND EXISTS (SELECT 1 FROM rag_nodes n WHERE n.id = v AND n.bz = ce.bz AND n.by = ce.by AND n.bx = ce.bx))) SELECT threshold, bz, by, bx, count(*) AS edges FROM x GROUP BY ALL",
+    "joined_block_luts": _E + _cc("c", T) + "SELECT * FROM c",
+    "graph_store": _E + """, p AS (SELECT id, min(center_z) AS z FROM rag_nodes WHERE center_z IS NOT NULL AND center_y IS NOT NULL AND center_x IS NOT NULL AND bz BETWEEN 1 AND 3 AND by BETWEEN 2 AND 5 AND bx BETWEEN 0 AND 4 GROUP BY id)
+SELECT bz, by, bx, u, v, s AS merge_score, a.z AS z_u, b.z AS z_v FROM ce JOIN p a ON a.id = u JOIN p b ON b.id = v WHERE bz BETWEEN 1 AND 3 AND by BETWEEN 2 AND 5 AND bx BETWEEN 0 AND 4""",
     "edge_threshold": f"SELECT bz, by, bx, count(*) AS edges FROM rag_edges WHERE coalesce(merge_score, 1.0) <= {T} AND NOT isnan(coalesce(merge_score, 1.0)) GROUP BY ALL",
     "boundary_edges": _E + f"SELECT DISTINCT bz, by, bx, u, v FROM ce WHERE s <= {T} AND NOT isnan(s) AND NOT (EXISTS (SELECT 1 FROM rag_nodes n WHERE n.id = u AND n.bz = ce.bz AND n.by = ce.by AND n.bx = ce.bx) AND EXISTS (SELECT 1 FROM rag_nodes n WHERE n.id = v AND n.bz = ce.bz AND n.by = ce.by AND n.bx = ce.bx))",
     "distinct_edges": _E + "SELECT u, v, min(s) AS merge_score, count(*) AS scores FROM ce GROUP BY u, v",

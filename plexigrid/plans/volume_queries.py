@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from plexigrid.operators import graph as G
 from plexigrid.operators import metrics as M
+from plexigrid.operators import scores as S
 from plexigrid.operators import volume as V
 from plexigrid.operators.geometry import Roi
 from plexigrid.operators.skew import skew_join
 from plexigrid.operators.training import skip_empty
+from plexigrid.plans.graph_queries import _REPORT as REPORT_SQL
+from plexigrid.plans.graph_queries import _RVS as VOI_SQL
+from plexigrid.plans.graph_queries import _S as NODES_SQL
 from plexigrid.session import cut, fresh_path, table
 from plexigrid.sources.volumes import convert_volume, open_volume, prepare_volume, scales_of, volume_info, write_volume
 
@@ -320,6 +324,21 @@ def chain_segment_sizes(s, d):
     return chain_segmentation(s, d).where("label <> 0").groupBy("threshold", "label").agg(F.count("*").alias("voxels"))
 
 
+def chain_scores(s, d):
+    """The segmentation of every threshold scored against the skeletons (labels at their nodes, voxels of 1320 nm), appended to a score store and read back."""
+    seg, store, names = cut(chain_segmentation(s, d), "segmentations"), fresh_path(s, "scores"), []
+    t = table(s, d, "skeleton_nodes").where("node is not null").select("node", "skeleton_id", F.col("pz").alias("z"), F.col("py").alias("y"), F.col("px").alias("x"))
+    n = cut(t.groupBy("node").agg(F.min(F.struct("skeleton_id", "z", "y", "x")).alias("a")).select("node", "a.*"), "skeletons")
+    for k, at in enumerate(CHAIN):
+        labelled = M.label_at(n, seg.where(F.col("threshold") == at), 1320).withColumnRenamed("label", "seg_label")
+        one = cut(M.evaluate(labelled), "scores-of")
+        names = one.columns
+        S.append_scores(store, "chain", k, at, one)
+    back = S.select_scores(s.read.parquet(store), "chain", None, CHAIN).select("threshold", F.from_json("scores", ", ".join(f"{c} double" for c in names)).alias("j"))
+    flat = back.select("threshold", *[F.round(f"j.{c}", 6).alias(c) for c in names])
+    return flat.unpivot(["threshold"], names, "metric", "value").where("value is not null")
+
+
 def grid_hierarchical(s, d):
     """Merges in hierarchical order inside blocks of the grid, by the median of the affinities of each contact."""
     made = _chain(s, d)["fragments"]
@@ -347,7 +366,7 @@ def stored_scales(s, d):
 
 
 _NAMES = """simple_augment grid_affinities grid_grow_boundary grid_dilate_sections grid_contacts grid_watershed grid_seeded_fragments grid_point_labels
-chain_nodes chain_edges chain_segmentation chain_segment_sizes grid_hierarchical stored_conversion stored_scales scale_pyramid sample_point_check intensity_noise voxel_explode voxel_pack voxel_slice voxel_project voxel_downsample2 voxel_downsample3 voxel_transpose voxel_meanpool
+chain_nodes chain_edges chain_segmentation chain_segment_sizes chain_scores grid_hierarchical stored_conversion stored_scales scale_pyramid sample_point_check intensity_noise voxel_explode voxel_pack voxel_slice voxel_project voxel_downsample2 voxel_downsample3 voxel_transpose voxel_meanpool
 intensity_scale normalize_uint8 section_delete section_replace pad_grid constant_mask unlabelled_mask keep_labels distinct_labels
 affinity_offsets grow_boundary dilate_sections label_balance stack_channels block_sums skip_empty_blocks rag_contacts rag_mean_score
 rag_hist_quantiles rag_hist_initmax fragment_centers cc_voxels agglomerate_single_linkage watershed_fragments
@@ -397,6 +416,15 @@ s{k} AS (SELECT {t}::DOUBLE AS threshold, z, y, x, coalesce({k}.value, fragment)
 _CHAIN = _GV + _EDGES + "".join(_segments(t) for t in CHAIN) + ", seg AS (" + " UNION ALL ".join(f"SELECT * FROM sk{round(t * 1000)}" for t in CHAIN) + ") "
 
 
+def _scored(t: float) -> str:
+    """The scores of the segmentation at t, with nodes labelled by it in place of those of the table."""
+    nodes = f"""nd AS (SELECT node, min({{'s': skeleton_id, 'z': pz, 'y': py, 'x': px}}) AS a FROM skeleton_nodes WHERE node IS NOT NULL GROUP BY node),
+n AS (SELECT node, a.s AS skeleton_id, q.label AS seg_label, a.z AS z, a.y AS y, a.x AS x FROM nd JOIN sk{round(t * 1000)} q ON floor(a.z / 1320) = q.z AND floor(a.y / 1320) = q.y AND floor(a.x / 1320) = q.x),
+p AS ("""
+    scores = nodes + NODES_SQL.partition("\np AS (")[2].replace("q AS (SELECT skeleton_id", "pq AS (SELECT skeleton_id").replace("FROM q WHERE", "FROM pq WHERE")
+    return f"{_GV}{_EDGES}{_segments(t)}, {scores}{VOI_SQL}{REPORT_SQL} SELECT metric, round(value, 6) AS value FROM (UNPIVOT x ON COLUMNS(*) INTO NAME metric VALUE value)"
+
+
 def _dice(seed: str) -> str:
     """As _chance()."""
     for _ in range(3):
@@ -453,6 +481,7 @@ SELECT a.z, a.y, a.x, CASE WHEN a.label = 0 THEN max(b.label) ELSE a.label END A
     "chain_edges": _GV + _EDGES + "SELECT u, v, round(s, 6) AS merge_score, contacts FROM ge",
     "chain_segmentation": _CHAIN + "SELECT * FROM seg",
     "chain_segment_sizes": _CHAIN + "SELECT threshold, label, count(*) AS voxels FROM seg WHERE label <> 0 GROUP BY threshold, label",
+    "chain_scores": " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, * FROM ({_scored(t)})" for t in CHAIN),
     "stored_conversion": _GV + "SELECT y // 2 AS y, z // 2 AS x, CASE WHEN label IN (1, 2) THEN label ELSE 0 END AS value, y // 2 * 66 AS nm_y FROM g WHERE x = 6 AND y % 2 = 0 AND z % 2 = 0",
     "stored_scales": _GV + "SELECT 'labels/s' || k AS name, count(*) AS voxels, CAST(sum(label) AS BIGINT) AS total FROM g, (VALUES (0), (1), (2)) AS t(k) WHERE z % (1 << k) = 0 AND y % (1 << k) = 0 AND x % (1 << k) = 0 GROUP BY k",
     "rag_contacts": _V + "SELECT block, u, v, count(*) AS contacts FROM con GROUP BY ALL",

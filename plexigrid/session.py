@@ -52,7 +52,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -62,11 +62,11 @@ def discard(df: DataFrame) -> None:
     made = {p.rpartition("/")[2]: p for p in _MADE}
     for folder in {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}:
         if folder in made:
-            _delete(df.sparkSession, made[folder])
+            delete_folder(df.sparkSession, made[folder])
             _MADE.remove(made[folder])
 
 
 def discard_all(spark: SparkSession) -> None:
     """Delete all tables that cut() has made in this process; only once all results have been used or written."""
     while _MADE:
-        _delete(spark, _MADE.pop())
+        delete_folder(spark, _MADE.pop())

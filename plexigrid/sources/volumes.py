@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plexigrid.operators import volume as V
 from plexigrid.operators.geometry import Roi
+from plexigrid.session import delete_folder
 
 #: Formats by the ending of a container's name.
 FORMATS = {".parquet": "parquet", ".orc": "orc", ".csv": "csv", ".json": "json"}
@@ -59,12 +60,14 @@ def prepare_volume(spark: SparkSession, container: str, dataset: str, roi: Roi,
     """Record the region (nm), voxel size (nm) and value type of a dataset beside it, before blocks are written.
 
     The region must lie on the voxel grid. A dataset that is already recorded must agree, unless
-    delete is set: then its record is replaced (its values are, block by block, as they are written).
+    delete is set: then its record is replaced and its values are dropped.
     """
     if any(b % r or n % r for b, n, r in zip(roi.begin, roi.shape, resolution)):
         raise ValueError(f"{roi} does not lie on the grid of {resolution}")
     new = (list(roi.begin), list(roi.shape), list(resolution), dtype)
-    if table_exists(spark, f"{container}/{dataset}.info") and not delete:
+    if delete:
+        delete_folder(spark, f"{container}/{dataset}")
+    elif table_exists(spark, f"{container}/{dataset}.info"):
         if tuple(volume_info(spark, container, dataset)) != new:
             raise ValueError(f"{dataset} is there with another region, voxel size or type")
         return
@@ -160,3 +163,20 @@ def _listing(spark: SparkSession, pattern: str) -> list[str]:
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a stored table or volume is there (a probe of its folder; nothing is read)."""
     return bool(_listing(spark, path))
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, by: str = "bz") -> None:
+    """Store a region graph (both tables have bz, by, bx): a folder a layer of blocks, sorted by block inside, so that a region reads few files.
+
+    Only the layers present are replaced.
+    """
+    for name, df in (("nodes", nodes), ("edges", edges)):
+        one = df.repartition(*[c for c in ("bz", "by", "bx")]).sortWithinPartitions("bz", "by", "bx")
+        one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{path}/{name}")
+
+
+def read_graph(spark: SparkSession, path: str, begin: tuple[int, int, int], end: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """Nodes with a position, and edges, of the blocks from begin to end (exclusive): layers are pruned, the rest is pushed down."""
+    blocks = Roi(begin, tuple(e - b for b, e in zip(begin, end))).where("bz", "by", "bx")
+    nodes, edges = (spark.read.parquet(f"{path}/{name}").where(blocks) for name in ("nodes", "edges"))
+    return nodes.where("center_z is not null and center_y is not null and center_x is not null"), edges

@@ -273,3 +273,30 @@ def test_regions_by_rule(spark, rule, want):
     got = spark.range(1).select(*[c.alias(k) for k, c in geo.compatible_rois(source, F.lit(20), F.lit(10), F.lit(5), **rule).items()]).first()
     # 9 - 5 = 4 and 39 + 5 = 44 grow to 0 and 50; 20 - 5 to 10, 40 + 5 to 50
     assert tuple(got[k] for k in ("sz0", "sz1", "dx0", "dx1", "ok")) == want
+
+
+@pytest.mark.parametrize("span", [None, 2])
+def test_block_tables_join_to_the_components_of_all(spark, span):
+    rnd = random.Random(11)
+    home = {i: (rnd.randrange(4), rnd.randrange(2), rnd.randrange(3)) for i in range(120)}
+    nodes = spark.createDataFrame([(*b, i) for i, b in home.items()] + [(3, 1, 2, 5), (0, 0, 0, None)], "bz bigint, by bigint, bx bigint, id bigint")
+    data = []
+    for t in (1, 2):
+        for _ in range(90 * t):
+            u, v = rnd.choice(list(home.items())), rnd.randrange(120)
+            data.append((t, *u[1], u[0], v))
+    edges = spark.createDataFrame(data + [(1, 0, 0, 0, None, 3), (1, 0, 0, 0, 4, 4)], "t int, bz bigint, by bigint, bx bigint, u bigint, v bigint")
+    local, crossing = G.block_tables(edges.where("u <> v"), nodes, ["t"])
+    for r in local.collect():
+        assert home[r.key] == (r.bz, r.by, r.bx) == home[r.value] or r.key == 5 or r.value == 5
+    assert rows(G.joined_tables(local, crossing, ["t"], span)) == rows(G.components(edges, ["t"]))
+
+
+def test_graph_store_reads_layers(spark, tmp_path):
+    nodes = spark.createDataFrame([(z, y, 0, 10 * z + y, 1.0, 1.0, None if y == 3 else 1.0) for z in range(4) for y in range(4)], "bz bigint, by bigint, bx bigint, id bigint, center_z double, center_y double, center_x double")
+    edges = spark.createDataFrame([(z, y, 0, 1, 2) for z in range(4) for y in range(4)], "bz bigint, by bigint, bx bigint, u bigint, v bigint")
+    src.write_graph(nodes, edges, f"{tmp_path}/g")
+    src.write_graph(nodes.where("bz = 2").withColumn("id", F.col("id") + 100), edges.where("bz = 2"), f"{tmp_path}/g")
+    n, e = src.read_graph(spark, f"{tmp_path}/g", (1, 1, 0), (3, 4, 1))
+    assert [r.id for r in n.orderBy("id").collect()] == [11, 12, 121, 122] and e.count() == 6
+    assert "PartitionFilters: [isnotnull(bz" in e._jdf.queryExecution().explainString(e.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
