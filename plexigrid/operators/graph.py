@@ -440,8 +440,10 @@ def watershed_grid(voxels: DataFrame, size: int, low: float) -> DataFrame:
         longer = cut(ways.join(on, "at", "left").select("id", F.when(F.col("peak"), F.col("at")).otherwise(F.col("_at")).alias("at"), (F.col("peak") | F.col("_peak")).alias("peak")), "ways")
         discard(ways)
         ways = longer
-    end = local.join(ways.select(F.col("id").alias("at"), F.col("at").alias("_end")), "at", "left")
-    end = end.select("id", F.when(F.col("high") > low, F.when(F.col("peak"), F.col("at")).otherwise(F.col("_end")) + 1).otherwise(0).alias("label"))
+    # only what leaves its block is looked up, at most a block's voxels at each end, however large a basin is
+    left = local.where("not peak").join(ways.select(F.col("id").alias("at"), F.col("at").alias("_end")), "at").select("id", "high", "_end")
+    end = local.where("peak").select("id", "high", F.col("at").alias("_end")).unionByName(left)
+    end = end.select("id", F.when(F.col("high") > low, F.col("_end") + 1).otherwise(0).alias("label"))
     mask = (1 << AXIS_BITS) - 1
     number = F.col("id")
     place = [F.shiftright(number, 2 * AXIS_BITS).alias("z"), F.shiftright(number, AXIS_BITS).bitwiseAND(mask).alias("y"), number.bitwiseAND(mask).alias("x")]

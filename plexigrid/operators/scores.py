@@ -78,9 +78,22 @@ def union_of_tops(rated: DataFrame, metrics: list[str], n: int, ident: str) -> D
     return out.distinct()
 
 
+def numbered(df: DataFrame, by: str, place: str) -> DataFrame:
+    """df with a column place: 1, 2 ... in the order of by (equal ones in any order).
+
+    Rows are sorted by ranges of by and numbered inside each; only one count a range goes through a
+    window of its own.
+    """
+    ranged = cut(df.repartitionByRange(by).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(by))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return ranged.withColumn(place, within).join(counts, "_range").withColumn(place, (F.col(place) + F.col("_before")).cast("int")).drop("_range", "_before")
+
+
 def csv_report(rated: DataFrame, entries: DataFrame, metrics: list[str], digits: int = 6) -> DataFrame:
     """place, line: a CSV line for every row of the entries (a top-n report), in the order of the text."""
     keys = ["network", "checkpoint", "threshold"]
     rows = rated.join(entries.select(*keys), keys, "left_semi")
     line = F.concat_ws(",", F.col("network"), F.col("checkpoint").cast("string"), F.format_string("%.3f", "threshold"), *[F.format_string(f"%.{digits}f", m) for m in metrics])
-    return rows.select(line.alias("line")).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line")))
+    return numbered(rows.select(line.alias("line")), "line", "place")

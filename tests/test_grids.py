@@ -300,3 +300,10 @@ def test_graph_store_reads_layers(spark, tmp_path):
     n, e = src.read_graph(spark, f"{tmp_path}/g", (1, 1, 0), (3, 4, 1))
     assert [r.id for r in n.orderBy("id").collect()] == [11, 12, 121, 122] and e.count() == 6
     assert "PartitionFilters: [isnotnull(bz" in e._jdf.queryExecution().explainString(e.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_numbers_across_ranges(spark):
+    lines = [f"{k % 37:03d}" for k in range(200)]
+    got = S.numbered(spark.createDataFrame([(x,) for x in lines], "line string").repartition(4), "line", "place")
+    assert sorted((r.place, r.line) for r in got.collect()) == list(enumerate(sorted(lines), 1))
+    assert S.numbered(got.drop("place").limit(0), "line", "place").count() == 0
