@@ -70,9 +70,17 @@ def compact(
     unique = parse(stream).select(*key, payload).dropDuplicates(key)
 
     def write(batch: DataFrame, number: int) -> None:
-        # the sizes measured in the shuffle decide how many files there are; nothing is kept or counted before
-        batch.sparkSession.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", file_bytes)
-        batch.hint("rebalance").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        # the sizes measured in a shuffle decide how many files there are; nothing is kept or counted before.
+        # A stream turns adaptive plans off for its state's sake; this write alone has one.
+        conf = batch.sparkSession.conf
+        held = {k: conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+        for k, v in zip(held, ("true", str(file_bytes))):
+            conf.set(k, v)
+        try:
+            batch.hint("rebalance").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        finally:
+            for k, v in held.items():
+                conf.set(k, v)
 
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)

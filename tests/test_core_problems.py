@@ -68,6 +68,19 @@ def test_a_batch_that_failed_is_replaced(spark, tmp_path):
     assert not out.where("record = 'torn'").count()
 
 
+def test_files_are_few_and_of_the_size_asked_for(spark, tmp_path):
+    from uuid import uuid4
+
+    files(spark, [record(str(uuid4()), i, note="".join(str(uuid4()) for _ in range(60))) for i in range(3000)]).repartition(6).write.parquet(str(tmp_path / "in"))
+    sizes = {}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    for size in (2**28, 300_000):
+        compact(spark, str(tmp_path / "in"), str(tmp_path / f"out{size}"), str(tmp_path / f"ck{size}"), completion_records, KEY, "record", file_bytes=size)
+        sizes[size] = [p.stat().st_size for p in (tmp_path / f"out{size}").rglob("*.parquet")]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes[2**28]) == 1 and 1 < len(sizes[300_000]) < 24  # Spark joins what is under a megabyte in any case
+
+
 def test_compaction_in_many_batches_and_of_nothing(spark, tmp_path):
     bodies = [record(str(i % 30), i % 30) for i in range(90)]
     files(spark, bodies).repartition(6).write.parquet(str(tmp_path / "in"))
