@@ -73,8 +73,9 @@ def compact(
         # the sizes measured in a shuffle decide how many files there are; nothing is kept or counted before.
         # A stream turns adaptive plans off for its state's sake; this write alone has one.
         conf = batch.sparkSession.conf
-        held = {k: conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
-        for k, v in zip(held, ("true", str(file_bytes))):
+        wanted = {"enabled": "true", "advisoryPartitionSizeInBytes": str(file_bytes), "coalescePartitions.parallelismFirst": "false"}
+        held = {f"spark.sql.adaptive.{k}": conf.get(f"spark.sql.adaptive.{k}") for k in wanted}
+        for k, v in zip(held, wanted.values()):
             conf.set(k, v)
         try:
             batch.hint("rebalance").write.mode("overwrite").parquet(f"{target}/batch={number}")
