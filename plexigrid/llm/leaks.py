@@ -112,7 +112,7 @@ class Items:
         offset = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
         self.start = np.concatenate([o + b for o, b in zip(offset, begins)])
         self.shingles = np.concatenate([np.pad(shingle_codes(c, shingle), (0, min(len(c), shingle - 1))) for c in codes])
-        self.blocks = []  # of each block: shift, bits, where each value of its upper bits begins in the order, and the order by value
+        self.blocks = []  # of each block: shift, bits, where each value of its upper bits begins in the order, the order by value, values and fingerprints in it
         edges = np.linspace(0, BITS, radius + 2).astype(int)
         for low, high in zip(edges[:-1], edges[1:]):
             bits = int(high - low)
@@ -120,7 +120,7 @@ class Items:
             order = np.argsort(values, kind="stable")
             top = max(0, bits - 16)  # wide blocks are searched in the order, beyond their upper 16 bits
             begin = np.searchsorted(values[order] >> np.uint64(top), np.arange((1 << min(bits, 16)) + 1, dtype=np.uint64))
-            self.blocks.append((int(low), bits, top, begin, order, values[order]))
+            self.blocks.append((int(low), bits, top, begin.astype(np.int32), order, values[order], self.prints[order]))
 
     @staticmethod
     def _values(prints: np.ndarray, low: int, bits: int) -> np.ndarray:
@@ -129,7 +129,7 @@ class Items:
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (position, item window) whose fingerprints differ in at most radius bits."""
         found = []
-        for low, bits, top, begin, order, values in self.blocks:
+        for low, bits, top, begin, order, values, sorted_prints in self.blocks:
             v = self._values(prints, low, bits)
             first = (v >> np.uint64(top)).astype(np.int64)
             lo, hi = begin[first], begin[first + 1]
@@ -140,10 +140,10 @@ class Items:
                 n = np.searchsorted(values, v[pos], "right") - lo
                 pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
             if len(pos):
-                at = np.repeat(pos, n)
-                k = order[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                near = np.bitwise_count(prints[at] ^ self.prints[k]) <= self.radius
-                found.append(np.stack([at[near], k[near]]))
+                ends = np.cumsum(n)
+                k = np.repeat((lo - (ends - n)).astype(np.int32), n) + np.arange(ends[-1], dtype=np.int32)
+                near = np.nonzero(np.bitwise_count(np.repeat(prints[pos], n) ^ sorted_prints[k]) <= self.radius)[0]
+                found.append(np.stack([pos[np.searchsorted(ends, near, "right")], order[k[near]]]))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         both = np.unique(np.concatenate(found, axis=1), axis=1)
