@@ -133,13 +133,88 @@ def _stars(levels: int):
     return run
 
 
+def _merges(u: np.ndarray, v: np.ndarray, level: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The merges of edges: ids (sorted), the position of what each id is merged into, and at which level.
+
+    An id leads its component, as the smallest in it, until its level, when its component meets one
+    with a smaller id: that is what it is merged into, and that leads on beyond the level. Ids that
+    still lead at the end point to themselves, at level levels.
+    """
+    ids = np.unique(np.concatenate([u, v]))
+    a, b = np.searchsorted(ids, u).astype(np.int32), np.searchsorted(ids, v).astype(np.int32)
+    root = np.arange(len(ids), dtype=np.int32)
+    into, at = root.copy(), np.full(len(ids), levels, np.int8)
+    for k in range(levels):
+        new = np.nonzero(level == k)[0]
+        x, y = root[a[new]], root[b[new]]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        if not len(x):
+            continue
+        met = np.unique(np.concatenate([x, y]))  # those who led before
+        low = _forest(met, np.searchsorted(met, x), np.searchsorted(met, y))
+        moved = low != met
+        into[met[moved]], at[met[moved]] = low[moved], k
+        root[met[moved]] = low[moved]
+        root = root[root]
+    return ids, into, at
+
+
+def _links(levels: int):
+    """Of each chunk of (_level, u, v) its merges as edges: an id less one of each component, and the same components at every level."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in _chunks(batches):
+            ids, into, at = _merges(*(chunk[c].to_numpy() for c in ("u", "v", "_level")), levels)
+            tip = np.nonzero(at < levels)[0]
+            yield pd.DataFrame({"_level": at[tip].astype(np.int32), "u": ids[into[tip]], "v": ids[tip]})
+
+    return run
+
+
+def _runs(levels: int):
+    """Of all edges (_level, u, v) of one task: key, value and the levels lo to hi at which key has that value."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(b["u"].to_numpy(), b["v"].to_numpy(), b["_level"].to_numpy().astype(np.int8)) for b in batches]
+        if not held:
+            return
+        u, v, level = (np.concatenate(c) for c in zip(*held))
+        del held
+        ids, into, at = _merges(u, v, level, levels)
+        del u, v, level
+        tip = np.nonzero(at < levels)[0]
+        born = np.full(len(ids), levels, np.int8)  # when an id first leads another
+        np.minimum.at(born, into[tip], at[tip])
+
+        def rows(key: np.ndarray, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pd.DataFrame]:
+            for k in range(0, len(key), CHUNK_EDGES):
+                of = slice(k, k + CHUNK_EDGES)
+                yield pd.DataFrame({"key": ids[key[of]], "value": ids[value[of]], "lo": lo[of].astype(np.int32), "hi": hi[of].astype(np.int32)})
+
+        lead = np.nonzero(born < at)[0]
+        yield from rows(lead, lead, born[lead], at[lead] - 1)
+        key, last = tip, tip
+        while len(key):  # at most once a level: what an id is merged into leads longer
+            value = into[last]
+            yield from rows(key, value, at[last], at[value] - 1)
+            on = at[value] < levels
+            key, last = key[on], value[on]
+
+    return run
+
+
+#: Links that one task joins (about 70 bytes each); of more, all tasks join them in rounds.
+JOINED_LINKS = 8_000_000
+
+
 def threshold_sweep(edges: DataFrame, thresholds: list[float], score: str = "merge_score") -> DataFrame:
     """threshold, key, value: the components at every threshold.
 
-    All thresholds are solved in the same rounds. Before the first shuffle, map tasks contract bounded
-    chunks of edges at every threshold: a higher one only merges groups of a lower one, so that a chunk
-    goes through once, and what leaves it is at most an edge an id and threshold, as is the result.
-    No thresholds or no edges give no rows.
+    All thresholds are solved at once. Map tasks contract bounded chunks of edges to their merges, at
+    most a link an id whatever the number of thresholds; one task joins up to JOINED_LINKS of them to
+    runs of thresholds with the same value, which all tasks spread out. More links go through
+    components(), all thresholds in the same rounds. No thresholds or no edges give no rows.
     """
     steps = sorted({float(t) for t in thresholds})
     if not steps:
@@ -147,8 +222,14 @@ def threshold_sweep(edges: DataFrame, thresholds: list[float], score: str = "mer
     array = F.array(*[F.lit(t) for t in steps])
     level = F.size(F.filter(array, lambda t: t < F.col(score))).cast("int")  # the first threshold that takes the edge
     rows = edges.where((F.col("u") != F.col("v")) & F.col(score).isNotNull() & ~F.isnan(score)).select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v"), level.alias("_level")).where(F.col("_level") < len(steps))
-    stars = rows.mapInPandas(_stars(len(steps)), "_level int, u bigint, v bigint")
-    return components(stars, ["_level"]).select(F.get(array, F.col("_level")).alias("threshold"), "key", "value")
+    links = cut(rows.select("_level", "u", "v").mapInPandas(_links(len(steps)), "_level int, u bigint, v bigint"), "links")
+    if links.count() > JOINED_LINKS:
+        stars = links.mapInPandas(_stars(len(steps)), "_level int, u bigint, v bigint")
+        return components(stars, ["_level"]).select(F.get(array, F.col("_level")).alias("threshold"), "key", "value")
+    runs = links.coalesce(1).mapInPandas(_runs(len(steps)), "key bigint, value bigint, lo int, hi int")
+    runs = cut(runs, "runs", rows_a_file=CHUNK_EDGES // 4)
+    discard(links)
+    return runs.select(F.explode(F.slice(array, F.col("lo") + 1, F.col("hi") - F.col("lo") + 1)).alias("threshold"), "key", "value")
 
 
 def _local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,7 +75,8 @@ def cc_threshold(s, d):
 
 
 def cc_sweep(s, d):
-    return G.threshold_sweep(clean_edges(s, d), SWEEP)
+    """The components at every threshold of a sweep; repeated rows add nothing, and edges stay with those of their block."""
+    return G.threshold_sweep(G.scored(edges(s, d)), SWEEP)
 
 
 def cc_distinct(s, d):

@@ -39,15 +39,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def cut(df: DataFrame, tag: str, rows_a_file: int = 0) -> DataFrame:
+    """Write df as a table in the shared folder and read it back; in files of at most rows_a_file rows, if given.
 
     The result has no lineage, survives the loss of any executor, and carries file sizes, so
     that Catalyst may choose a broadcast from a size it knows.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

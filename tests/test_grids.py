@@ -191,6 +191,25 @@ def test_sweep_of_chunks(spark, monkeypatch):
     assert out == [(0, 1, 2), (1, 1, 2), (1, 1, 3), (0, 1, 3), (1, 1, 3), (1, 4, 5), (1, 5, 6)]
 
 
+def test_sweep_links_each_id_once_whatever_the_thresholds(spark, monkeypatch):
+    import pandas as pd
+
+    rnd = random.Random(11)
+    data = [(rnd.randrange(90), rnd.randrange(90), rnd.choice([rnd.random(), 0.25, None, float("nan")])) for _ in range(250)]
+    df = spark.createDataFrame(data, "u bigint, v bigint, merge_score double").repartition(3)
+    steps = [k / 20 for k in range(1, 20)]
+    want = rows(G.threshold_sweep(df, steps))
+    for t in steps:
+        assert [r[1:] for r in want if r[0] == t] == rows(G.components(G.under(df, t)))
+    monkeypatch.setattr(G, "JOINED_LINKS", 0)  # all tasks, in rounds
+    assert rows(G.threshold_sweep(df, steps)) == want
+    monkeypatch.undo()
+    batch = pd.DataFrame([(5, 6, 0), (6, 7, 1), (5, 7, 1), (2, 7, 3), (1, 9, 2), (9, 2, 4)], columns=["u", "v", "_level"])
+    assert [tuple(r) for c in G._links(19)(iter([batch])) for r in c.itertuples(index=False)] == [(4, 1, 2), (3, 2, 5), (0, 5, 6), (1, 5, 7), (2, 1, 9)]
+    runs = sorted(tuple(r) for c in G._runs(19)(iter([batch])) for r in c.itertuples(index=False))
+    assert runs == [(1, 1, 2, 18), (2, 1, 4, 18), (2, 2, 3, 3), (5, 1, 4, 18), (5, 2, 3, 3), (5, 5, 0, 2), (6, 1, 4, 18), (6, 2, 3, 3), (6, 5, 0, 2), (7, 1, 4, 18), (7, 2, 3, 3), (7, 5, 1, 2), (9, 1, 2, 18)]
+
+
 def test_a_key_of_one_percent_is_hot(spark):
     big = spark.range(20_000).select(F.when(F.col("id") % 100 == 0, -1).otherwise(F.col("id")).alias("k"), (F.col("id") % 7).alias("j"), F.col("id").alias("n"))
     big = big.unionByName(spark.createDataFrame([(None, 1, -1), (5, None, -2)], "k bigint, j bigint, n bigint"))
