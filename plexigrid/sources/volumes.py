@@ -128,9 +128,22 @@ def scales_of(spark: SparkSession, container: str, dataset: str) -> list[str]:
     return [f"{dataset}/s{k}" for k, _ in sorted(found)] or [dataset]
 
 
+#: Tables that a task writes at once; only what goes beyond them is sorted first.
+OPEN_TABLES = 32
+
+
 def write_lut(lut: DataFrame, path: str) -> None:
-    """Add threshold and stage partitions of lookup tables (threshold, stage, ..., key, value) to a table."""
-    lut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "threshold").parquet(path)
+    """Add threshold and stage partitions of lookup tables (threshold, stage, ..., key, value) to a table.
+
+    Rows go to the files of their tables as they come, unsorted.
+    """
+    conf, name = lut.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name)
+    conf.set(name, OPEN_TABLES)
+    try:
+        lut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "threshold").parquet(path)
+    finally:
+        conf.set(name, before)
 
 
 def read_lut(spark: SparkSession, path: str, stage: str, threshold: float) -> DataFrame:

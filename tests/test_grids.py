@@ -326,3 +326,22 @@ def test_numbers_across_ranges(spark):
     got = S.numbered(spark.createDataFrame([(x,) for x in lines], "line string").repartition(4), "line", "place")
     assert sorted((r.place, r.line) for r in got.collect()) == list(enumerate(sorted(lines), 1))
     assert S.numbered(got.drop("place").limit(0), "line", "place").count() == 0
+
+
+def test_tables_are_written_unsorted(spark):
+    from types import SimpleNamespace
+
+    from plexigrid.sources import volumes
+
+    name, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+
+    class Writer:
+        def __getattr__(self, _):
+            return lambda *a: self
+
+        def parquet(self, path):
+            seen.append(int(spark.conf.get(name)))
+
+    before = spark.conf.get(name)
+    volumes.write_lut(SimpleNamespace(sparkSession=spark, write=Writer()), "nowhere")
+    assert seen == [volumes.OPEN_TABLES] and spark.conf.get(name) == before
