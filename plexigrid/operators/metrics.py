@@ -6,19 +6,20 @@ formulas, as the reference computes them in a package whose code is not at hand.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plexigrid.operators.skew import salt_of, skew_join
+from plexigrid.operators.skew import skew_join
 from plexigrid.session import cut
 
 #: Node ids that one window takes.
 RANGE = 65536
-#: Subgroups of the skeletons of a segment when its pairs are formed.
-SALTS = 16
 
 
 def beside(*ones: DataFrame) -> DataFrame:
@@ -141,69 +142,159 @@ def merge_sites(nodes: DataFrame, radius: float) -> DataFrame:
     return best.select("seg_label", "s1", "s2", "m.u", "m.v", "m.distance")
 
 
-def all_merge_sites(nodes: DataFrame, side: float, leaf: int = 256) -> DataFrame:
+#: Numbers in one matrix of distances.
+MATRIX = 1 << 20
+#: Rows that a task returns at once.
+RETURNED = 1 << 16
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances of all rows of a to all of b (NaN as infinite), and by how much they may be wrong."""
+    if np.isfinite(a).all() and np.isfinite(b).all() and max(np.abs(a).max(), np.abs(b).max()) < 1e100:
+        aa, bb = (a * a).sum(1), (b * b).sum(1)
+        left = np.column_stack([a * -2, aa, np.ones(len(a))])
+        return left @ np.column_stack([b, np.ones(len(b)), bb]).T, 64 * np.finfo(float).eps * (aa.max() + bb.max())
+    with np.errstate(all="ignore"):
+        out = ((a[:, None, :] - b[None, :, :]) ** 2).sum(2)
+    return np.where(np.isnan(out), np.inf, out), 0.0
+
+
+def _begins(s: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1])
+
+
+def _tile(a: tuple, b: tuple, later: bool) -> tuple:
+    """s1, s2, u, v, distance of every two skeletons, one of a and one of b (s, node, place; sorted by both); with later only where b's is the greater."""
+    g, wrong = _products(a[2], b[2])
+    ra, rb = _begins(a[0]), _begins(b[0])
+    na, nb = np.diff(ra, append=len(a[0])), np.diff(rb, append=len(b[0]))
+    low = np.minimum.reduceat(g, ra, axis=0)  # along the rows first, of all columns at once
+    least = np.minimum.reduceat(low, rb, axis=1)
+    one, other = a[0][ra][:, None], b[0][rb][None, :]
+    bound = np.where(other > one if later else other != one, least * (1 + 16 * np.finfo(float).eps) + wrong, -np.inf)
+    bound = np.repeat(bound, nb, axis=1)
+    of, col = np.divmod(np.flatnonzero(low <= bound), len(b[0]))
+    n = na[of]
+    row = np.arange(n.sum()) + np.repeat(ra[of] - np.cumsum(n) + n, n)  # all rows of a's skeleton in these columns
+    of, col = np.repeat(of, n), np.repeat(col, n)
+    good = g[row, col] <= bound[of, col]
+    row, col = row[good], col[good]
+    with np.errstate(all="ignore"):
+        d = a[2][row] - b[2][col]
+        d = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
+    s1, s2, u, v = a[0][row], b[0][col], a[1][row], b[1][col]
+    turned = s1 > s2
+    return _nearest(np.where(turned, s2, s1), np.where(turned, s1, s2), np.where(turned, v, u), np.where(turned, u, v), d)
+
+
+def _nearest(s1, s2, u, v, d) -> tuple:
+    """Of each two skeletons the row of the least distance, then u, then v."""
+    order = np.lexsort((v, u, d, s2, s1))
+    first = np.ones(len(order), bool)
+    p, q = s1[order], s2[order]
+    first[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+    order = order[first]
+    return s1[order], s2[order], u[order], v[order], d[order]
+
+
+def _pairs(a: tuple, b: tuple | None) -> Iterator[tuple]:
+    """The rows of all pairs of skeletons inside a (without b), or between a and b; of one skeleton of a at a time if it is long."""
+    begins = _begins(a[0])
+    ends = np.append(begins[1:], len(a[0]))
+    k = 0
+    while k < len(begins):
+        lo = begins[k]
+        to = tuple(c[ends[k] :] for c in a) if b is None else b
+        if not len(to[0]):
+            return
+        most = max(1, MATRIX // len(to[0]))
+        last = max(k + 1, int(np.searchsorted(ends, lo + most, "right")))  # whole skeletons that fit together
+        hi = ends[last - 1]
+        parts = [_tile(tuple(c[r : min(r + most, hi)] for c in a), to, b is None) for r in range(lo, hi, most)]
+        yield parts[0] if len(parts) == 1 else _nearest(*(np.concatenate(c) for c in zip(*parts)))
+        k = last
+
+
+def _sites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nearest nodes of the skeletons of each group (seg_label, i, j), whose rows come together: sides 0 and 1, or 0 alone."""
+    held: list[tuple] = []
+
+    def full(least: int) -> Iterator[pd.DataFrame]:
+        if sum(len(h[0]) for h in held) >= least and held:
+            yield pd.DataFrame(dict(zip(("seg_label", "s1", "s2", "u", "v", "distance"), (np.concatenate(c) for c in zip(*held)))))
+            held.clear()
+
+    def groups() -> Iterator[pd.DataFrame]:
+        keys, open_ = ["seg_label", "i", "j"], []
+        for batch in batches:
+            if not len(batch):
+                continue
+            k = batch[keys].to_numpy()
+            cuts = np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1
+            if open_ and (open_[0][keys].to_numpy()[0] != k[0]).any():
+                yield pd.concat(open_)
+                open_ = []
+            for lo, hi in zip([0, *cuts], [*cuts, len(k)]):
+                open_.append(batch.iloc[lo:hi])
+                if hi < len(k):
+                    yield pd.concat(open_) if len(open_) > 1 else open_[0]
+                    open_ = []
+        if open_:
+            yield pd.concat(open_)
+
+    for g in groups():
+        side, s, node, place = g["side"].to_numpy(), g["s"].to_numpy(), g["node"].to_numpy(), g[["z", "y", "x"]].to_numpy()
+        at = int((side == 0).sum())  # rows are in the order of sides
+        if not at or (at == len(side) and (s[0] == s[-1] or g["whole"].iloc[0] == 0)):
+            continue
+        a = (s[:at], node[:at], place[:at])
+        for rows in _pairs(a, (s[at:], node[at:], place[at:]) if at < len(side) else None):
+            if len(rows[0]):
+                held.append((np.full(len(rows[0]), g["seg_label"].iloc[0]), *rows))
+            yield from full(RETURNED)
+    yield from full(1)
+
+
+def all_merge_sites(nodes: DataFrame, side: float, leaf: int = 256, part: int = 1 << 16) -> DataFrame:
     """seg_label, s1 < s2, u, v, distance: the nearest nodes of every two skeletons in one segment, at any distance.
 
-    Two skeletons with at most leaf pairs of nodes are compared where they meet, from lists of at most
-    leaf nodes; their rows are not shuffled. Any other pair begins as two boxes (of all nodes that each skeleton has in the segment) and goes down
-    nested cubes, a quarter as wide each time. Boxes that are further apart than two known nodes of
-    the pair (of each box its first) cannot hold the nearest ones and fall away. Nodes meet only
-    where the boxes left have at most leaf pairs of nodes, or in cubes of the smallest side. Bounds
-    are rounded as distances are, so that ties stay: they go to the smaller u, then v.
+    The skeletons of a segment lie in parts of about part nodes. Every two parts, and every part with
+    itself, meet in one group of rows, where matrix products tell which nodes can be nearest and
+    distances of these decide: what is shuffled are nodes, once a part of their segment (once if it
+    has up to part nodes), never pairs, and the rows of pairs go straight to the result. Skeletons of more than part
+    nodes are cut by nodes; the rows of their pieces alone are grouped. Ties go to the smaller u, then
+    v. The result does not depend on side, leaf and part.
     """
     ok = nodes.where("seg_label <> 0 and skeleton_id is not null and z is not null and y is not null and x is not null")
-    busy = ok.select("seg_label", "skeleton_id").distinct().groupBy("seg_label").agg(F.count("*").alias("k")).where("k > 1").select("seg_label")
-    base = F.struct(*[F.floor(F.col(c) / side).cast("bigint").alias(c) for c in "zyx"])
-    ok = cut(skew_join(ok, busy, "seg_label", "left_semi").select("seg_label", F.col("skeleton_id").alias("s"), "node", "z", "y", "x", base.alias("base")), "merging")
-    spans = ok.agg(*[(F.max(f"base.{c}") - F.min(f"base.{c}")).alias(c) for c in "zyx"]).first()
-    shifts = [None, *range(max(0, (max((v or 0) for v in spans).bit_length() - 1) // 2 * 2), -1, -2)]  # cubes of 2^shift sides
-    number = F.lit(0).cast("bigint")
-
-    def cell(shift: int | None) -> Column:
-        return F.struct(*[(number if shift is None else F.shiftright(f"base.{c}", shift)).alias(c) for c in "zyx"])
-
-    def length(parts: list[Column]) -> Column:
-        return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
-
-    def of(df: DataFrame, i: int, keys: list[str]) -> DataFrame:
-        return df.select("seg_label", *[F.col(c).alias(f"{c}{i}") for c in df.columns if c in ("s", *keys)])
-
-    def salted(df: DataFrame, i: int, keys: list[str]) -> DataFrame:
-        every = F.explode(F.array(*[F.lit(k) for k in range(SALTS)]))
-        return of(df, i, keys).withColumn("salt", salt_of(F.col("s1"), SALTS) if i == 1 else every)
-
-    few = ok.groupBy("seg_label", "s").agg(F.count("*").alias("n")).where(F.col("n") <= leaf)
-    few = ok.join(few, ["seg_label", "s"]).groupBy("seg_label", "s", "n").agg(F.collect_list(F.struct("node", "z", "y", "x")).alias("a"))
-    few = cut(few, "few")
-    meet = salted(few, 1, ["n", "a"]).join(salted(few, 2, ["n", "a"]), ["seg_label", "salt"]).where((F.col("s1") < F.col("s2")) & (F.col("n1") * F.col("n2") <= leaf))
-    every = F.flatten(F.transform("a1", lambda a: F.transform("a2", lambda b: F.struct(length([a[c] - b[c] for c in "zyx"]).alias("distance"), a["node"].alias("u"), b["node"].alias("v")))))
-    short = meet.select("seg_label", "s1", "s2", F.array_min(every).alias("m"))
-    active, sites = None, []
-    for shift, before in zip(shifts, [None, *shifts]):
-        box = F.struct(F.count("*").alias("n"), F.min(F.struct("node", "z", "y", "x")).alias("a"), *[f(c).alias(f"{n}{c}") for c in "zyx" for n, f in (("lo", F.min), ("hi", F.max))])
-        boxes = ok.groupBy("seg_label", "s", cell(shift).alias("c"), cell(before).alias("p")).agg(box.alias("b"))
-        first, second = of(boxes, 1, ["c", "p", "b"]), of(boxes, 2, ["c", "p", "b"])
-        if active is None:  # one box a skeleton
-            both = salted(boxes, 1, ["c", "b"]).join(salted(boxes, 2, ["c", "b"]), ["seg_label", "salt"]).where((F.col("s1") < F.col("s2")) & (F.col("b1.n") * F.col("b2.n") > leaf))
-        else:
-            both = active.join(first, ["seg_label", "s1", "p1"]).join(second, ["seg_label", "s2", "p2"])
-        gap = [F.greatest(F.col(f"b1.lo{c}") - F.col(f"b2.hi{c}"), F.col(f"b2.lo{c}") - F.col(f"b1.hi{c}"), F.lit(0.0)) for c in "zyx"]
-        known = [F.col(f"b1.a.{c}") - F.col(f"b2.a.{c}") for c in "zyx"]
-        if active is not None:  # the bound of the boxes above holds for these too
-            both = both.where(length(gap) <= F.col("above"))
-        both = cut(both.select("seg_label", "s1", "s2", "c1", "c2", (F.col("b1.n") * F.col("b2.n")).alias("n"), length(gap).alias("least"), length(known).alias("most")), "boxes")
-        within = both.groupBy("seg_label", "s1", "s2").agg(F.min("most").alias("within"))
-        left = cut(both.join(within, ["seg_label", "s1", "s2"]).where("least <= within"), "boxes_left")
-        small = F.lit(True) if shift == 0 else F.col("n") <= leaf
-        at = ok.withColumn("c", cell(shift))
-        met = left.where(small).join(of(at, 1, ["node", "z", "y", "x", "c"]), ["seg_label", "s1", "c1"]).join(of(at, 2, ["node", "z", "y", "x", "c"]), ["seg_label", "s2", "c2"])
-        met = met.withColumn("distance", length([F.col(f"{c}1") - F.col(f"{c}2") for c in "zyx"]))
-        sites.append(met.groupBy("seg_label", "s1", "s2").agg(F.min(F.struct("distance", F.col("node1").alias("u"), F.col("node2").alias("v"))).alias("m")))
-        active = left.where(~small).select("seg_label", "s1", "s2", F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.col("within").alias("above"))
-        if shift == 0 or active.isEmpty():
-            break
-    best = reduce(DataFrame.unionByName, sites).groupBy("seg_label", "s1", "s2").agg(F.min("m").alias("m"))
-    return best.unionByName(short).select("seg_label", "s1", "s2", "m.u", "m.v", "m.distance")
+    per = ok.groupBy("seg_label", F.col("skeleton_id").alias("s")).agg(F.count("*").alias("n"))
+    per = cut(per, "lengths")
+    wide = per.where(F.col("n") > part).withColumn("wide", F.lit(1))
+    size = per.groupBy("seg_label").agg(F.count("*").alias("k"), F.ceil(F.sum("n") / part).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("n") > part, F.col("n"))) / part).cast("int").alias("wide_parts")).where("k > 1").drop("k")
+    own = skew_join(ok, size, "seg_label").select("seg_label", F.col("skeleton_id").alias("s"), "node", *[F.col(c).cast("double").alias(c) for c in "zyx"], "parts", "wide_parts")
+    own = cut(skew_join(own, wide.select("seg_label", "s", "wide"), ["seg_label", "s"], "left"), "merging")
+    columns = ["seg_label", "i", "j", "side", "whole", "s", "node", "z", "y", "x"]
+    schema = "seg_label bigint, s1 bigint, s2 bigint, u bigint, v bigint, distance double"
+
+    def met(df: DataFrame) -> DataFrame:
+        tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, own.count() // 20_000))
+        rows = df.select(*columns).repartition(tasks, "seg_label", "i", "j").sortWithinPartitions("seg_label", "i", "j", "side", "s", "node")
+        return rows.mapInPandas(_sites, schema)
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    by_s, by_node = (F.pmod(F.xxhash64(c), F.col("parts")).cast("int") for c in ("s", "node"))
+    narrow = own.where("wide is null").withColumn("p", by_s).withColumn("q", every("parts"))
+    narrow = narrow.withColumns({"i": F.least("p", "q"), "j": F.greatest("p", "q"), "side": (F.col("p") > F.col("q")).cast("int"), "whole": (F.col("p") == F.col("q")).cast("int")})
+    short = met(narrow)
+    if wide.isEmpty():
+        return short
+    piece = F.pmod(F.xxhash64("node"), F.col("wide_parts")).cast("int")
+    long = own.where("wide = 1").withColumn("i", piece).withColumn("j", every("parts")).withColumn("side", F.lit(0))
+    rest = own.where("wide_parts > 0").withColumn("j", F.when(F.col("wide") == 1, by_node).otherwise(by_s)).withColumn("i", every("wide_parts")).withColumn("side", F.lit(1))
+    pieces = met(long.unionByName(rest).withColumn("whole", F.lit(0)))
+    best = pieces.groupBy("seg_label", "s1", "s2").agg(F.min(F.struct("distance", "u", "v")).alias("m"))
+    return short.unionByName(best.select("seg_label", "s1", "s2", "m.u", "m.v", "m.distance"))
 
 
 def fresh_labels(nodes: DataFrame, voxel: float) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,25 @@ def test_merge_sites_at_any_distance(spark, leaf):
     assert M.all_merge_sites(paths(spark, data).limit(0), 10.0).count() == 0
 
 
+def test_merge_sites_of_parts_and_pieces(spark, monkeypatch):
+    rnd = random.Random(5)
+    data = [(i, rnd.choice([1, 1, 1, 1, 2, 2, 3, 4, 5]), rnd.choice([7, 7, 8]), *(float(rnd.randrange(-6, 6)) for _ in range(3))) for i in range(160)]  # many ties
+    data += [(1000 + i, i % 3, 9, 0.1 * i, 1e7 / 3 + i % 2, -0.7 * i) for i in range(30)] + [(2000, 1, 10, float("nan"), 0.0, 0.0), (2001, 2, 10, 1.0, 0.0, 0.0), (2002, 1, 10, 4.0, 0.0, 0.0)]
+    want = {}
+    for u, s1, g, *a in data:
+        for v, s2, h, *b in data:
+            if g == h and s1 < s2 and a == a and b == b and not any(x != x for x in a + b):
+                d = [p - q for p, q in zip(a, b)]
+                d = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) ** 0.5
+                want[g, s1, s2] = min(want.get((g, s1, s2), (d, u, v)), (d, u, v))
+    want = sorted((*k, u, v, d) for k, (d, u, v) in want.items())
+    n = paths(spark, data).repartition(3)
+    monkeypatch.setattr(M, "MATRIX", 64)
+    assert rows(M.all_merge_sites(n, 10.0, part=20)) == want  # parts, and skeletons longer than one
+    batches = [pd.DataFrame([(7, 0, 0, 0, 1, s, k, float(k), 0.0, 0.0)], columns=["seg_label", "i", "j", "side", "whole", "s", "node", "z", "y", "x"]) for k, s in enumerate([1, 1, 2])]
+    assert [tuple(r) for b in M._sites(iter(batches)) for r in b.itertuples(index=False)] == [(7, 1, 2, 1, 2, 1.0)]
+
+
 def test_histogram_has_zero_bin(spark):
     sk = spark.createDataFrame([(1,), (2,), (3,), (3,)], "skeleton_id bigint")
     sp = spark.createDataFrame([(2,), (2,), (3,), (3,)], "skeleton_id bigint")
