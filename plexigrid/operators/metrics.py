@@ -7,7 +7,7 @@ formulas, as the reference computes them in a package whose code is not at hand.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -215,13 +215,18 @@ def _pairs(a: tuple, b: tuple | None) -> Iterator[tuple]:
         k = last
 
 
-def _sites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: What all_merge_sites() adds to a pair if asked to: both places, and the tag of u.
+CARRIED = ["z_u", "y_u", "x_u", "z_v", "y_v", "x_v", "tag"]
+
+
+def _sites(batches: Iterator[pd.DataFrame], carried: bool = False) -> Iterator[pd.DataFrame]:
     """Nearest nodes of the skeletons of each group (seg_label, i, j), whose rows come together: sides 0 and 1, or 0 alone."""
     held: list[tuple] = []
+    names = ["seg_label", "s1", "s2", "u", "v", "distance", *(CARRIED if carried else [])]
 
     def full(least: int) -> Iterator[pd.DataFrame]:
         if sum(len(h[0]) for h in held) >= least and held:
-            yield pd.DataFrame(dict(zip(("seg_label", "s1", "s2", "u", "v", "distance"), (np.concatenate(c) for c in zip(*held)))))
+            yield pd.DataFrame(dict(zip(names, (np.concatenate(c) for c in zip(*held)))))
             held.clear()
 
     def groups() -> Iterator[pd.DataFrame]:
@@ -248,14 +253,18 @@ def _sites(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not at or (at == len(side) and (s[0] == s[-1] or g["whole"].iloc[0] == 0)):
             continue
         a = (s[:at], node[:at], place[:at])
+        order = np.argsort(node) if carried else None
         for rows in _pairs(a, (s[at:], node[at:], place[at:]) if at < len(side) else None):
+            if carried:
+                u, v = (order[np.searchsorted(node, end, sorter=order)] for end in rows[2:4])
+                rows = (*rows, *place[u].T, *place[v].T, g["tag"].to_numpy()[u])
             if len(rows[0]):
                 held.append((np.full(len(rows[0]), g["seg_label"].iloc[0]), *rows))
             yield from full(RETURNED)
     yield from full(1)
 
 
-def all_merge_sites(nodes: DataFrame, side: float, leaf: int = 256, part: int = 1 << 16) -> DataFrame:
+def all_merge_sites(nodes: DataFrame, side: float, leaf: int = 256, part: int = 1 << 16, carried: bool = False) -> DataFrame:
     """seg_label, s1 < s2, u, v, distance: the nearest nodes of every two skeletons in one segment, at any distance.
 
     The skeletons of a segment lie in parts of about part nodes. Every two parts, and every part with
@@ -263,22 +272,25 @@ def all_merge_sites(nodes: DataFrame, side: float, leaf: int = 256, part: int =
     distances of these decide: what is shuffled are nodes, once a part of their segment (once if it
     has up to part nodes), never pairs, and the rows of pairs go straight to the result. Skeletons of more than part
     nodes are cut by nodes; the rows of their pieces alone are grouped. Ties go to the smaller u, then
-    v. The result does not depend on side, leaf and part.
+    v. The result does not depend on side, leaf and part. With carried nodes have a
+    tag (bigint, the same all along a skeleton), and the result CARRIED as well: no join of pairs is needed for those.
     """
     ok = nodes.where("seg_label <> 0 and skeleton_id is not null and z is not null and y is not null and x is not null")
+    tag = ["tag"] if carried else []
     per = ok.groupBy("seg_label", F.col("skeleton_id").alias("s")).agg(F.count("*").alias("n"))
     per = cut(per, "lengths")
     wide = per.where(F.col("n") > part).withColumn("wide", F.lit(1))
     size = per.groupBy("seg_label").agg(F.count("*").alias("k"), F.ceil(F.sum("n") / part).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("n") > part, F.col("n"))) / part).cast("int").alias("wide_parts")).where("k > 1").drop("k")
-    own = skew_join(ok, size, "seg_label").select("seg_label", F.col("skeleton_id").alias("s"), "node", *[F.col(c).cast("double").alias(c) for c in "zyx"], "parts", "wide_parts")
+    own = skew_join(ok, size, "seg_label").select("seg_label", F.col("skeleton_id").alias("s"), "node", *[F.col(c).cast("double").alias(c) for c in "zyx"], *tag, "parts", "wide_parts")
     own = cut(skew_join(own, wide.select("seg_label", "s", "wide"), ["seg_label", "s"], "left"), "merging")
-    columns = ["seg_label", "i", "j", "side", "whole", "s", "node", "z", "y", "x"]
-    schema = "seg_label bigint, s1 bigint, s2 bigint, u bigint, v bigint, distance double"
+    columns = ["seg_label", "i", "j", "side", "whole", "s", "node", "z", "y", "x", *tag]
+    more = CARRIED if carried else []
+    schema = "seg_label bigint, s1 bigint, s2 bigint, u bigint, v bigint, distance double" + "".join(f", {c} {'bigint' if c == 'tag' else 'double'}" for c in more)
 
     def met(df: DataFrame) -> DataFrame:
         tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, own.count() // 20_000))
         rows = df.select(*columns).repartition(tasks, "seg_label", "i", "j").sortWithinPartitions("seg_label", "i", "j", "side", "s", "node")
-        return rows.mapInPandas(_sites, schema)
+        return rows.mapInPandas(partial(_sites, carried=carried), schema)
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -293,8 +305,8 @@ def all_merge_sites(nodes: DataFrame, side: float, leaf: int = 256, part: int =
     long = own.where("wide = 1").withColumn("i", piece).withColumn("j", every("parts")).withColumn("side", F.lit(0))
     rest = own.where("wide_parts > 0").withColumn("j", F.when(F.col("wide") == 1, by_node).otherwise(by_s)).withColumn("i", every("wide_parts")).withColumn("side", F.lit(1))
     pieces = met(long.unionByName(rest).withColumn("whole", F.lit(0)))
-    best = pieces.groupBy("seg_label", "s1", "s2").agg(F.min(F.struct("distance", "u", "v")).alias("m"))
-    return short.unionByName(best.select("seg_label", "s1", "s2", "m.u", "m.v", "m.distance"))
+    best = pieces.groupBy("seg_label", "s1", "s2").agg(F.min(F.struct("distance", "u", "v", *more)).alias("m"))
+    return short.unionByName(best.select("seg_label", "s1", "s2", *[f"m.{c}" for c in ("u", "v", "distance", *more)]))
 
 
 def fresh_labels(nodes: DataFrame, voxel: float) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plexigrid.operators import graph as G
 from plexigrid.operators import metrics as M
@@ -307,14 +308,19 @@ def error_listing(s, d):
     skeletons of one segment (listed at the smaller skeleton).
     """
     n = cut(skeletons(s, d), "nodes")
-    splits = M.split_edges(M.path_edges(n)).select(F.lit("split").alias("kind"), "skeleton_id", "u", "v")
-    merges = M.all_merge_sites(n, 100.0).select(F.lit("merge").alias("kind"), F.col("s1").alias("skeleton_id"), "u", "v")
-    listed = cut(splits.unionByName(merges), "errors")
+    splits = cut(M.split_edges(M.path_edges(n)).select(F.lit("split").alias("kind"), "skeleton_id", "u", "v"), "splits")
+    per = splits.groupBy("kind", "skeleton_id").agg(F.count("*").alias("errors"))
     for end in ("u", "v"):
         at = n.select(F.col("node").alias(end), *[voxel_of(F.col(c), 33).alias(f"{c}_{end}") for c in "zyx"])
-        listed = skew_join(listed, at, end)
-    per = listed.groupBy("kind", "skeleton_id").agg(F.count("*").alias("errors"))
-    return skew_join(listed, per, ["kind", "skeleton_id"])
+        splits = skew_join(splits, at, end)
+    splits = skew_join(splits, per, ["kind", "skeleton_id"])
+    # a skeleton has a merge with each later one of its segments, so they are counted before there are pairs
+    in_segments = n.where("seg_label <> 0 and skeleton_id is not null and z is not null and y is not null and x is not null").select("seg_label", "skeleton_id").distinct()
+    later = in_segments.withColumn("later", F.row_number().over(Window.partitionBy("seg_label").orderBy(F.desc("skeleton_id"))) - 1)
+    tags = later.groupBy("skeleton_id").agg(F.sum("later").alias("tag"))
+    merges = M.all_merge_sites(skew_join(n, tags, "skeleton_id", "left"), 100.0, carried=True)
+    voxels = [voxel_of(F.col(f"{c}_{end}"), 33).alias(f"{c}_{end}") for end in "uv" for c in "zyx"]
+    return splits.unionByName(merges.select(F.lit("merge").alias("kind"), F.col("s1").alias("skeleton_id"), "u", "v", *voxels, F.col("tag").alias("errors")))
 
 
 _NAMES = """block_luts block_boundaries joined_block_luts graph_store eval_store cc_distinct degenerate_blocks lut_store_scan lut_missing error_listing edge_threshold boundary_edges distinct_edges positioned_nodes block_centers nodes_in_roi edges_in_roi cc_threshold cc_sweep

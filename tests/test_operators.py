@@ -133,6 +133,9 @@ def test_merge_sites_of_parts_and_pieces(spark, monkeypatch):
     n = paths(spark, data).repartition(3)
     monkeypatch.setattr(M, "MATRIX", 64)
     assert rows(M.all_merge_sites(n, 10.0, part=20)) == want  # parts, and skeletons longer than one
+    tagged = M.all_merge_sites(n.withColumn("tag", F.col("skeleton_id") * 10), 10.0, part=20, carried=True)
+    place = {r[0]: tuple(r[3:]) for r in data}
+    assert sorted(tuple(r) for r in tagged.collect()) == [(*w, *place[w[3]], *place[w[4]], w[1] * 10) for w in want]
     batches = [pd.DataFrame([(7, 0, 0, 0, 1, s, k, float(k), 0.0, 0.0)], columns=["seg_label", "i", "j", "side", "whole", "s", "node", "z", "y", "x"]) for k, s in enumerate([1, 1, 2])]
     assert [tuple(r) for b in M._sites(iter(batches)) for r in b.itertuples(index=False)] == [(7, 1, 2, 1, 2, 1.0)]
 
