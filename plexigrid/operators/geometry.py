@@ -141,7 +141,8 @@ def blocks_with_points(boxes: DataFrame, keys: list[str], points: DataFrame, cel
 
     Boxes and points meet in cubes of cell a side. A cube that a box holds whole needs only to have
     a point at all, so that points are compared one by one in cubes at the box's faces alone, and
-    equal places count once.
+    equal places count once. Both joins are semi-joins, which may broadcast points but never cubes:
+    Catalyst takes boxes for as many rows before their cubes are listed as after.
     """
     at = points.where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in AXES])).select(*AXES).distinct()
     at = at.withColumns({f"c{a}": F.floor(F.col(a) / cell).cast("bigint") for a in AXES})
@@ -153,7 +154,8 @@ def blocks_with_points(boxes: DataFrame, keys: list[str], points: DataFrame, cel
     whole = reduce(lambda p, q: p & q, [(F.col(f"{a}0") <= F.col(f"c{a}") * cell) & (F.col(f"{a}1") >= (F.col(f"c{a}") + 1) * cell) for a in AXES])
     full = cubes.where(whole).join(at.select(*cube).distinct(), cube, "left_semi").select(*keys)
     inside = reduce(lambda p, q: p & q, [(F.col(a) >= F.col(f"{a}0")) & (F.col(a) < F.col(f"{a}1")) for a in AXES])
-    part = cubes.where(~whole).join(at, cube).where(inside).select(*keys)
+    near, own = cubes.where(~whole), at.withColumnsRenamed({c: f"_{c}" for c in cube})
+    part = near.join(own, reduce(lambda p, q: p & q, [F.col(c) == F.col(f"_{c}") for c in cube]) & inside, "left_semi").select(*keys)
     return full.unionByName(part).distinct()
 
 

@@ -217,15 +217,16 @@ def block_states(s, d):
     for a, lo, hi in zip("zyx", whole.begin, whole.end):
         b = b.withColumns({f"{a}0": F.greatest(F.col(f"w{a}0"), F.lit(lo)), f"{a}1": F.least(F.col(f"w{a}1"), F.lit(hi))})
     points = F.explode(F.array(*[F.struct(*[geo.floor_div(F.col(f"{a}0") * 4 + (F.col(f"{a}1") - F.col(f"{a}0")) * k, F.lit(4 * 1320)).alias(a) for a in "zyx"]) for k in (1, 2, 3)]))
-    sampled = b.select("task", "block_id", points.alias("p")).select("task", "block_id", "p.*").join(grid_labels(s, d).select("z", "y", "x", "label"), ["z", "y", "x"])
-    written = sampled.groupBy("task", "block_id").agg((F.sum("label") != 0).alias("_written"))
+    # a left join, as that never broadcasts points of blocks; those outside of the volume have no label, which no sum counts
+    sampled = b.select("task", "block_id", points.alias("p")).select("task", "block_id", "p.*").join(grid_labels(s, d).select("z", "y", "x", "label"), ["z", "y", "x"], "left")
+    written = sampled.groupBy("task", "block_id").agg((F.sum("label") != 0).alias("_written")).where("_written")
     outside = F.lit(False)
     for a in "zyx":
         outside = outside | (F.col(f"{a}0") >= F.col(f"{a}1"))
     state = F.when(outside, "outside").when((F.col("wz0") < 501 * 40) & (F.col("wz1") > 500 * 40), "redo_section").when(F.col("_masked"), "redo_mask")
     state = state.when(F.col("_done"), "recorded").when(F.col("_written"), "written").otherwise("open")
-    for t in (masked, done, written):
-        b = b.join(t, ["task", "block_id"], "left")
+    for t in (masked, done, written):  # each has up to a row a block, too many for a broadcast though their files are small
+        b = b.join(t.hint("merge"), ["task", "block_id"], "left")
     return b.select("task", "block_id", state.alias("state"))
 
 

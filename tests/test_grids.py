@@ -246,6 +246,14 @@ def test_blocks_with_points_against_brute_force(spark):
     assert [r[0] for r in rows(got)] == [x[0] for x in boxes if any(p[0] is not None and all(x[1 + 2 * a] <= p[a] < x[2 + 2 * a] for a in range(3)) for p in points)]
 
 
+def test_cubes_of_boxes_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(k, *[0, 100 + k] * 3) for k in range(20)], "k int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int").coalesce(1).write.parquet(f"{tmp_path}/boxes")
+    spark.range(20_000).select(*[(F.rand(i) - 1 + F.when(F.col("id") == 7, 110).otherwise(0)).alias(a) for i, a in enumerate("zyx")]).write.parquet(f"{tmp_path}/points")
+    got = geo.blocks_with_points(spark.read.parquet(f"{tmp_path}/boxes"), ["k"], spark.read.parquet(f"{tmp_path}/points"), 10)
+    assert "BuildLeft" not in got._jdf.queryExecution().sparkPlan().toString()  # cubes are on the left of both joins
+    assert [r[0] for r in rows(got)] == list(range(10, 20))
+
+
 def test_prepared_and_converted_volumes(spark, tmp_path):
     a, b = f"{tmp_path}/a.parquet", f"{tmp_path}/b.orc"
     roi = geo.Roi((0, 33, 66), (132, 132, 132))
