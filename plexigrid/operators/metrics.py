@@ -146,6 +146,10 @@ def merge_sites(nodes: DataFrame, radius: float) -> DataFrame:
 MATRIX = 1 << 20
 #: Rows that a task returns at once.
 RETURNED = 1 << 16
+#: Nodes from which on a skeleton is searched by a tree of boxes, not by a matrix of all distances, and the least in a box.
+LONG, LEAF = 2048, 16
+#: Squared distances up to so many times the least can have the same root.
+SAME = 1 + 16 * np.finfo(float).eps
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
@@ -171,20 +175,32 @@ def _tile(a: tuple, b: tuple, later: bool) -> tuple:
     low = np.minimum.reduceat(g, ra, axis=0)  # along the rows first, of all columns at once
     least = np.minimum.reduceat(low, rb, axis=1)
     one, other = a[0][ra][:, None], b[0][rb][None, :]
-    bound = np.where(other > one if later else other != one, least * (1 + 16 * np.finfo(float).eps) + wrong, -np.inf)
+    bound = np.where(other > one if later else other != one, least * SAME + wrong, -np.inf)
     bound = np.repeat(bound, nb, axis=1)
     of, col = np.divmod(np.flatnonzero(low <= bound), len(b[0]))
     n = na[of]
     row = np.arange(n.sum()) + np.repeat(ra[of] - np.cumsum(n) + n, n)  # all rows of a's skeleton in these columns
     of, col = np.repeat(of, n), np.repeat(col, n)
     good = g[row, col] <= bound[of, col]
-    row, col = row[good], col[good]
+    of, row, col = of[good], row[good], col[good]
     with np.errstate(all="ignore"):
-        d = a[2][row] - b[2][col]
-        d = np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2])
-    s1, s2, u, v = a[0][row], b[0][col], a[1][row], b[1][col]
+        d = np.sqrt(_squares(a[2][row] - b[2][col]))
+    rows = _turned(a[0][row], b[0][col], a[1][row], b[1][col], d)
+    pair = of * len(rb) + np.repeat(np.arange(len(rb)), nb)[col]
+    tied = np.bincount(pair, minlength=1)[pair] > 1
+    if not tied.any():
+        return rows
+    return tuple(np.concatenate(c) for c in zip([c[~tied] for c in rows], _nearest(*(c[tied] for c in rows))))
+
+
+def _squares(d: np.ndarray) -> np.ndarray:
+    return d[..., 0] * d[..., 0] + d[..., 1] * d[..., 1] + d[..., 2] * d[..., 2]
+
+
+def _turned(s1, s2, u, v, d) -> tuple:
+    """The rows with the lesser skeleton first."""
     turned = s1 > s2
-    return _nearest(np.where(turned, s2, s1), np.where(turned, s1, s2), np.where(turned, v, u), np.where(turned, u, v), d)
+    return np.where(turned, s2, s1), np.where(turned, s1, s2), np.where(turned, v, u), np.where(turned, u, v), d
 
 
 def _nearest(s1, s2, u, v, d) -> tuple:
@@ -197,8 +213,95 @@ def _nearest(s1, s2, u, v, d) -> tuple:
     return s1[order], s2[order], u[order], v[order], d[order]
 
 
+def _tree(p: np.ndarray) -> tuple:
+    """Nodes by leaves, each split at the median of its longest side, and the corners of boxes, of all levels from the root on.
+
+    All leaves have as many nodes; for that some are there twice.
+    """
+    depth = max(0, int(np.log2(len(p) / LEAF))) if len(p) > LEAF else 0
+    total = -(-len(p) // (1 << depth)) << depth
+    order = np.arange(total) * len(p) // total
+    for level in range(depth):
+        q, order = p[order].reshape(1 << level, -1, 3), order.reshape(1 << level, -1)
+        longest = (q.max(1) - q.min(1)).argmax(1)
+        key = np.take_along_axis(q, longest[:, None, None], 2)[:, :, 0]
+        order = np.take_along_axis(order, key.argsort(1), 1).ravel()
+    q = p[order].reshape(1 << depth, -1, 3)
+    lo, hi = [q.min(1)], [q.max(1)]
+    for _ in range(depth):
+        lo.insert(0, np.minimum(lo[0][::2], lo[0][1::2]))
+        hi.insert(0, np.maximum(hi[0][::2], hi[0][1::2]))
+    return order.reshape(1 << depth, -1), lo, hi
+
+
+def _searched(a: tuple, b: tuple) -> tuple:
+    """Rows of one skeleton with every skeleton of b (rows of each together, places finite), by the tree of a's boxes.
+
+    A box is opened as long as it may be as near as what is known of b's skeleton. Differences,
+    squares and sums are rounded in the same order for boxes as for nodes, so that a box is never told farther than
+    a node in it. At most MATRIX numbers are compared at once.
+    """
+    order, lo, hi = _tree(a[2])
+    depth, leaves, place = len(lo) - 1, a[2][order], b[2]
+    begins = _begins(b[0])
+    which = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(b[0])))
+    most = max(1, MATRIX // order.shape[1] // 4)
+
+    def apart(of: np.ndarray, level: int, box: np.ndarray) -> np.ndarray:
+        p = place[of]
+        return _squares(np.maximum(np.maximum(lo[level][box] - p, p - hi[level][box]), 0))
+
+    least, stack, found = np.full(len(begins), np.inf), [], []
+    for first in range(0, len(place), most):
+        of = np.arange(first, min(first + most, len(place)))
+        box = np.zeros(len(of), int)
+        stack.append((0, of, box))
+        for level in range(1, depth + 1):
+            box = box * 2
+            box += apart(of, level, box + 1) < apart(of, level, box)
+        np.minimum.at(least, which[of], _squares(place[of][:, None] - leaves[box]).min(1))
+    while stack:
+        level, of, box = stack.pop()
+        near = apart(of, level, box) <= least[which[of]] * SAME
+        of, box = of[near], box[near]
+        if level < depth:
+            of, box = np.repeat(of, 2), np.repeat(box * 2, 2)
+            box[1::2] += 1
+            stack += [(level + 1, of[k : k + most], box[k : k + most]) for k in range(0, len(of), most)]
+        elif len(of):
+            g = _squares(place[of][:, None] - leaves[box])
+            np.minimum.at(least, which[of], g.min(1))
+            row, col = np.nonzero(g <= (least[which[of]] * SAME)[:, None])
+            found.append(_turned(np.full(len(row), a[0][0]), b[0][of[row]], a[1][order[box[row], col]], b[1][of[row]], np.sqrt(g[row, col])))
+            if sum(len(f[0]) for f in found) > MATRIX:
+                found = [_nearest(*(np.concatenate(c) for c in zip(*found)))]
+    return _nearest(*(np.concatenate(c) for c in zip(*found)))
+
+
+def _parted(a: tuple) -> tuple[list[tuple], tuple]:
+    """Each long skeleton of a, and the rows of the others."""
+    begins = _begins(a[0])
+    ends = np.append(begins[1:], len(a[0]))
+    long = np.flatnonzero(ends - begins >= LONG)
+    rest = np.repeat(ends - begins < LONG, ends - begins)
+    return [tuple(c[begins[k] : ends[k]] for c in a) for k in long], tuple(c[rest] for c in a)
+
+
 def _pairs(a: tuple, b: tuple | None) -> Iterator[tuple]:
     """The rows of all pairs of skeletons inside a (without b), or between a and b; of one skeleton of a at a time if it is long."""
+    if np.isfinite(a[2]).all() and (b is None or np.isfinite(b[2]).all()):
+        with np.errstate(all="ignore"):
+            long, a = _parted(a)
+            meets = [(one, tuple(np.concatenate(c) for c in zip(a, *long[k + 1 :])) if b is None else b) for k, one in enumerate(long)]
+            if b is not None:
+                long, b = _parted(b)
+                meets += [(one, a) for one in long]
+            for one, to in meets:
+                other = to[0] != one[0][0]
+                if other.any():
+                    yield _searched(one, to if other.all() else tuple(c[other] for c in to))
+    if not len(a[0]):
+        return
     begins = _begins(a[0])
     ends = np.append(begins[1:], len(a[0]))
     k = 0

@@ -254,7 +254,7 @@ def merge_sites(s, d):
 
 def all_merge_sites(s, d):
     """The nearest nodes of every two skeletons of a segment, also further apart than the radius of merge_sites."""
-    return M.all_merge_sites(skeletons(s, d), 100.0).withColumn("distance", F.round("distance", 6))
+    return M.all_merge_sites(cut(skeletons(s, d), "nodes"), 100.0).withColumn("distance", F.round("distance", 6))
 
 
 def fresh_labels(s, d):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -140,6 +141,48 @@ def test_merge_sites_of_parts_and_pieces(spark, monkeypatch):
     assert [tuple(r) for b in M._sites(iter(batches)) for r in b.itertuples(index=False)] == [(7, 1, 2, 1, 2, 1.0)]
 
 
+def _skeletons(rnd, sizes, first, grid):
+    """s, node, place as all_merge_sites() sorts them."""
+    s = np.repeat(list(sizes), list(sizes.values()))
+    node = rnd.permutation(len(s)) + first
+    order = np.lexsort((node, s))
+    return s[order], node[order], rnd.integers(0, grid, (len(s), 3)) * 1.1
+
+
+@pytest.mark.parametrize("long, leaf, matrix", [(1, 1, 50), (5, 2, 300), (20, 4, 1 << 20), (1 << 20, 16, 1000)])
+def test_long_skeletons_against_brute_force(monkeypatch, long, leaf, matrix):
+    for name, value in (("LONG", long), ("LEAF", leaf), ("MATRIX", matrix)):
+        monkeypatch.setattr(M, name, value)
+    rnd = np.random.default_rng(4)
+    for grid in (1, 3, 1000):  # all in one place, many ties, hardly any
+        a, b = _skeletons(rnd, {1: 3, 4: 40, 5: 22, 6: 1, 9: 6}, 0, grid), _skeletons(rnd, {2: 25, 3: 2, 4: 9, 7: 8}, 1000, grid)
+        for other in (None, b):
+            want, got = {}, {}
+            for s, n, p in zip(*a):
+                for t, m, q in zip(*(a if other is None else other)):
+                    d = p - q
+                    row = (np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]), *((n, m) if s < t else (m, n)))
+                    if s != t:
+                        want[min(s, t), max(s, t)] = min(want.get((min(s, t), max(s, t)), row), row)
+            for rows_of in M._pairs(a, other):
+                for s, t, u, v, d in zip(*rows_of):
+                    assert other is not None or (s, t) not in got
+                    got[s, t] = min(got.get((s, t), (d, u, v)), (d, u, v))
+            assert got == want
+
+
+def test_long_skeletons_need_no_matrix_of_all_distances(monkeypatch):
+    rnd = np.random.default_rng(6)
+    a = _skeletons(rnd, {1: 4000, 2: 3000} | dict.fromkeys(range(3, 300), 3), 0, 10_000)
+    compared = {}
+    for name, numbers in (("_products", lambda p, q: len(p) * len(q)), ("_squares", lambda d: d.size // 3)):
+        if hasattr(M, name):
+            of = getattr(M, name)
+            monkeypatch.setattr(M, name, lambda *x, of=of, name=name, numbers=numbers: compared.update({name: compared.get(name, 0) + numbers(*x)}) or of(*x))
+    assert sum(len(r[0]) for r in M._pairs(a, None)) == 299 * 298 // 2
+    assert sum(compared.values()) < 6_000_000, compared  # all pairs of nodes are 31 million
+
+
 def test_histogram_has_zero_bin(spark):
     sk = spark.createDataFrame([(1,), (2,), (3,), (3,)], "skeleton_id bigint")
     sp = spark.createDataFrame([(2,), (2,), (3,), (3,)], "skeleton_id bigint")
