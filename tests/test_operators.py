@@ -183,6 +183,17 @@ def test_long_skeletons_need_no_matrix_of_all_distances(monkeypatch):
     assert sum(compared.values()) < 6_000_000, compared  # all pairs of nodes are 31 million
 
 
+def test_long_skeletons_carry_places_and_tags_without_a_matrix(monkeypatch):
+    s, node, place = _skeletons(np.random.default_rng(8), {1: 2100, 2: 2200}, 0, 10_000)
+    monkeypatch.setattr(M, "_products", lambda p, q: pytest.fail(f"{len(p)} x {len(q)} distances"))
+    group = pd.DataFrame({"seg_label": 7, "i": 0, "j": 0, "side": 0, "whole": 1, "s": s, "node": node, "z": place[:, 0], "y": place[:, 1], "x": place[:, 2], "tag": s * 10})
+    (row,) = [tuple(r) for b in M._sites(iter([group]), carried=True) for r in b.itertuples(index=False)]
+    d = np.sqrt(((place[s == 1][:, None] - place[s == 2][None]) ** 2).sum(2))
+    u, v = np.unravel_index(d.argmin(), d.shape)
+    assert row[:5] == (7, 1, 2, node[s == 1][u], node[s == 2][v]) and row[5] == pytest.approx(d.min())
+    assert row[6:] == (*place[s == 1][u], *place[s == 2][v], 10)
+
+
 def test_histogram_has_zero_bin(spark):
     sk = spark.createDataFrame([(1,), (2,), (3,), (3,)], "skeleton_id bigint")
     sp = spark.createDataFrame([(2,), (2,), (3,), (3,)], "skeleton_id bigint")
